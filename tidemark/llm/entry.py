@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op5_language
+from .neardup import op6_hyperminhash
 from .packing import op2_packing
 from .pieces import op10_sentencepiece
+from .quality import op1_quality
 from .secrets import op3_secret_ledger
 from .spotsigs import op9_spotsigs
+from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_secret_ledger": op3_secret_ledger,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
+    "op6_hyperminhash": op6_hyperminhash,
     "op9_spotsigs": op9_spotsigs,
     "op10_sentencepiece": op10_sentencepiece,
 }
