@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op5_language
+from .mainext import op8_main_text
 from .neardup import op6_hyperminhash
 from .packing import op2_packing
 from .pieces import op10_sentencepiece
 from .quality import op1_quality
 from .secrets import op3_secret_ledger
 from .spotsigs import op9_spotsigs
+from .topk import SQL as TOPK_SQL
+from .topk import op7_topk
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_hyperminhash": op6_hyperminhash,
+    "op7_topk": op7_topk,
+    "op8_main_text": op8_main_text,
     "op9_spotsigs": op9_spotsigs,
     "op10_sentencepiece": op10_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_topk": TOPK_SQL}
