@@ -89,6 +89,10 @@ class Weights:
             else:
                 self.learned[k] = -far * max(0.0, 2 * share - 1)
 
+    def shuns(self, token: tuple[str, str, frozenset]) -> bool:
+        """Whether labelled pages have this element outside of articles only, next to them or to others like it."""
+        return token[1] not in ("article", "body", "html", "main") and token[1] not in MILD - {"div"} and self.learned.get(key(token), 0.0) <= -0.8 * self.far
+
     def of(self, token: tuple[str, str, frozenset]) -> float:
         w = self.learned.get(key(token))
         if w is not None:
@@ -96,11 +100,38 @@ class Weights:
         return -self.far if _unwanted(token) or token[1] in ("article", "header", "body", "html") else -1.0
 
 
+class Outside:
+    """Follows tokens and tells whether they are within an unwanted element."""
+
+    def __init__(self, weights: Weights | None = None):
+        self.open: list[str] = []
+        self.weights = weights
+
+    def __call__(self, token: tuple[str, str, frozenset]) -> bool:
+        kind, name, _ = token
+        if self.open:
+            if kind == "<" and name not in VOID:
+                self.open.append(name)
+            elif kind == ">" and name in self.open:
+                while self.open.pop() != name:
+                    pass
+            return True
+        if kind == "<" and name not in VOID and (_unwanted(token) or self.weights and self.weights.shuns(token)):
+            self.open.append(name)
+            return True
+        return False
+
+
 def region(page: Page, weights: Weights) -> tuple[int, int]:
-    """The contiguous tokens of the greatest sum, the first of equal ones; (0, 0) if none is positive."""
+    """The contiguous tokens of the greatest sum, the first of equal ones; (0, 0) if none is positive.
+
+    Words within unwanted elements count against a region.
+    """
     best, sum_, start, found = 0.0, 0.0, 0, (0, 0)
+    outside = Outside(weights)
     for i, t in enumerate(page.tokens):
-        sum_ += len(t[1].split()) if not t[0] else weights.of(t)
+        out = outside(t)
+        sum_ += (-1 if out else 1) * len(t[1].split()) if not t[0] else weights.of(t)
         if sum_ <= 0:
             sum_, start = 0.0, i + 1
         elif sum_ > best:
@@ -112,7 +143,7 @@ def text_of(page: Page, span: tuple[int, int]) -> str:
     """Blocks of the region in order, without unwanted ones."""
     blocks: list[str] = []
     run: list[str] = []
-    skipped: list[str] = []  # open tags since an unwanted one
+    outside = Outside()
 
     def end() -> None:
         if run:
@@ -123,18 +154,11 @@ def text_of(page: Page, span: tuple[int, int]) -> str:
 
     for token in page.tokens[span[0] : span[1]]:
         kind, name, _ = token
-        if skipped:
-            if kind == "<" and name not in VOID:
-                skipped.append(name)
-            elif kind == ">" and name in skipped:
-                while skipped.pop() != name:
-                    pass
-            continue
-        if not kind:
+        if outside(token):
+            if kind and name not in INLINE:
+                end()
+        elif not kind:
             run.append(name)
-        elif kind == "<" and _unwanted(token) and name not in VOID:
-            end()
-            skipped.append(name)
         elif name not in INLINE:
             end()
     end()
