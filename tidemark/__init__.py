@@ -1,0 +1 @@
+"""Change-data analytics on Spark: ingest, version journals, dimensions, marts, checks and panels."""
