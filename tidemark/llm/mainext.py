@@ -1,11 +1,12 @@
 """Main text of web pages as the maximum-scoring subsequence of their tokens.
 
-A page is a sequence of words and tags.  Words score 1; tags score what was
-learned from labelled pages, those whose markup names the article itself: tags
-(with their class) that stand outside of articles score so low that no text
-beyond them pays, tags inside next to nothing.  One linear scan finds the best
-contiguous region.  Unwanted blocks within it (adverts, notices, forms,
-comments) are left out, references are decoded and white space is evened.
+A page is a sequence of words and tags.  Words score 1, those within unwanted
+elements a little less than 0; tags score what was learned from labelled pages, those whose markup
+names the article itself: tags (with their class) that stand outside of
+articles score low, tags inside next to nothing, and the article's own tags so
+low that no text beyond them pays.  One linear scan finds the best contiguous
+region.  Unwanted blocks within it (adverts, notices, forms, comments) are left
+out, references are decoded and white space is evened.
 """
 
 from __future__ import annotations
@@ -77,34 +78,38 @@ def label(page: Page) -> tuple[int, int] | None:
 
 
 class Weights:
-    """Scores of tags; ``far`` is that of a tag that never belongs to an article."""
+    """Scores of tags; ``far`` is that of an article's own tags, which bound every region."""
+
+    EDGE = 1.0  # of a tag that never belongs to an article
+    UNWANTED_WORD = -0.05  # low enough never to be taken in, high enough to pass over to what follows
 
     def __init__(self, inside: Counter, outside: Counter, far: float):
-        self.far, self.learned = far, {}
+        self.far, self.learned, self.outside = far, {}, set()
         for k in inside.keys() | outside.keys():
             share = (outside[k] + 0.5) / (inside[k] + outside[k] + 1)
             name, _, named = k[1:].partition(".")
-            if name in MILD and not named:
-                self.learned[k] = -2 * share
-            else:
-                self.learned[k] = -far * max(0.0, 2 * share - 1)
+            mild = name in MILD and not named
+            self.learned[k] = -0.2 * share if mild else -self.EDGE * max(0.0, 2 * share - 1)
+            if not mild and share > 0.9:
+                self.outside.add(k)
 
     def shuns(self, token: tuple[str, str, frozenset]) -> bool:
-        """Whether labelled pages have this element outside of articles only, next to them or to others like it."""
-        return token[1] not in ("article", "body", "html", "main") and token[1] not in MILD - {"div"} and self.learned.get(key(token), 0.0) <= -0.8 * self.far
+        """Whether labelled pages have this element outside of articles only."""
+        return token[1] not in ("article", "body", "html", "main") and key(token) in self.outside
 
     def of(self, token: tuple[str, str, frozenset]) -> float:
+        if token[1] == "article":
+            return -self.far
         w = self.learned.get(key(token))
-        if w is not None:
-            return w
-        return -self.far if _unwanted(token) or token[1] in ("article", "header", "body", "html") else -1.0
+        return w if w is not None else -0.2 if _unwanted(token) or token[1] in MILD else -0.5
 
 
 class Outside:
-    """Follows tokens and tells whether they are within an unwanted element."""
+    """Follows tokens and tells whether they are within an unwanted element; so are page headers, those beside an article."""
 
-    def __init__(self, weights: Weights | None = None):
+    def __init__(self, weights: Weights):
         self.open: list[str] = []
+        self.articles = 0
         self.weights = weights
 
     def __call__(self, token: tuple[str, str, frozenset]) -> bool:
@@ -116,7 +121,9 @@ class Outside:
                 while self.open.pop() != name:
                     pass
             return True
-        if kind == "<" and name not in VOID and (_unwanted(token) or self.weights and self.weights.shuns(token)):
+        if name == "article" and kind:
+            self.articles += 1 if kind == "<" else -1
+        if kind == "<" and name not in VOID and (_unwanted(token) or name == "header" and self.articles <= 0 or self.weights.shuns(token)):
             self.open.append(name)
             return True
         return False
@@ -131,7 +138,7 @@ def region(page: Page, weights: Weights) -> tuple[int, int]:
     outside = Outside(weights)
     for i, t in enumerate(page.tokens):
         out = outside(t)
-        sum_ += (-1 if out else 1) * len(t[1].split()) if not t[0] else weights.of(t)
+        sum_ += (weights.UNWANTED_WORD if out else 1) * len(t[1].split()) if not t[0] else weights.of(t)
         if sum_ <= 0:
             sum_, start = 0.0, i + 1
         elif sum_ > best:
@@ -139,11 +146,11 @@ def region(page: Page, weights: Weights) -> tuple[int, int]:
     return found
 
 
-def text_of(page: Page, span: tuple[int, int]) -> str:
+def text_of(page: Page, span: tuple[int, int], weights: Weights) -> str:
     """Blocks of the region in order, without unwanted ones."""
     blocks: list[str] = []
     run: list[str] = []
-    outside = Outside()
+    outside = Outside(weights)
 
     def end() -> None:
         if run:
@@ -152,9 +159,12 @@ def text_of(page: Page, span: tuple[int, int]) -> str:
                 blocks.append(s)
             run.clear()
 
-    for token in page.tokens[span[0] : span[1]]:
+    for i, token in enumerate(page.tokens[: span[1]]):
         kind, name, _ = token
-        if outside(token):
+        out = outside(token)
+        if i < span[0]:
+            continue
+        if out:
             if kind and name not in INLINE:
                 end()
         elif not kind:
@@ -212,7 +222,7 @@ def extracted(pages: DataFrame, weights: Weights) -> DataFrame:
             texts = []
             for h in part:
                 page = Page(h or "")
-                texts.append(text_of(page, region(page, shared.value)))
+                texts.append(text_of(page, region(page, shared.value), shared.value))
             cols = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 
