@@ -11,9 +11,9 @@ Equal sets count as one *class* throughout.  Within a band bucket every class
 is first compared with one hub, so a group of thousands of copies costs a
 comparison each and not all pairs.  Components follow from the links; buckets
 that still hold several components are compared with a second hub, the class
-with most links so far, and what is left then goes the exact way: small
-buckets pair by pair across components, large ones by their rarest shingles,
-of which two sets at the threshold must share one.
+with most links so far, and what is left then goes the exact way: by the
+rarest shingles of sets in different components, of which two at the threshold
+must share one early enough.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from .common import on_workers, rows_of, saved, table
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
-SMALL = 24  # classes in a bucket that is compared pair by pair
 SLACK = 0.2  # estimates so far under the threshold are dropped; over six standard errors
 
 _U = np.uint64
@@ -215,15 +214,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = links.union(more)
         labels = components(links)
 
-    # The exact way for what is left.
+    # The exact way for what is left of open buckets.
     placed = saved(_open_buckets(members, labels), "open")
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("held"))
-    placed = placed.join(sizes, "bucket")
-    small = placed.where(F.col("held") <= SMALL).select("bucket", "c", "label")
-    other = small.select("bucket", F.col("c").alias("b"), F.col("label").alias("other"))
-    pairs = small.join(other, "bucket").where((F.col("label") != F.col("other")) & (F.col("c") < F.col("b"))).select(F.col("c").alias("a"), "b")
-    large = placed.where(F.col("held") > SMALL).select("c", "label").distinct()
-    pairs = pairs.union(_rarest(large, sets, percent))
+    pairs = _rarest(placed.select("c", "label").distinct(), sets, percent)
     more = saved(_links(pairs, classes, sets, percent), "round")
     if not more.isEmpty():
         links = links.union(more)
@@ -253,17 +246,23 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(several, "bucket", "left_semi")
 
 
-def _rarest(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share one of their rarest shingles."""
-    each = large.join(sets, "c").select("c", "label", "n", F.explode("sh").alias("s"))
+def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share one of their rarest shingles.
+
+    Sets are read from their rarest shingle on, in one order for all.  Before
+    the first shingle that two sets share, each has only ones that the other
+    lacks, so what is left of the shorter rest bounds their overlap; a pair
+    that could not reach the threshold even so never comes out of the join.
+    """
+    each = classes.join(sets, "c").select("c", "label", "n", F.explode("sh").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("df"))
     each = each.join(counts, "s")
     rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "s"))
     need = F.ceil(F.col("n") * percent / 100)
-    rare = each.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("s", "c", "label", "n")
-    other = rare.select("s", F.col("c").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-    near = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-    return rare.join(other, "s").where((F.col("label") != F.col("other")) & (F.col("c") < F.col("b")) & near).select(F.col("c").alias("a"), "b").distinct()
+    rare = each.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("s", "c", "label", "n", (F.col("n") - F.col("rank") + 1).alias("rest"))
+    other = rare.select("s", F.col("c").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("rest").alias("their"))
+    enough = (100 + percent) * F.least("rest", "their") >= percent * (F.col("n") + F.col("m"))
+    return rare.join(other, "s").where((F.col("label") != F.col("other")) & (F.col("c") < F.col("b")) & enough).select(F.col("c").alias("a"), "b").distinct()
 
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
