@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold, letter_words, on_workers, rows_of, saved, table
 
 FOLDS = 5
+CERTAIN = 24.0  # chi-square of one in a million, as very many words are tried
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence string"
 
 
@@ -71,18 +72,35 @@ class Index:
         terms, q = self.vector(counts)
         bound = q @ self.highest[terms]
         found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        order = np.argsort(-bound, kind="stable")
+        for turn, b in enumerate(order):
             if bound[b] <= 0 or (len(found) == self.k and bound[b] < found[-1][0] - 1e-12):
                 break
-            acc = np.zeros(self.block)
-            for t, w in zip(terms, q):
-                at, weights, starts = self.postings[t]
-                s = slice(starts[b], starts[b + 1])
-                acc[at[s] - b * self.block] += w * weights[s]
-            if 0 <= without - b * self.block < self.block:
-                acc[without - b * self.block] = 0
-            found += [(float(acc[n]), int(n + b * self.block)) for n in np.flatnonzero(acc > 0)]
+            if turn == 3:  # many blocks are left in reach: all of them at once, a word at a time
+                least = found[-1][0] - 1e-12 if len(found) == self.k else 0.0
+                reach = bound >= least
+                reach[order[:turn]] = False
+                acc = np.zeros(len(bound) * self.block)
+                for t, w in zip(terms, q):
+                    at, weights, _ = self.postings[t]
+                    acc[at] += w * weights
+                acc[~np.repeat(reach, self.block)] = 0
+                base, last = 0, True
+            else:
+                acc, base, last = np.zeros(self.block), b * self.block, False
+                for t, w in zip(terms, q):
+                    at, weights, starts = self.postings[t]
+                    s = slice(starts[b], starts[b + 1])
+                    acc[at[s] - base] += w * weights[s]
+            if 0 <= without - base < len(acc):
+                acc[without - base] = 0
+            hits = np.flatnonzero(acc > 0)
+            if len(hits) > 2 * self.k:
+                hits = hits[acc[hits] >= np.partition(acc[hits], -self.k)[-self.k] - 1e-11]
+            found += [(float(acc[n]), int(n + base)) for n in hits]
             found = sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[: self.k]
+            if last:
+                break
         return found
 
     def raw(self, near: list[tuple[float, int]]) -> float:
@@ -158,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     df = examples.mapInArrow(words, "w binary, y int").groupBy("w").agg(a.alias("a"), b.alias("b")).where(F.col("a") + F.col("b") >= 4)
     chi = (F.col("a") * (zero - F.col("b")) - F.col("b") * (one - F.col("a"))) ** 2 * (one + zero)
     chi = chi / ((F.col("a") + F.col("b")) * (one + zero - F.col("a") - F.col("b")) * one * zero)
-    best = df.withColumn("chi", chi).where(F.col("chi") > 10.83).orderBy(F.desc("chi"), "w").limit(terms)
+    best = df.withColumn("chi", chi).where(F.col("chi") > CERTAIN).orderBy(F.desc("chi"), "w").limit(terms)
     vocabulary = {bytes(r["w"]): i for i, r in enumerate(best.select("w").collect())}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
