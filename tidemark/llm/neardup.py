@@ -30,6 +30,7 @@ from .common import on_workers, rows_of, saved, table
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
+HEAD = 64  # rarest shingles of a set that travel with each of its postings
 SLACK = 0.2  # estimates so far under the threshold are dropped; over six standard errors
 
 _U = np.uint64
@@ -247,22 +248,30 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share one of their rarest shingles.
+    """Pairs across components that share one of their rarest shingles and may be at the threshold.
 
-    Sets are read from their rarest shingle on, in one order for all.  Before
-    the first shingle that two sets share, each has only ones that the other
-    lacks, so what is left of the shorter rest bounds their overlap; a pair
-    that could not reach the threshold even so never comes out of the join.
+    All sets are read in one order, from their rarest shingle on.  Two bounds
+    on the overlap, both true for every pair at the threshold at the first
+    shingle that it shares, keep other pairs from coming out of the join: the
+    shorter rest from that shingle on; and what the first ``HEAD`` shingles
+    share, plus all behind the head that ends first.
     """
     each = classes.join(sets, "c").select("c", "label", "n", F.explode("sh").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("df"))
-    each = each.join(counts, "s")
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "s"))
+    by = Window.partitionBy("c").orderBy("df", "s")
+    each = each.join(counts, "s").withColumn("rank", F.row_number().over(by))
     need = F.ceil(F.col("n") * percent / 100)
-    rare = each.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("s", "c", "label", "n", (F.col("n") - F.col("rank") + 1).alias("rest"))
-    other = rare.select("s", F.col("c").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("rest").alias("their"))
-    enough = (100 + percent) * F.least("rest", "their") >= percent * (F.col("n") + F.col("m"))
-    return rare.join(other, "s").where((F.col("label") != F.col("other")) & (F.col("c") < F.col("b")) & enough).select(F.col("c").alias("a"), "b").distinct()
+    each = each.where(F.col("rank") <= F.greatest(F.least(F.col("n"), F.lit(HEAD)), F.col("n") - need + 1))
+    first = each.where(F.col("rank") <= HEAD).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("head"))
+    heads = first.select("c", F.transform("head", lambda x: x["s"]).alias("head"), F.element_at("head", -1).alias("last"))
+    rare = each.where((F.col("rank") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("s", "c", "label", "n", (F.col("n") - F.col("rank") + 1).alias("rest"))
+    rare = rare.join(heads, "c")
+    other = rare.select("s", *[F.col(c).alias(f"_{c}") for c in ("c", "label", "n", "rest", "head", "last")])
+    need = percent * (F.col("n") + F.col("_n"))
+    behind = F.when(F.col("last") <= F.col("_last"), F.col("n") - F.size("head")).otherwise(F.col("_n") - F.size("_head"))
+    likely = ((100 + percent) * F.least("rest", "_rest") >= need) & ((100 + percent) * (F.size(F.array_intersect("head", "_head")) + behind) >= need)
+    met = rare.join(other, "s").where((F.col("label") != F.col("_label")) & (F.col("c") < F.col("_c")) & likely)
+    return met.select(F.col("c").alias("a"), F.col("_c").alias("b"))
 
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
