@@ -176,13 +176,16 @@ def text_of(page: Page, span: tuple[int, int], weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, sample: int = 1000) -> Weights:
-    """Weights from at most ``sample`` pages that mark one article (those of least key hash); without any, general ones.
+    """Weights from at most ``sample`` different pages that mark one article (those of least hash, with their copies); without any, general ones.
 
     ``far`` is beyond the longest run of words between tags outside of the
     labelled articles.
     """
     on_workers(pages.sparkSession)
-    rows = pages.where(F.col("html").contains("<article")).select("html").orderBy(F.xxhash64("html")).limit(sample)
+    rows = pages.where(F.col("html").contains("<article")).select("html", F.xxhash64("html").alias("h"))
+    # Only hashes are ordered; texts stay where they are read.
+    cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    rows = rows.where(F.col("h") <= (cut if cut is not None else 0)).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
