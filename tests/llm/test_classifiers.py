@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +80,25 @@ def test_nearest_are_exact():
         assert [(-round(c, 12), n) for c, n in index.nearest(q)] == want
 
 
+def test_every_word_of_the_examples_counts(spark, documents, marked):
+    """Evidence is the nearest by cosine over all words, rare and unmarked ones too."""
+    docs, labels = marked
+    docs = [(i, f"{t} own{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}") for i, t in docs]
+    df = documents(docs)
+    index = toxicity.fit(df, spark.createDataFrame(labels, LABELS)).whole
+    of = {i: Counter(letter_words(t)) for i, t in docs}
+    examples = [i for i, _ in docs if not held(i)]
+    words = {w for i in examples for w in of[i]}
+    assert set(index.vocabulary) == words
+    idf = {w: np.log((1 + len(docs)) / (1 + sum(w in c for c in of.values()))) + 1e-9 for w in words}
+    vec = {i: {w: (1 + np.log(k)) * idf[w] for w, k in c.items() if w in words} for i, c in of.items()}
+    vec = {i: {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for i, v in vec.items()}
+    for r in toxicity.scored(df, toxicity.fit(df, spark.createDataFrame(labels, LABELS))).where("doc_id < 40").collect():
+        cos = sorted(((-round(sum(x * vec[e].get(w, 0) for w, x in vec[r["doc_id"]].items()), 12), e) for e in examples))[:3]
+        assert [int(x.split(":")[0]) for x in r["evidence"].split(",")] == [e for _, e in cos]
+        assert [float(x.split(":")[2]) for x in r["evidence"].split(",")] == pytest.approx([-c for c, _ in cos], abs=1e-4)
+
+
 def test_nothing_to_learn_from(spark, documents, marked):
     df, none = documents(marked[0][:20]), spark.createDataFrame([], LABELS)
     assert toxicity.fit(df, none) is None and quality.fit(df, none) is None and language.fit(documents([])) is None

@@ -1,20 +1,25 @@
 """Toxicity by nearest labelled examples.
 
 Examples are a bounded sample of labelled rows (``per_label`` of each label).
-Their words that go with a label (chi-square) are the vocabulary; inverse
-document frequencies of these words are counted over all documents.  The
-examples' TF-IDF vectors form an inverted index in blocks of examples with the
-largest weight per word and block: a block is read only while its bound may
-still reach the ``k`` nearest, so the nearest by cosine are exact.  Their
-votes, weighted by nearness and corrected for the sampling of labels, give a
-raw score; a logistic curve fitted to the examples' own leave-one-out scores
-calibrates it.
+All their words are the vocabulary, so it is bounded as well; inverse document
+frequencies are counted over all documents.  Words that no example holds meet
+nothing and count neither in a product nor in a length.  The examples' TF-IDF
+vectors form an inverted index in blocks of examples with the largest weight
+per word and block: a block is read only while its bound may still reach the
+``k`` nearest, so the nearest by cosine over all words are exact.  These are
+the evidence.
+
+Two votes, each weighted by nearness and corrected for the sampling of labels,
+make the score: that of the nearest by all words, and that of the nearest by
+the words alone that go with a label (chi-square), as most words of a text say
+nothing of it.  A logistic curve fitted to the examples' own leave-one-out
+votes joins and calibrates them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,13 +30,22 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold, letter_words, on_workers, rows_of, saved, table
 
 FOLDS = 5
-CERTAIN = 24.0  # chi-square of one in a million, as very many words are tried
+CERTAIN = 10.83  # chi-square of one in a thousand; for the second vote only
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence string"
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length says, one range behind the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 @dataclass
 class Index:
-    """Examples in blocks; ``postings[t]`` holds example numbers, weights and where each block starts."""
+    """Examples in blocks.
+
+    Postings (example number, weight) go by word and example; a *run* is what a
+    word has in one block: its block, largest weight and first posting.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
@@ -40,67 +54,59 @@ class Index:
     idf: np.ndarray
     block: int = 64
     k: int = 15
-    slope: float = 1.0
-    shift: float = 0.0
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    highest: np.ndarray | None = None
+    at: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    runs: tuple[np.ndarray, ...] = ()  # block, largest weight, first posting, number of postings
+    first: np.ndarray | None = None  # first run of each word, and the end
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), dtype=np.int64)
-        w = np.array([1 + np.log(counts[t]) for t in terms]) * self.idf[terms]
+        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=float))) * self.idf[terms]
         norm = np.sqrt((w * w).sum())
         return terms, w / norm if norm else w
 
-    def build(self, vectors: list[dict[int, int]]) -> None:
-        blocks = -(-max(1, len(vectors)) // self.block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for n, counts in enumerate(vectors):
-            for t, w in zip(*self.vector(counts)):
-                if w > 0:
-                    lists[t].append((n, w))
-        self.highest = np.zeros((len(self.idf), blocks))
-        for t, got in enumerate(lists):
-            at = np.array([n for n, _ in got], dtype=np.int64)
-            w = np.array([x for _, x in got])
-            np.maximum.at(self.highest[t], at // self.block, w)
-            self.postings.append((at, w, np.searchsorted(at, np.arange(blocks + 1) * self.block)))
+    def build(self, vectors: Iterable[dict[int, int]]) -> None:
+        parts = [(t, np.full(len(t), n, np.int32), w) for n, (t, w) in enumerate(map(self.vector, vectors))]
+        t, at, w = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
+        t, at, w = t[w > 0].astype(np.int64), at[w > 0].astype(np.int32), w[w > 0]
+        order = np.argsort(t, kind="stable")
+        t, self.at, self.weight = t[order], at[order], w[order]
+        blocks = self.at // self.block
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = (t[1:] != t[:-1]) | (blocks[1:] != blocks[:-1])
+        start = np.flatnonzero(new)
+        most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.runs = blocks[start], most, start.astype(np.int32), np.diff(np.append(start, len(t))).astype(np.int32)
+        self.first = np.searchsorted(t[start], np.arange(len(self.idf) + 1))
 
     def nearest(self, counts: dict[int, int], without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` nearest examples of positive cosine, equal ones by number."""
         if not counts:
             return []
         terms, q = self.vector(counts)
-        bound = q @ self.highest[terms]
-        found: list[tuple[float, int]] = []
+        many = self.first[terms + 1] - self.first[terms]
+        run = _ranges(self.first[terms], many)
+        block, most, start, length = (x[run] for x in self.runs)
+        q = np.repeat(q, many)
+        bound = np.bincount(block, q * most, minlength=-(-max(1, len(self.ids)) // self.block))
         order = np.argsort(-bound, kind="stable")
-        for turn, b in enumerate(order):
-            if bound[b] <= 0 or (len(found) == self.k and bound[b] < found[-1][0] - 1e-12):
+        found: list[tuple[float, int]] = []
+        for wanted in (order[:3], order[3:]):  # the likeliest blocks, then all at once that are still in reach
+            least = found[-1][0] - 1e-12 if len(found) == self.k else 0.0
+            reach = np.zeros(len(bound), dtype=bool)
+            reach[wanted] = (bound[wanted] > 0) & (bound[wanted] >= least)
+            if not reach.any():
                 break
-            if turn == 3:  # many blocks are left in reach: all of them at once, a word at a time
-                least = found[-1][0] - 1e-12 if len(found) == self.k else 0.0
-                reach = bound >= least
-                reach[order[:turn]] = False
-                acc = np.zeros(len(bound) * self.block)
-                for t, w in zip(terms, q):
-                    at, weights, _ = self.postings[t]
-                    acc[at] += w * weights
-                acc[~np.repeat(reach, self.block)] = 0
-                base, last = 0, True
-            else:
-                acc, base, last = np.zeros(self.block), b * self.block, False
-                for t, w in zip(terms, q):
-                    at, weights, starts = self.postings[t]
-                    s = slice(starts[b], starts[b + 1])
-                    acc[at[s] - base] += w * weights[s]
-            if 0 <= without - base < len(acc):
-                acc[without - base] = 0
+            got = slice(None) if reach.all() else np.flatnonzero(reach[block])
+            post = _ranges(start[got], length[got])
+            acc = np.bincount(self.at[post], self.weight[post] * np.repeat(q[got], length[got]), minlength=len(self.ids))
+            if without >= 0:
+                acc[without] = 0
             hits = np.flatnonzero(acc > 0)
             if len(hits) > 2 * self.k:
                 hits = hits[acc[hits] >= np.partition(acc[hits], -self.k)[-self.k] - 1e-11]
-            found += [(float(acc[n]), int(n + base)) for n in hits]
+            found += [(float(acc[n]), int(n)) for n in hits]
             found = sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[: self.k]
-            if last:
-                break
         return found
 
     def raw(self, near: list[tuple[float, int]]) -> float:
@@ -110,22 +116,40 @@ class Index:
         mean = self.votes.mean() if len(self.votes) else 1.0
         return (sum(w * y for w, y in weight) + 0.2 * mean * base) / (sum(w for w, _ in weight) + 0.2 * mean)
 
-    def score(self, raw: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * raw + self.shift))))
 
-    def calibrate(self, vectors: list[dict[int, int]]) -> None:
-        x = np.array([self.raw(self.nearest(v, n)) for n, v in enumerate(vectors)])
-        y, w = self.labels.astype(float), self.votes / self.votes.sum()
-        a, b = 4.0, -2.0
-        for _ in range(50):  # Newton, with a prior that keeps the slope finite and positive
-            p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([(w * (p - y) * x).sum() + 1e-4 * (a - 4), (w * (p - y)).sum() + 1e-4 * (b + 2)])
-            s = w * p * (1 - p)
-            h = np.array([[(s * x * x).sum() + 1e-4, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-4]])
-            d = np.linalg.solve(h, g)
-            a, b = a - d[0], b - d[1]
-        if np.isfinite(a) and np.isfinite(b) and a > 0:
-            self.slope, self.shift = float(a), float(b)
+@dataclass
+class Votes:
+    """The index of all words, that of the surer ones, and the curve over the votes of both."""
+
+    whole: Index
+    sure: Index
+    number: dict[int, int]  # of a sure word, by its number among all
+    curve: np.ndarray = field(default_factory=lambda: np.array([2.0, 2.0, -2.0]))
+
+    def judged(self, counts: dict[int, int], without: int = -1) -> tuple[list[float], list[tuple[float, int]]]:
+        """The vote of either index, and the nearest by all words."""
+        near = self.whole.nearest(counts, without)
+        sure = self.sure.nearest({self.number[t]: c for t, c in counts.items() if t in self.number}, without)
+        return [self.whole.raw(near), self.sure.raw(sure)], near
+
+    def score(self, votes: list[float]) -> float:
+        return float(1 / (1 + np.exp(-(np.dot(self.curve[:2], votes) + self.curve[2]))))
+
+    def of(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        votes, near = self.judged(_counts(text, self.whole.vocabulary))
+        return self.score(votes), near
+
+    def calibrate(self, vectors: Iterable[dict[int, int]]) -> None:
+        x = np.array([[*self.judged(v, n)[0], 1.0] for n, v in enumerate(vectors)])
+        y, w = self.whole.labels.astype(float), self.whole.votes / self.whole.votes.sum()
+        prior = c = self.curve
+        for _ in range(50):  # Newton, with a prior that keeps the slopes finite and positive
+            p = 1 / (1 + np.exp(-np.clip(x @ c, -500, 500)))
+            g = x.T @ (w * (p - y)) + 1e-4 * (c - prior)
+            h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+            c = c - np.linalg.solve(h, g)
+        if np.isfinite(c).all() and c[:2].sum() > 0:
+            self.curve = c
 
 
 def _counts(text: str | None, vocabulary: dict[bytes, int]) -> dict[int, int]:
@@ -133,24 +157,27 @@ def _counts(text: str | None, vocabulary: dict[bytes, int]) -> dict[int, int]:
 
 
 def _document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+    words = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), dtype=np.int64)
+        known = words.value
+        total = np.zeros(len(known), dtype=np.int64)
         for (part,) in rows_of(batches, "text"):
             for t in part:
-                seen = set(map(vocabulary.get, letter_words(t)))
+                seen = set(map(known.get, letter_words(t)))
                 seen.discard(None)
                 total[list(seen)] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["t", "n"])
 
+    got = texts.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary))
-    for r in texts.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        out[r["t"]] = r["n"]
+    out[got.column("t").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 2000, terms: int = 2000, held: int = 0) -> Index | None:
-    """An index of labelled rows outside fold ``held``; None if they lack one of the labels.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 2000, held: int = 0) -> Votes | None:
+    """Indexes of labelled rows outside fold ``held``; None if they lack one of the labels.
 
     Rows whose id, label or text is null teach nothing; of several labels for
     one id the highest counts; of several texts for one id each is an example.
@@ -171,35 +198,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     sizes = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return None
-    one, zero = F.lit(float(sizes[1])), F.lit(float(sizes[0]))
-    a, b = F.sum(F.col("y").cast("double")), F.sum(1.0 - F.col("y"))
-    df = examples.mapInArrow(words, "w binary, y int").groupBy("w").agg(a.alias("a"), b.alias("b")).where(F.col("a") + F.col("b") >= 4)
-    chi = (F.col("a") * (zero - F.col("b")) - F.col("b") * (one - F.col("a"))) ** 2 * (one + zero)
-    chi = chi / ((F.col("a") + F.col("b")) * (one + zero - F.col("a") - F.col("b")) * one * zero)
-    best = df.withColumn("chi", chi).where(F.col("chi") > CERTAIN).orderBy(F.desc("chi"), "w").limit(terms)
-    vocabulary = {bytes(r["w"]): i for i, r in enumerate(best.select("w").collect())}
+    df = examples.mapInArrow(words, "w binary, y int").groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n")).orderBy("w").toArrow()
+    vocabulary = {w: i for i, w in enumerate(df.column("w").to_pylist())}
+    known = spark.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part, ys in rows_of(batches, "doc_id", "text", "y"):
-            got = [_counts(t, vocabulary) for t in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([list(c) for c in got], pa.list_(pa.int32())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))],
-                ["doc_id", "y", "terms", "counts"],
-            )
-
-    rows = sorted(examples.mapInArrow(counted, "doc_id long, y int, terms array<int>, counts array<int>").collect(), key=lambda r: (r["doc_id"], r["terms"]))
-    vectors = [dict(zip(r["terms"], r["counts"])) for r in rows]
-    seen = _document_frequencies(docs, vocabulary)
-    n = docs.count()
-    ys = np.array([r["y"] for r in rows])
-    votes = np.array([totals[y] / sizes[y] for y in ys])
-    index = Index(np.array([r["doc_id"] for r in rows]), ys, votes, vocabulary, np.log((1 + n) / (1 + seen)) + 1e-9)
-    index.build(vectors)
-    index.calibrate(vectors)
-    return index
+            got = [_counts(t, known.value) for t in part]
+            flat = [pa.array([np.array(list(x), np.int32).tobytes() for x in xs], pa.binary()) for xs in (got, [c.values() for c in got])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), *flat], ["doc_id", "y", "terms", "counts"])
+
+    rows = sorted(examples.mapInArrow(counted, "doc_id long, y int, terms binary, counts binary").collect(), key=lambda r: (r["doc_id"], bytes(r["terms"])))
 
+    def vectors(number: dict[int, int] | None = None) -> Iterator[dict[int, int]]:
+        for r in rows:
+            c = dict(zip(*(np.frombuffer(r[x], np.int32).tolist() for x in ("terms", "counts"))))
+            yield c if number is None else {number[t]: k for t, k in c.items() if t in number}
 
-def scored(docs: DataFrame, index: Index | None) -> DataFrame:
+    seen, n = _document_frequencies(docs, vocabulary), docs.count()
+    ys = np.array([r["y"] for r in rows])
+    about = np.array([r["doc_id"] for r in rows]), ys, np.array([totals[y] / sizes[y] for y in ys])
+    whole = Index(*about, vocabulary, np.log((1 + n) / (1 + seen)) + 1e-9)
+    one, zero = float(sizes[1]), float(sizes[0])
+    a, held_by = (df.column(x).to_numpy().astype(float) for x in ("a", "n"))
+    b = held_by - a
+    chi = (a * (zero - b) - b * (one - a)) ** 2 * (one + zero) / np.maximum(held_by * (one + zero - held_by) * one * zero, 1)
+    chosen_words = np.flatnonzero((chi > CERTAIN) & (held_by >= 4))
+    number = {int(t): i for i, t in enumerate(chosen_words)}
+    votes = Votes(whole, Index(*about, {}, whole.idf[chosen_words]), number)
+    votes.whole.build(vectors())
+    votes.sure.build(vectors(number))
+    votes.calibrate(vectors())
+    return votes
+
+
+def scored(docs: DataFrame, index: Votes | None) -> DataFrame:
     """A row per row of ``docs``; without an index (nothing to learn from) scores are 0.
 
     Null and empty texts have no neighbours and get the score of a text
@@ -209,30 +242,30 @@ def scored(docs: DataFrame, index: Index | None) -> DataFrame:
     model = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index | None = model.value
+        ix: Votes | None = model.value
         for ids, held, part in rows_of(batches, "doc_id", "held_out", "text"):
             scores, evidence = [], []
             for t in part:
-                near = ix.nearest(_counts(t, ix.vocabulary)) if ix else []
-                scores.append(ix.score(ix.raw(near)) if ix else 0.0)
-                evidence.append(",".join(f"{ix.ids[n]}:{ix.labels[n]}:{c:.4f}" for c, n in near[:3]))
+                score, near = ix.of(t) if ix else (0.0, [])
+                scores.append(score)
+                evidence.append(",".join(f"{ix.whole.ids[n]}:{ix.whole.labels[n]}:{c:.4f}" for c, n in near[:3]))
             cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     return docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "text").mapInArrow(run, SCORED)
 
 
-def kept(docs: DataFrame, index: Index | None, at: float = 0.5) -> DataFrame:
+def kept(docs: DataFrame, index: Votes | None, at: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored ``at`` or more; same columns."""
     if index is None:
         return docs
     model = on_workers(docs.sparkSession).sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = model.value
+        ix: Votes = model.value
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([ix.score(ix.raw(ix.nearest(_counts(t, ix.vocabulary)))) < at for t in texts], pa.bool_()))
+            yield b.filter(pa.array([ix.of(t)[0] < at for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
