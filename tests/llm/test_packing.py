@@ -51,6 +51,12 @@ def test_plan_packs_every_piece_once(histogram):
     assert -(-total // 64) <= sum(n for _, n in plan) <= max(best_fit + 2, int(best_fit * 1.1))
 
 
+def test_plan_is_no_worse_than_best_fit():
+    histogram = {1: 1, 21: 9, 33: 9}
+    count = lambda plan: sum(n for _, n in plan)
+    assert count(packing.plan_for(histogram, 64)) <= count(packing.rounded(histogram, [], 64)) == 9
+
+
 def test_fractional_solution_covers_no_more_than_there_is():
     histogram = {600: 1000, 424: 900, 300: 500, 124: 700, 50: 2000}
     got = Counter()

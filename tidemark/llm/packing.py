@@ -149,8 +149,8 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: tuple[str, str] | None = Non
 
 
 def plan_for(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """The plan of fewest sequences among solutions for two price curves."""
-    plans = [rounded(histogram, solve(histogram, capacity, bulk=b), capacity) for b in (0.02, 0.1)]
+    """The plan of fewest sequences among solutions for two price curves and plain best-fit."""
+    plans = [rounded(histogram, solve(histogram, capacity, bulk=b), capacity) for b in (0.02, 0.1)] + [rounded(histogram, [], capacity)]
     return min(plans, key=lambda p: sum(n for _, n in p))
 
 
