@@ -105,3 +105,32 @@ def test_hubs_and_rarest_meet_in_large_buckets(documents):
     want = brute(docs, 3, 85)
     rows = neardup.near_duplicates(documents(docs), 3, 85).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+
+
+def test_one_id_with_different_texts_loses_no_text(documents):
+    docs = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (1, "a b c d e f g h"), (2, "p q r s t u v w"), (3, "A B c d e f g h"), (4, "alone in this table it is")]
+    out = neardup.kept(documents(docs)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (4, "alone in this table it is")]
+
+
+def test_components_of_a_long_chain(spark):
+    n = 700
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    links = spark.createDataFrame([tuple(sorted((order[i], order[i + 1]))) for i in range(n - 1)], "a long, b long")
+    assert {r["label"] for r in neardup.components(links).collect()} == {0}
+
+
+def test_bands_follow_the_threshold():
+    assert [neardup.band_width(p) for p in (60, 80, 85, 100)] == [2, 4, 4, 8]
+    with pytest.raises(ValueError):
+        neardup.band_width(5)
+    assert 80 <= neardup.least_matches(85) <= 85 and neardup.least_matches(100) == 128
+
+
+def test_recall_on_the_documents_table(spark):
+    """Every pair at the threshold of a whole table, by brute force over shared shingles."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = brute(docs, 3, 85)
+    rows = neardup.op6_hyperminhash(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want

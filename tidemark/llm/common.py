@@ -26,9 +26,12 @@ def on_workers(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one is set here only where it is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file:///tmp/tidemark-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
@@ -39,7 +42,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._saved_at = path
+    return read
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote for these frames; only for such that nothing later reads."""
+    for df in frames:
+        if path := getattr(df, "_saved_at", None):
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:

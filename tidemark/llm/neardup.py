@@ -1,37 +1,66 @@
 """Near-duplicates by HyperMinHash.
 
 Each of 128 registers keeps, of the least hash of a text's shingles, the
-count of leading zeros and ten mantissa bits, 16 bits in all.  Bands of four
-registers bring texts together (a pair at the threshold misses all 32 bands
-once in 10^10); matching registers, corrected for chance matches of compressed
-ones, estimate Jaccard similarity and drop pairs far below the threshold; the
-rest is confirmed on the full shingle sets.
-
-Equal sets count as one *class* throughout.  Within a band bucket every class
-is first compared with one hub, so a group of thousands of copies costs a
-comparison each and not all pairs.  Components follow from the links; buckets
-that still hold several components are compared with a second hub, the class
-with most links so far, and what is left then goes the exact way: by the
-rarest shingles of sets in different components, of which two at the threshold
-must share one early enough.
+count of leading zeros and ten mantissa bits, 16 bits in all.  Bands of
+registers bring texts together; their width follows from the threshold, so that
+a pair at it misses all bands less than once in 10^7 (bands of four for 0.80,
+4.7e-8, and for 0.85, 5.5e-11).  Matching registers, corrected for chance
+matches of compressed ones, estimate Jaccard similarity and drop pairs that
+would be at the threshold less than once in 10^8; the rest is confirmed on the
+full shingle sets.
+
+Equal sets count as one *class* throughout, told by a number.  Within a band
+bucket every class is first compared with two hubs, the least and the greatest
+class, so a group of thousands of copies costs two comparisons each and not
+all pairs; buckets of up to three classes are done with then.  Components
+follow from the links; what larger buckets still hold of several components is
+compared with a third hub, the class with most links so far, and what is left
+then goes the exact way: by the rarest shingles of sets in different
+components, of which two at the threshold must share one early enough.
+
+Buckets and hubs that hold more than a 4,096th of the rows (so fewer than 4,096
+of them) are dealt over several tasks.  Very long texts take memory in
+proportion to their own shingles, a text at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import on_workers, rows_of, saved, table
+from .common import forget, on_workers, rows_of, saved, table
 
-REGISTERS, BAND = 128, 4
+REGISTERS = 128
 MANTISSA = 10
 HEAD = 64  # rarest shingles of a set that travel with each of its postings
-SLACK = 0.2  # estimates so far under the threshold are dropped; over six standard errors
+MISSED_BY_BANDS, MISSED_BY_ESTIMATE = 1e-7, 1e-8  # chances of a pair at the threshold
+HOT_SHARE, COPIES = 4096, 32
+
+
+def band_width(percent: int) -> int:
+    """The widest bands of which a pair at the threshold shares one but for a chance of ``MISSED_BY_BANDS``."""
+    j = percent / 100
+    fit = [w for w in range(1, 9) if (1 - j**w) ** (REGISTERS // w) <= MISSED_BY_BANDS]
+    if not fit:
+        raise ValueError(f"a similarity of {j} is too low for {REGISTERS} registers")
+    return max(fit)
+
+
+def least_matches(percent: int) -> int:
+    """So many registers match, or more, for a pair at the threshold but for a chance of ``MISSED_BY_ESTIMATE``."""
+    j, missed, m = percent / 100, 0.0, 0
+    while True:
+        missed += comb(REGISTERS, m) * j**m * (1 - j) ** (REGISTERS - m)
+        if missed > MISSED_BY_ESTIMATE:
+            return m
+        m += 1
+
 
 _U = np.uint64
 _MUL = np.array([int.from_bytes(hashlib.blake2b(b"mul%d" % i, digest_size=8).digest(), "little") | 1 for i in range(REGISTERS)], _U)
@@ -96,49 +125,63 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """Per row its number, hash of the text, size and digest of its shingle set, and registers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for rows, ids, hashes, texts in rows_of(batches, "row", "doc_id", "t", "text"):
             ns, keys, regs = [], [], []
             for t in texts:
                 sh = shingles(t, width)
                 ns.append(len(sh))
                 keys.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
                 regs.append(registers(sh).tobytes() if len(sh) else None)
-            cols = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c", "regs"])
+            cols = [*(pa.array(x, pa.int64()) for x in (rows, ids, hashes, ns)), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "t", "n", "digest", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c binary, regs binary")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("t"), "text")
+    return numbered.mapInArrow(run, "row long, doc_id long, t long, n long, digest binary, regs binary")
 
 
-def _banded(classes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _banded(classes: DataFrame, width: int) -> DataFrame:
+    """``(bucket, c)``, one row for each band of a class."""
+    keys = [F.xxhash64(F.lit(k), F.substring("regs", 1 + 2 * width * k, 2 * width)) for k in range(REGISTERS // width)]
+    return classes.select(F.explode(F.array(*keys)).alias("bucket"), "c")
+
+
+def _met(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """Inner join by ``key``; rows of ``many`` with a hot key are dealt by ``by`` over copies of their row of ``one``.
+
+    ``hot`` holds fewer than ``HOT_SHARE`` keys, so it may be broadcast.
+    """
+    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    seat = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(COPIES)).cast("int")).otherwise(0)
+    seats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    many = many.join(hot, key, "left").withColumn("_seat", seat).drop("_hot")
+    one = one.join(hot, key, "left").withColumn("_seat", F.explode(seats)).drop("_hot")
+    return many.join(one, [key, "_seat"]).drop("_seat")
 
-        size = 2 * BAND
-        for cs, regs in rows_of(batches, "c", "regs"):
-            keys = [xxhash.xxh3_64_intdigest(r[k * size : (k + 1) * size], seed=k) - 2**63 for r in regs for k in range(REGISTERS // BAND)]
-            owners = [c for c in cs for _ in range(REGISTERS // BAND)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.binary())], ["bucket", "c"])
 
-    return classes.select("c", "regs").mapInArrow(run, "bucket long, c binary")
+def _hot(sizes: DataFrame, rows: int) -> DataFrame:
+    """Keys whose ``size`` is over a ``HOT_SHARE``-th of ``rows`` (and over 256)."""
+    return sizes.where(F.col("size") > max(256, rows // HOT_SHARE))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full sets ``(c, n, sh)`` of the classes in ``wanted(doc_id, c)``, from one document of each."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, unique: bool) -> DataFrame:
+    """Full sets ``(c, sh)`` of the classes in ``wanted(doc_id, digest, c)``, from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cs, texts in rows_of(batches, "c", "text"):
-            got = [(c, sh) for c, sh in ((c, shingles(t, width)) for c, t in zip(cs, texts)) if hashlib.blake2b(sh.tobytes(), digest_size=16).digest() == c]
-            cols = [pa.array([c for c, _ in got], pa.binary()), pa.array([len(s) for _, s in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["c", "n", "sh"])
+        for cs, digests, texts in rows_of(batches, "c", "digest", "text"):
+            got = [(c, sh) for c, d, sh in ((c, d, shingles(t, width)) for c, d, t in zip(cs, digests, texts)) if hashlib.blake2b(sh.tobytes(), digest_size=16).digest() == d]
+            cols = [pa.array([c for c, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["c", "sh"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("c", "text").mapInArrow(run, "c binary, n long, sh array<long>")
-    return found.dropDuplicates(["c"])
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("c", "digest", "text").mapInArrow(run, "c long, sh array<long>")
+    return found if unique else found.dropDuplicates(["c"])
 
 
-def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Which of the pairs ``(a, b)`` are links: first by registers, then on full sets."""
-    least = percent / 100 - SLACK
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b)``, each once with ``a < b``, that may be links by their sizes and registers."""
+    least = (least_matches(percent) - 0.5) / REGISTERS
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,83 +194,123 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
             estimate = ((x == y).mean(axis=1) - c) / (1 - c)
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(estimate >= least))
 
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    left = classes.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a"))
-    right = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
-    pairs = pairs.join(left, "a").join(right, "b").where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    pairs = pairs.mapInArrow(close, "a binary, b binary")
-    pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("sh").alias("s_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("sh").alias("s_b")), "b")
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    total = pairs.count()
+    for end, other in (("a", "b"), ("b", "a")):
+        hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), total)
+        rows = classes.select(F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("regs").alias(f"r_{end}"))
+        met = _met(pairs if end == "a" else met, rows, end, hot, other)
+    met = met.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+    out = saved(met.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(close, "a long, b long"), "likely")
+    forget(pairs)
+    return out
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Which of the pairs ``(a, b)`` are links, by their full sets."""
+    total = pairs.count()
+    for end, other in (("a", "b"), ("b", "a")):
+        hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), total)
+        met = _met(pairs if end == "a" else met, sets.select(F.col("c").alias(end), F.col("sh").alias(f"s_{end}")), end, hot, other)
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     either = F.size("s_a") + F.size("s_b") - both
-    return pairs.where(100 * both >= percent * either).select("a", "b")
+    return met.where(100 * both >= percent * either).select("a", "b")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(c, label)`` for every end of a link; the label is the least end that it reaches.
 
-    Labels spread along links and jump to their own labels' labels, so the
-    rounds grow with the logarithm of a component's width.
+    Labels spread along links and jump to their own labels' labels until
+    nothing changes; they only ever fall, so that comes to pass whatever the
+    links.  Each round is written and its predecessor deleted.
     """
     both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "c")
         step = labels.join(heard, "c").select("c", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = step.select(F.col("c").alias("label"), F.col("label").alias("far"))
         new = saved(step.join(jump, "label", "left").select("c", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        forget(labels)
         labels = new.select("c", "label")
         if new.where("label <> old").isEmpty():
+            forget(both)
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``class_id``, ``n_links``, ``component_id`` and ``kept``.
 
-    Linked are texts whose shingle sets have ``100 * both >= percent * either``.
-    ``class_id`` is the least id with the same set; ``n_links`` counts the
-    other classes that a document's class was found linked with (all that
-    components need, not every pair).  Null and empty texts have no shingles
-    and are linked with nothing, nor are rows with a null id; repeated rows
-    are told each and stay kept together; other columns are ignored.
-    """
+def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Signatures of all rows; per class its least id, number of links, component and whether it stands for it; whether ids are unique."""
     on_workers(docs.sparkSession)
+    band = band_width(percent)
     sigs = saved(_signatures(docs, width), "signatures")
-    classes = sigs.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    unique = sigs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("row").alias("c"), F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = saved(classes, "classes")
-    banded = _banded(classes)
-    hubs = banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = saved(banded.join(hubs, "bucket"), "members")
-    wanted = classes.join(members.select("c").distinct(), "c", "left_semi").select(F.col("class_id").alias("doc_id"), "c")
-    sets = saved(_sets(docs, wanted, width), "sets")
 
-    links = saved(_links(members.select(F.col("c").alias("a"), F.col("hub").alias("b")), classes, sets, percent), "round")
+    # Two hubs a bucket.
+    banded = _banded(classes, band)
+    buckets = saved(banded.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = _met(banded, buckets, "bucket", _hot(buckets, classes.count() * (REGISTERS // band)), "c")
+    hubs = F.when(F.col("c") == F.col("hi"), F.array("lo")).when(F.col("c") != F.col("lo"), F.array("lo", "hi"))
+    likely = _likely(members.select(F.col("c").alias("a"), F.explode(hubs).alias("b")), classes, percent)
+    rest = saved(members.where("size > 3 and c <> lo and c <> hi").select("bucket", "c"), "rest")
+    forget(buckets)
+
+    named = classes.select("c", "digest", F.col("class_id").alias("doc_id"))
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).union(rest.select("c")).distinct()
+    sets = saved(_sets(docs, named.join(wanted, "c", "left_semi"), width, unique), "sets")
+    links = saved(_confirmed(likely, sets, percent), "confirmed")
     labels = components(links)
+    forget(likely)
 
-    # Second hub: in buckets of several components, the class with most links.
+    # Third hub: in buckets of several components, the class with most links.
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("degree"))
-    placed = _open_buckets(members, labels)
-    placed = saved(placed.join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
-    second = placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"))
-    pairs = placed.join(second, "bucket").where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b"))
-    more = saved(_links(pairs, classes, sets, percent), "round")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
+    placed = saved(_open(rest, labels).join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
+    forget(rest)
+    third = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "third")
+    beside = _met(placed.select("bucket", "c", "label"), third, "bucket", _hot(third, placed.count()), "c")
+    likely = _likely(beside.where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b")), classes, percent)
+    rest = saved(beside.where(F.col("c") != F.col("hub.c")).select("bucket", "c"), "rest")
+    links, labels = _more(links, labels, _confirmed(likely, sets, percent))
+    forget(placed, third, likely)
 
     # The exact way for what is left of open buckets.
-    placed = saved(_open_buckets(members, labels), "open")
-    pairs = _rarest(placed.select("c", "label").distinct(), sets, percent)
-    more = saved(_links(pairs, classes, sets, percent), "round")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    named = classes.select("c", "class_id").join(labels, "c").join(degree, "c")
-    least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "label").select("c", "n_links", "component_id")
-    out = sigs.drop("regs").withColumn("c", F.when(F.col("doc_id").isNotNull(), F.col("c"))).join(classes.select("c", "class_id").join(named, "c", "left"), "c", "left")
+    left = saved(_open(rest, labels).select("c", "label").distinct(), "left")
+    likely = _likely(_rarest(left.join(classes.select("c", "n"), "c"), sets, percent), classes, percent)
+    links, labels = _more(links, labels, _confirmed(likely, sets, percent))
+    forget(rest, left, likely, sets)
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    told = classes.select("c", "digest", "class_id").join(labels, "c", "left").join(degree, "c", "left")
+    told = told.withColumns({"label": F.coalesce("label", "c"), "n_links": F.coalesce("n_links", F.lit(0))})
+    first = told.groupBy("label").agg(F.min(F.struct("class_id", "c")).alias("first"))
+    told = told.join(first, "label").select("digest", "class_id", "n_links", F.col("first.class_id").alias("component_id"), (F.col("c") == F.col("first.c")).alias("stands"))
+    return sigs, told, unique
+
+
+def _more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with the new links ``found``, which are between components."""
+    found = saved(found, "confirmed")
+    if found.isEmpty():
+        return links, labels
+    both = saved(links.union(found).distinct(), "confirmed")
+    forget(links, labels, found)
+    return both, components(both)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``class_id``, ``n_links``, ``component_id`` and ``kept``.
+
+    Linked are texts whose shingle sets have ``100 * both >= percent * either``.
+    ``class_id`` is the least id with the same set; ``n_links`` counts the
+    other classes that a document's class was found linked with (all that
+    components need, not every pair).  Null and empty texts have no shingles
+    and are linked with nothing, nor are rows with a null id; repeated rows
+    are told each and stay kept together; ties (equal sets) form one class;
+    an empty table gives no rows; other columns are ignored.
+    """
+    sigs, told, _ = _resolved(docs, width, percent)
+    out = sigs.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(told, "digest", "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id"))
     component = F.coalesce("component_id", "class_id")
     return out.select(
@@ -240,11 +323,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels, of the buckets that hold more than one component."""
-    placed = members.select("bucket", "c").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(bucket, c, label)`` of the buckets that still hold more than one component."""
+    placed = rest.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return placed.join(several, "bucket", "left_semi")
+    return placed.join(several, "bucket", "left_semi").select("bucket", "c", "label")
 
 
 def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +339,7 @@ def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shorter rest from that shingle on; and what the first ``HEAD`` shingles
     share, plus all behind the head that ends first.
     """
-    each = classes.join(sets, "c").select("c", "label", "n", F.explode("sh").alias("s"))
+    each = classes.join(sets, "c").select("c", "n", F.explode("sh").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("df"))
     by = Window.partitionBy("c").orderBy("df", "s")
     each = each.join(counts, "s").withColumn("rank", F.row_number().over(by))
@@ -264,8 +347,8 @@ def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = each.where(F.col("rank") <= F.greatest(F.least(F.col("n"), F.lit(HEAD)), F.col("n") - need + 1))
     first = each.where(F.col("rank") <= HEAD).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("head"))
     heads = first.select("c", F.transform("head", lambda x: x["s"]).alias("head"), F.element_at("head", -1).alias("last"))
-    rare = each.where((F.col("rank") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("s", "c", "label", "n", (F.col("n") - F.col("rank") + 1).alias("rest"))
-    rare = rare.join(heads, "c")
+    rare = each.where((F.col("rank") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("s", "c", "n", (F.col("n") - F.col("rank") + 1).alias("rest"))
+    rare = rare.join(heads.join(classes.select("c", "label"), "c"), "c")
     other = rare.select("s", *[F.col(c).alias(f"_{c}") for c in ("c", "label", "n", "rest", "head", "last")])
     need = percent * (F.col("n") + F.col("_n"))
     behind = F.when(F.col("last") <= F.col("_last"), F.col("n") - F.size("head")).otherwise(F.col("_n") - F.size("_head"))
@@ -275,13 +358,26 @@ def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component (that of least id; of equal ids one); rows with a null id or no shingles stay."""
+    """``docs`` with one row of each component, that of least id; same columns.
+
+    Null and empty texts and rows with a null id stay.  Of rows that share an
+    id, those with different texts are judged each; of equal ones, and of
+    those with equal shingle sets, one stays.  Ties: the least id, then the
+    first class; an empty table stays empty; other columns go along untouched.
+    """
+    sigs, told, unique = _resolved(docs, width, percent)
+    known = sigs.where("digest is not null and doc_id is not null").select("doc_id", "t", "digest").join(told, "digest")
+    if not unique:  # of the texts of one id and one set, that of least hash
+        known = known.withColumn("least", F.min("t").over(Window.partitionBy("doc_id", "digest"))).withColumn("stands", F.col("stands") & (F.col("t") == F.col("least")))
+    gone = known.where(~F.col("stands") | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("t").alias("_text"))
+    left = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    if unique:
+        return left
     names = docs.columns
-    drop = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti")
-    whole = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return whole.unionByName(left.where(F.col("doc_id").isNull())).select(*names)
+    whole = left.where(F.col("doc_id").isNotNull()).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return whole.select(*names).unionByName(left.where(F.col("doc_id").isNull()))
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``: three-word shingles, links from 0.85 on; edge cases as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
