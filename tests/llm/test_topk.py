@@ -39,10 +39,40 @@ def test_blocks_agree(spark):
     rows = [(i, [int(x) for x in r]) for i, r in enumerate(rng.integers(-60, 60, size=(300, 12)))]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     q = df.where("vec_id % 20 = 0")
-    small = topk.top_k(q, df, k=5, query_block=4, vector_block=40).collect()
+    small = topk.top_k(q, df, k=5, block=40 * 12).collect()
     assert sorted(small) == sorted(topk.top_k(q, df, k=5).collect())
 
 
+def test_reading_stops_on_proof():
+    """Vectors with a few large components: most postings are never read, and the results are exact."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-1, 2, size=(3000, 32))
+    v[np.arange(3000), rng.integers(0, 32, 3000)] += rng.integers(200, 900, 3000)
+    v = np.concatenate([v, v[:50]])
+    ids = np.concatenate([np.arange(3000), np.arange(50)])
+    order = np.argsort(ids, kind="stable")
+    index = topk.ImpactIndex(v[order], ids[order])
+    got = index.top(v[:40], np.arange(40), 10)
+    for i, (at, score) in enumerate(got):
+        s = v[order] @ v[i]
+        want = sorted((-x, j) for j, x in enumerate(s) if ids[order][j] != i)[:10]
+        assert list(zip((-score).tolist(), at.tolist())) == want
+    assert index.read < index.held / 2
+
+
+def test_numbers_of_any_size(spark):
+    big = [2**20 + 1, 2**33 + 7, 2**61, -(2**62)]
+    rows = [(i, [x, -x, 1]) for i, x in enumerate(big)] + [(20, [2**20 + 3, 5, 1]), (40, [3, 2])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df.where("vec_id % 20 = 0"), df).collect()}
+    pad = {i: v + [0] * (3 - len(v)) for i, v in rows}
+    for q in (0, 20, 40):
+        for j, v in pad.items():
+            if j != q:
+                exact = sum(a * b for a, b in zip(pad[q], v))
+                assert got[q, j] == min(max(exact, -(2**63)), 2**63 - 1)
+
+
 def test_few_and_none(spark, tmp_path):
     got = run(spark, [(0, [0.5]), (20, [0.25]), (20, [0.25]), (7, [0.5])], tmp_path / "a")
     assert [(i, s) for _, i, s in got[0]] == [(7, 1024), (20, 512), (20, 512)]
