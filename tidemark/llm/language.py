@@ -3,7 +3,8 @@
 A linear support vector machine per pair of language families picks the
 family first; within it, one machine per pair of languages (one-versus-one)
 tells the close relatives apart.  Most votes win, equal ones by summed
-margins.  Features are hashed letter n-grams (one to three) with word edges.
+margins.  Where there are more than a dozen families, such as lie near each
+other are first told from the rest together.  Features are hashed letter n-grams (one to three) with word edges.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import bounded_sample, fold, on_workers, rows_of, table
 
 FOLDS, HELD = 4, 2
 SIZE = 4096
+WIDEST = 12  # groups that one level tells apart
 #: Families of some languages; any other language is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -96,34 +98,74 @@ class Level:
 
 @dataclass
 class Model:
-    family: Level
-    within: dict[str, Level]
+    """A level of groups of languages, and for each group of more than one language the level below."""
+
+    level: Level
+    below: dict[str, Model]
+    alone: dict[str, str]  # languages of groups of one
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not any(map(str.isalpha, text)):
             return "und", 0.0
-        x = features(text)
-        name, p = self.family.pick(x)
-        lang, q = self.within[name].pick(x)
+        return self.pick(features(text))
+
+    def pick(self, x: np.ndarray) -> tuple[str, float]:
+        name, p = self.level.pick(x)
+        if name in self.alone:
+            return self.alone[name], p
+        lang, q = self.below[name].pick(x)
         return lang, p * q
 
 
-def fit(docs: DataFrame, per_language: int = 600, most_languages: int = 200, families: dict[str, str] = FAMILIES) -> Model | None:
+def _alike(hearts: dict[str, np.ndarray], most: int) -> list[list[str]]:
+    """Names in at most ``most`` groups, none of all names: those nearest to the same of some names that lie far apart."""
+    names = sorted(hearts)
+    seeds = [names[0]]
+    while len(seeds) < most:
+        seeds.append(min((n for n in names if n not in seeds), key=lambda n: (max(float(hearts[n] @ hearts[s]) for s in seeds), n)))
+    groups: dict[str, list[str]] = {s: [] for s in seeds}
+    for n in names:
+        groups[n if n in groups else max(seeds, key=lambda s: float(hearts[n] @ hearts[s]))].append(n)
+    return list(groups.values())
+
+
+def grow(x: np.ndarray, y: np.ndarray, groups: dict[str, list[str]]) -> Model:
+    """Machines between groups of languages, then within each; levels have at most ``WIDEST`` groups."""
+    hearts = {v: x[y == v].mean(axis=0) for g in groups.values() for v in g}
+    if len(groups) > WIDEST:
+        means = {g: np.mean([hearts[v] for v in vs], axis=0) for g, vs in groups.items()}
+        wider = [{g: groups[g] for g in part} for part in _alike(means, WIDEST)]
+    else:
+        wider = [{g: vs} for g, vs in groups.items()]
+    named = {"+".join(part): part for part in wider}  # a family's name, or those of several
+    of = {v: name for name, part in named.items() for vs in part.values() for v in vs}
+    rows = np.isin(y, list(of))
+    below, alone = {}, {}
+    for name, part in named.items():
+        langs = [v for vs in part.values() for v in vs]
+        if len(langs) == 1:
+            alone[name] = langs[0]
+        else:
+            below[name] = grow(x, y, part if len(part) > 1 else {v: [v] for v in langs})
+    return Model(Level.fit(x[rows], np.array([of[v] for v in y[rows]], dtype=object), sorted(named)), below, alone)
+
+
+def fit(docs: DataFrame, per_language: int = 600, most_languages: int = 500, most_rows: int = 8000, families: dict[str, str] = FAMILIES) -> Model | None:
     """Learns from rows outside fold ``HELD`` with a language and letters; None if there are none.
 
-    At most ``per_language`` rows a language teach (those of least key hash);
-    more than ``most_languages`` languages are refused.
+    Some ``per_language`` rows a language teach, and ``most_rows`` in all, of
+    the ``most_languages`` languages with most rows (ties by name; others are
+    never predicted); that bounds the driver's memory and the model.  Rows
+    without an id teach nothing; repeated rows of an id and language teach
+    once, by the least of their texts.
     """
     on_workers(docs.sparkSession)
-    rows = docs.where((fold("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = bounded_sample(rows.select("doc_id", F.col("lang").alias("y")), "y", per_language)
-    names = [r["y"] for r in chosen.select("y").distinct().orderBy("y").limit(most_languages + 1).collect()]
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    rows = docs.where((fold("doc_id", FOLDS) != HELD) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("y"), "text")
+    names = [r["y"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(most_languages).collect()]
     if not names:
         return None
-    # Ids may repeat; a chosen id brings in its rows of that language.
-    texts = rows.select("doc_id", F.col("lang").alias("y"), "text").join(F.broadcast(chosen.distinct()), ["doc_id", "y"])
+    chosen = bounded_sample(rows.where(F.col("y").isin(names)), "y", min(per_language, max(1, most_rows // len(names))))
+    texts = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, ys, part in rows_of(batches, "doc_id", "y", "text"):
@@ -132,15 +174,23 @@ def fit(docs: DataFrame, per_language: int = 600, most_languages: int = 200, fam
 
     got = texts.mapInArrow(run, "doc_id long, y string, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
+    if not got:
+        return None
     x = np.array([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
     y = np.array([r["y"] for r in got], dtype=object)
-    of = np.array([families.get(v, v) for v in y], dtype=object)
-    within = {f: Level.fit(x[of == f], y[of == f], sorted(set(y[of == f]))) for f in sorted(set(of))}
-    return Model(Level.fit(x, of, sorted(set(of))), within)
+    groups: dict[str, list[str]] = {}
+    for v in sorted(set(y)):
+        groups.setdefault(families.get(v, v), []).append(v)
+    return grow(x, y, groups)
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """A row per row of ``docs``; ``und`` with score 0 for texts without letters, or where nothing could be learned."""
+    """A row per row of ``docs``; ``und`` with score 0 for null texts and such without letters, or where nothing could be learned.
+
+    Very long texts are read whole; equal votes go by summed margins, then by
+    name; repeated rows are told each; an empty table gives no rows; other
+    columns are ignored.
+    """
     shared = on_workers(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,5 +204,6 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, learned from their ``lang``; edge cases as in ``fit`` and ``predicted``."""
     docs = table(spark, sf_dir, "documents")
     return predicted(docs, fit(docs))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, on_workers, rows_of, table
+from .common import bounded_sample, few, fold, on_workers, rows_of, table
 
 FOLDS = 5
 SIZE = 4096
@@ -42,7 +42,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     out: dict[int, float] = {}
     for prefix, counts, scale in ((b"s", shapes, 2.0), (b"w", Counter(raw.lower().split()), 1.0)):
         for w, c in counts.items():
-            at = zlib.crc32(prefix + w[:64]) % (SIZE - 2)
+            at = zlib.crc32(prefix + w) % (SIZE - 2)
             out[at] = out.get(at, 0.0) + scale * (c / n) ** 0.5
     out[SIZE - 2] = 2.0 * (sum(a == b for a, b in zip(words, words[1:])) / n) ** 0.5
     lines = raw.split(b"\n")
@@ -53,7 +53,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Ordinal:
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -66,7 +66,7 @@ class Ordinal:
         return float(self.grades[0] + np.diff(self.grades) @ above)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, w: np.ndarray, grades: list[int], steps: int = 150, decay: float = 1e-5) -> Ordinal:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, w: np.ndarray, grades: list[float], steps: int = 150, decay: float = 1e-5) -> Ordinal:
     """Weighted maximum likelihood with a small ridge, by Adam on the whole sample; ``y`` counts grades from 0."""
     levels = len(grades) - 1
     rng = np.arange(levels)
@@ -96,20 +96,41 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, w: np.ndarray, grades: list[int],
     return Ordinal(grades, p[: x.shape[1]], th)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = 2000, held: int = 0, most_grades: int = 20) -> Ordinal | None:
-    """A model of labelled rows outside fold ``held``, at most ``per_grade`` a grade; None with fewer than two grades.
+def _graded(marks: DataFrame, most_grades: int) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
+    """``marks`` with ``y`` counting grades from 0, the grades' values, and how many rows each has.
 
-    Rows whose id, grade or text is null teach nothing; of several grades for
-    one id the lowest counts.
+    More than ``most_grades`` different values become that many grades of
+    about as many rows each, valued at their mean.
+    """
+    values = [r["grade"] for r in marks.select("grade").distinct().orderBy("grade").limit(most_grades + 1).collect()]
+    cuts = values[1:]
+    if len(values) > most_grades:
+        wanted = [i / most_grades for i in range(1, most_grades)]
+        cuts = sorted(set(marks.agg(F.percentile_approx("grade", wanted, 10_000).alias("c")).first()["c"]))
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("grade")))
+    marks = marks.withColumn("y", at)
+    got = marks.groupBy("y").agg(F.avg("grade").alias("value"), F.count("*").alias("n")).collect()
+    return marks.drop("grade"), {r["y"]: r["value"] for r in got}, {r["y"]: r["n"] for r in got}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = 2000, held: int = 0, most_grades: int = 20, most_rows: int = 8000) -> Ordinal | None:
+    """A model of labelled rows outside fold ``held``; None with fewer than two grades.
+
+    Some ``per_grade`` rows a grade teach, and ``most_rows`` in all.  Rows whose
+    id, grade or text is null or whose grade isn't finite teach nothing; of
+    several grades for one id the lowest counts, of several texts the least, so
+    that repeated rows teach once.  Grades may be fractions.
     """
     on_workers(docs.sparkSession)
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", FOLDS) != held))
-    marks = marks.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    totals = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(most_grades + 1).collect()}
-    if len(totals) > most_grades:
-        raise ValueError(f"more than {most_grades} grades")
-    chosen = bounded_sample(marks, "y", per_grade)
+    grade = F.col(label).cast("double")
+    marks = labels.where(F.col("doc_id").isNotNull() & grade.isNotNull() & ~F.isnan(grade) & (F.abs(grade) < float("inf")) & (fold("doc_id", FOLDS) != held))
+    marks = marks.groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    marks, values, totals = _graded(marks, most_grades)
+    if len(totals) < 2:
+        return None
+    chosen = bounded_sample(marks, "y", min(per_grade, most_rows // len(totals)))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part, ys in rows_of(batches, "doc_id", "text", "y"):
@@ -128,14 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: i
         x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["x"], np.float32)
     y = np.array([grades.index(r["y"]) for r in rows])
     w = np.array([totals[r["y"]] / sizes[r["y"]] for r in rows])
-    return fit_ordinal(x, y, w, grades)
+    return fit_ordinal(x, y, w, [values[g] for g in grades])
 
 
 def scored(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """A row per row of ``docs``: expected grade, probability of the highest grade, the selection by it.
 
     Null and empty texts have no features and get what the thresholds say;
-    without a model the figures are null and every row is selected.
+    very long ones are read whole.  Texts that tie get equal figures, repeated
+    rows are told each, an empty table gives no rows, other columns are
+    ignored.  Without a model the figures are null and every row is selected.
     """
     shared = on_workers(docs.sparkSession).sparkContext.broadcast(model)
 
@@ -157,13 +180,17 @@ def scored(docs: DataFrame, model: Ordinal | None) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Ordinal | None, at: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose probability of the highest grade is under ``at``; same columns."""
+    """``docs`` without the rows whose probability of the highest grade is under ``at``; same columns, also ones named like the operator's own.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are
+    as in ``scored``; without a model all rows stay.
+    """
     if model is None:
         return docs
     shared = on_workers(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([bool(shared.value.above(t)[-1] >= at) for t in texts], pa.bool_()))
 
@@ -171,5 +198,6 @@ def kept(docs: DataFrame, model: Ordinal | None, at: float = 0.5) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, learned from ``labels.quality``; edge cases as in ``fit`` and ``scored``."""
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
