@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -39,7 +40,7 @@ def test_ids_of_edge_texts(tokens, library, text):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=30))
 def test_plan_packs_every_piece_once(histogram):
-    plan = packing.plan_for(histogram, 64)
+    plan, bound = packing.plan_for(histogram, 64)
     used = Counter()
     for filling, n in plan:
         assert n > 0 and sum(x * k for x, k in filling.items()) <= 64
@@ -48,7 +49,37 @@ def test_plan_packs_every_piece_once(histogram):
     assert used == Counter(histogram)
     total = sum(x * n for x, n in histogram.items())
     best_fit = sum(n for _, n in packing.rounded(histogram, [], 64))
-    assert -(-total // 64) <= sum(n for _, n in plan) <= max(best_fit + 2, int(best_fit * 1.1))
+    assert -(-total // 64) <= bound <= sum(n for _, n in plan) <= best_fit
+
+
+@pytest.mark.parametrize(
+    ("histogram", "capacity", "most", "least"),
+    [({1: 1, 21: 9, 33: 9}, 64, 9, 9), ({340: 9000, 530: 9000}, 1024, 9000, 9000), ({341: 30000, 530: 30000}, 1024, 30000, 30000), ({256: 4000, 504: 10, 520: 4000}, 1024, 4003, 4003)],
+)
+def test_program_on_hard_lengths(histogram, capacity, most, least):
+    plan, bound = packing.plan_for(histogram, capacity)
+    assert (sum(n for _, n in plan), bound) == (most, least)
+
+
+def test_program_beats_best_fit_and_nears_its_bound():
+    rng = random.Random(1)
+    histogram = {x: rng.randrange(1, 2000) for x in range(180, 700, 7)}
+    plan, bound = packing.plan_for(histogram, 1024)
+    n, best_fit = sum(k for _, k in plan), sum(k for _, k in packing.rounded(histogram, [], 1024))
+    print(f"{n} sequences, best-fit {best_fit}, bound {bound}")
+    assert bound <= n < best_fit and n <= bound * 1.03
+
+
+def test_amounts_cover_fractions():
+    """The program's amounts on a case solved by hand: halves of three lengths that go in pairs."""
+    histogram = {5: 1000, 6: 1000, 7: 1000}
+    fillings, bound = packing.solve(histogram, packing.rounded(histogram, [], 13), 13)
+    covered = Counter()
+    for f, x in fillings:
+        for length, k in f.items():
+            covered[length] += k * x
+    assert all(covered[x] <= 1000 + 1e-6 for x in histogram) and 1425 <= bound <= 1500
+    assert sum(x for _, x in fillings) <= 1500 * 1.05 and min(covered.values()) > 900
 
 
 def test_plan_is_no_worse_than_best_fit():

@@ -6,11 +6,13 @@
    non-negative amounts of fillings ("so many pieces of each length, together
    at most the capacity") that cover the histogram with as few sequences as
    possible.  Multiplicative weights solve it: each length has a price that
-   falls exponentially with the share of it that is covered; a knapsack
-   dynamic program finds the dearest fillings at these prices; they are used
-   until one of their lengths runs out.
+   falls exponentially with its cover; a knapsack dynamic program finds the
+   dearest fillings at these prices, which also bounds the program from below;
+   fillings near the best grow.
 3. Amounts are rounded down; what is left over is packed best-fit, largest
-   first, length by length.
+   first, length by length.  The residual may instead be filled greedily by
+   price first, and plain best-fit of everything competes: the plan of fewest
+   sequences is taken.
 4. Pieces are numbered within their length (counted per shard, so that no
    length sits in one task) and look up their place in the plan, whose size is
    bounded by capacity and rounds, not by the corpus.
@@ -148,13 +150,30 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: tuple[str, str] | None = Non
     return numbered.mapInArrow(run, PIECES)
 
 
-def plan_for(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """The plan of fewest sequences among solutions for two price curves and plain best-fit."""
-    plans = [rounded(histogram, solve(histogram, capacity, bulk=b), capacity) for b in (0.02, 0.1)] + [rounded(histogram, [], capacity)]
-    return min(plans, key=lambda p: sum(n for _, n in p))
+# --- the plan, on the driver ---------------------------------------------------------------
 
 
-# --- the plan, on the driver ---------------------------------------------------------------
+def plan_for(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """The plan of fewest sequences among the rounded program, its residual filled by price, and plain best-fit; with the program's lower bound."""
+    volume = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    plain = rounded(histogram, [], capacity)
+    if _sequences(plain) == volume:
+        return plain, volume
+    fillings, bound = solve(histogram, plain, capacity)
+    floors = [(f, int(x + 1e-9)) for f, x in fillings]
+    left = dict(histogram)
+    for f, n in floors:
+        for x, k in f.items():
+            left[x] -= k * n
+    plans = [plain, rounded(histogram, fillings, capacity)]
+    for bulk in (0.02, 0.1):
+        plans.append(rounded(histogram, floors + filled(left, capacity, bulk=bulk), capacity))
+        plans.append(rounded(histogram, filled(histogram, capacity, bulk=bulk), capacity))
+    return min(plans, key=_sequences), max(bound, volume)
+
+
+def _sequences(plan: list[tuple[dict[int, int], int]]) -> int:
+    return sum(n for _, n in plan)
 
 
 def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +193,115 @@ def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return best, took
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 64, rate: float = 0.05, tolerance: float = 1e-3, bulk: float = 0.02) -> list[tuple[dict[int, int], float]]:
-    """Fillings and fractional amounts that cover the histogram or less, by multiplicative weights.
+def _around(length: int, took: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest filling that holds a piece of this length."""
+    filling = {int(length): 1}
+    room = capacity - int(length)
+    while room > 0:
+        if not took[room]:
+            room -= 1
+            continue
+        filling[int(took[room])] = filling.get(int(took[room]), 0) + 1
+        room -= int(took[room])
+    return filling
+
+
+def solve(
+    histogram: dict[int, int], first: list[tuple[dict[int, int], int]], capacity: int = CAPACITY, accuracy: float = 0.05, pricings: int = 12, steps: int = 20_000
+) -> tuple[list[tuple[dict[int, int], float]], int]:
+    """Fillings with amounts that cover the histogram exactly, and a lower bound of the sequences, by multiplicative weights.
+
+    The covering program: least sum of amounts, each length covered as often
+    as the histogram says.  A length's weight falls exponentially with its
+    cover; its price is its weight by its count.  In each step all known
+    fillings whose value at these prices is near the best get more, in
+    proportion to what they have.  Now and then the knapsack prices all
+    fillings there are: at first the dearest around each length, later the
+    dearest alone, are added if they beat those known, and its value gives a
+    dual bound, both for the present prices and for their average.  The steps
+    end when every length has been covered ``log(lengths) / accuracy ** 2``
+    times, in scaled amounts.  ``first`` are the fillings to begin with;
+    ``pricings`` bulk additions and ``steps`` steps are the most.
+    """
+    lengths = np.array(sorted(x for x, n in histogram.items() if n > 0))
+    need = np.array([histogram[x] for x in lengths], dtype=float)
+    row = {int(x): i for i, x in enumerate(lengths)}
+    known: dict[tuple, int] = {}
+    entries: list[tuple[int, int, float]] = []  # row, filling, pieces by need
+
+    def add(filling: dict[int, int]) -> None:
+        key = tuple(sorted(filling.items()))
+        if key not in known:
+            known[key] = len(known)
+            entries.extend((row[x], known[key], k / need[row[x]]) for x, k in filling.items())
+
+    def priced(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        price = np.zeros(capacity + 1)
+        price[lengths] = weight / need
+        return _knapsack(price, capacity)
+
+    for f, _ in first:
+        add(f)
+    goal = np.log(max(len(lengths), 2)) / accuracy**2
+    every = max(5, int(goal / 25))
+    cover, amount = np.zeros(len(lengths)), np.zeros(0)
+    mean, bound, worth = np.zeros(len(lengths)), 0.0, 0.0
+    for step in range(steps):
+        open_ = cover < goal
+        if not open_.any():
+            break
+        # At first a price is the length, whose dual bound is that of the volume.
+        weight = np.where(open_, lengths * need * np.exp(-accuracy * (cover - cover[open_].min())), 0.0)
+        weight /= weight.sum()
+        mean += weight
+        if step % every == 0:
+            best, took = priced(weight)
+            bound = max(bound, 1 / best[capacity])
+            if step == 0 or best[capacity] > worth * (1 + accuracy / 50):
+                value = best[capacity - lengths] + weight / need
+                for x in lengths[weight > 0] if step < every * pricings else [lengths[np.argmax(value)]]:
+                    add(_around(x, took, capacity))
+                r, c, m = (np.array(v) for v in zip(*entries))
+                least = np.full(len(known), np.inf)
+                np.minimum.at(least, c, 1 / m)
+                amount = np.concatenate([amount, np.zeros(len(known) - len(amount))])
+                amount = np.maximum(amount, 1e-3 * least / len(known))
+                cover = np.bincount(r, m * amount[c], minlength=len(lengths))
+        value = np.bincount(c, m * weight[r], minlength=len(known))
+        worth = value.max()
+        more = np.where(value >= worth * (1 - accuracy), amount, 0.0)
+        gain = np.bincount(r, m * more[c], minlength=len(lengths))
+        pace = min(1.0, 1.0 / gain.max())
+        amount += pace * more
+        cover += pace * gain
+    bound = int(np.ceil(max(bound, 1 / priced(mean / mean.sum())[0][capacity]) - 1e-6))
+    if cover.min() <= 0:
+        return [(dict(f), float(n)) for f, n in first], bound
+    amount /= cover.min()
+    return _trimmed([(dict(f), amount[i]) for f, i in known.items() if amount[i] > 1e-9], histogram), bound
+
+
+def _trimmed(fillings: list[tuple[dict[int, int], float]], histogram: dict[int, int]) -> list[tuple[dict[int, int], float]]:
+    """The amounts cut, fullest fillings kept first, so that no length is covered more often than the histogram has it."""
+    left = {x: float(n) for x, n in histogram.items()}
+    out = []
+    for f, n in sorted(fillings, key=lambda x: (-sum(a * k for a, k in x[0].items()), -x[1], sorted(x[0].items()))):
+        n = min([n, *(left[x] / k for x, k in f.items())])
+        if n > 1e-9:
+            for x, k in f.items():
+                left[x] -= k * n
+            out.append((f, n))
+    return out
+
+
+def filled(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 64, rate: float = 0.05, tolerance: float = 1e-3, bulk: float = 0.02) -> list[tuple[dict[int, int], float]]:
+    """Fillings for whole pieces, the dearest first, each used until one of its lengths runs out.
 
     Every round prices a length that is still open at
     ``length ** (1 + bulk) * exp(-rate * covered share)``, solves one knapsack
     and takes, for each open length, the best filling that holds it, if its
     value is within ``tolerance`` of the best of all.  ``bulk`` over 0 keeps
-    short pieces for the ends.  At most ``rounds * capacity`` fillings come out.
+    short pieces for the ends.
     """
     need = np.zeros(capacity + 1)
     for length, n in histogram.items():
@@ -197,19 +317,10 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 64,
         best, took = _knapsack(price, capacity)
         used = False
         for length in open_[::-1]:
-            if left[length] < 1:
-                continue
-            if price[length] + best[capacity - length] < (1 - tolerance) * best[capacity]:
+            if left[length] < 1 or price[length] + best[capacity - length] < best[capacity] * (1 - tolerance):
                 continue
-            filling: dict[int, int] = {int(length): 1}
-            room = capacity - int(length)
-            while room > 0:
-                if not took[room]:
-                    room -= 1
-                    continue
-                filling[int(took[room])] = filling.get(int(took[room]), 0) + 1
-                room -= int(took[room])
-            amount = min(left[x] / k for x, k in filling.items())
+            filling = _around(length, took, capacity)
+            amount = int(min(left[x] // k for x, k in filling.items()))
             if amount < 1:
                 continue
             for x, k in filling.items():
@@ -290,9 +401,11 @@ def places(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
 def pack(docs: DataFrame, vocabulary: str | None = None, ranks: tuple[str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its sequence and the place in it.
 
-    Null texts count as empty (one token, the end id); repeated rows are packed
-    each; extra columns are ignored; an empty table gives no rows.  Sequences
-    are numbered from 0 and filled without gaps.
+    Null texts count as empty (one token, the end id); very long ones are cut
+    into as many pieces as they need; repeated rows are packed each; pieces of
+    one length tie and take their places by id, row and piece; extra columns
+    are ignored; an empty table gives no rows.  Sequences are numbered from 0
+    and filled without gaps.
     """
     spark = on_workers(docs.sparkSession)
     if vocabulary is None:
@@ -301,7 +414,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: tuple[str, str]
         vocabulary, ranks = default_vocabulary(), (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     cut = saved(pieces(docs, vocabulary, ranks, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(places(plan_for(histogram, capacity)))
+    plan = spark.sparkContext.broadcast(places(plan_for(histogram, capacity)[0]))
 
     shards = partitions(spark)
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards)).cast("int"))
@@ -328,4 +441,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: tuple[str, str]
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of 1024 tokens; edge cases as in ``pack``."""
     return pack(table(spark, sf_dir, "documents"))
