@@ -83,3 +83,35 @@ def test_hint_never_hides_a_match(rule):
         if t and re.search(rule.pattern, t, re.A):
             assert re.search(rule.hint, t, re.A) or rule.kind == "assign" and not re.search(rule.hint, t)
             assert re.search(rule.hint, t)
+
+
+def test_many_spans_of_long_texts(documents):
+    text = " ".join(f"token=abcdefgh{k} {'0123456789abcdef' * 2 if k % 3 else 'xé'}" for k in range(3000))
+    df = documents([(1, text), (2, "AKIA" + "B" * 16)])
+    assert told(secrets.scan_documents(df).collect()) == {1: brute(text), 2: "access:0:20"}
+    out, at = [], 0
+    for kind in brute(text).split(","):
+        a, b = map(int, kind.split(":")[1:])
+        out += [text[at:a], "[SECRET]"]
+        at = b
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert clean == {1: "".join(out) + text[at:], 2: "[SECRET]"}
+
+
+def test_the_query_keeps_a_ledger_between_runs(spark, documents, tmp_path):
+    """A second run scans only texts that the first hasn't seen and tells the same of the rest; runs are merged."""
+    path = f"file://{tmp_path}/ledger"
+    spark.conf.set("tidemark.ledger", path)
+    try:
+        for n in (6, 6, 9):
+            documents([(k, TEXTS[k]) for k in range(n)]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+            rows = secrets.op3_secret_ledger(spark, str(tmp_path)).collect()
+            assert {r["doc_id"]: r["spans"] for r in rows} == {k: brute(TEXTS[k]) for k in range(n)}
+    finally:
+        spark.conf.unset("tidemark.ledger")
+    ledger = secrets.BlobLedger.opened(spark, path)
+    assert [spark.read.parquet(r).count() for r in ledger.runs] == [6 * 3, 0, 3 * 3]
+    before = ledger.findings().collect()
+    ledger.merge()
+    again = secrets.BlobLedger.opened(spark, path)
+    assert len(again.runs) == 1 and sorted(again.findings().collect()) == sorted(before)

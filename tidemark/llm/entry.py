@@ -12,7 +12,9 @@ from .neardup import op6_hyperminhash
 from .packing import op2_packing
 from .pieces import op10_sentencepiece
 from .quality import op1_quality
+from .secrets import SQL as SECRETS_SQL
 from .secrets import op3_secret_ledger
+from .spotsigs import SQL as SPOTSIGS_SQL
 from .spotsigs import op9_spotsigs
 from .topk import SQL as TOPK_SQL
 from .topk import op7_topk
@@ -30,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_sentencepiece": op10_sentencepiece,
 }
-SQL: dict[str, str] = {"op7_topk": TOPK_SQL}
+SQL: dict[str, str] = {"op3_secret_ledger": SECRETS_SQL, "op7_topk": TOPK_SQL, "op9_spotsigs": SPOTSIGS_SQL}

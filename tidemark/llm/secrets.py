@@ -69,16 +69,29 @@ def spans_of(text: Column, rule: Rule) -> Column:
         span = F.array(F.struct(begin.alias("start"), end.alias("stop")))
         return F.struct(end.alias("at"), F.when(part["held"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    # Places within each run of parts, then the runs' own places.
+    runs = F.transform(in_runs(parts), lambda run: F.aggregate(run, start, step))
+    begins = F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + run["at"])))
+    moved = F.zip_with(
+        F.filter(runs, lambda r: r.isNotNull()), begins, lambda run, at: F.transform(run["spans"], lambda x: F.struct((x["start"] + at).alias("start"), (x["stop"] + at).alias("stop")))
+    )
+    found = F.flatten(F.filter(moved, lambda x: x.isNotNull()))
     return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(SPANS))
 
 
+def in_runs(items: Column, most: int = 64) -> Column:
+    """An array in runs of at most ``most`` items: what is appended item by item copies a run, not the whole."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / most) - 1, F.lit(0)).cast("int")), lambda i: F.slice(items, i * most + 1, most))
+
+
 def address(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
 class BlobLedger:
-    """The findings so far, a folder of Parquet files that every executor can reach."""
+    """The findings so far, a folder of Parquet files that every executor can reach; one writer at a time."""
+
+    MOST_RUNS = 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.runs = spark, path, []
@@ -115,6 +128,17 @@ class BlobLedger:
         path = f"{self.path}/run={len(self.runs):06d}-{uuid.uuid4().hex}"
         fresh.write.parquet(path)
         self.runs.append(path)
+        if len(self.runs) > self.MOST_RUNS:
+            self.merge()
+
+    def merge(self) -> None:
+        """One run in place of all; a reader or a crash between the steps meets pairs twice, which ``findings`` tells once."""
+        path = f"{self.path}/run={len(self.runs):06d}-{uuid.uuid4().hex}"
+        self.rows().groupBy("blob", "rule").agg(F.first("spans").alias("spans")).write.parquet(path)
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for run in self.runs:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(run), True)
+        self.runs = [path]
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """One row per blob with any finding: ``found``, spans with kind and order, by start and then by the rules' order."""
@@ -132,7 +156,10 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None, rules: tup
 
     Null texts count as empty; repeated rows are told each; an empty table
     gives no rows; other columns stay, also ones named like the operator's own
-    (``blob`` is kept apart under another name while it works).
+    (``blob`` is kept apart under another name while it works), but for a
+    ``found``, which is replaced.  Very long texts and such with many spans
+    take time in proportion.  Spans that start together are told in the order
+    of the rules.
     """
     spark = docs.sparkSession
     ledger = ledger or BlobLedger(spark, f"{work_folder(spark)}/ledger-{uuid.uuid4().hex}")
@@ -145,20 +172,32 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None, rules: tup
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span (overlaps as one) replaced by ``mark`` and ``n_chars`` counted anew; same columns."""
+    """``docs`` with every found span (overlaps as one) replaced by ``mark`` and ``n_chars`` counted anew; same columns.
+
+    Null, empty and very long texts, ties, repeated rows, empty tables and
+    clashing names are as in ``scan_documents``; null texts stay null.
+    """
     names = docs.columns
     scanned = scan_documents(docs)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+    def step(acc: Column, s: Column, part: Column, first: Column) -> Column:
+        between = F.substring(part, (acc["at"] - first + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
+    def clean_run(acc: Column, run: Column) -> Column:
+        """Cuts out the text of a run of spans once, and cleans it."""
+        last = F.greatest(acc["at"], F.array_max(F.transform(run, lambda s: s["stop"])))
+        part = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (last - acc["at"]).cast("int"))
+        begin = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+        cleaned = F.transform(F.array(part), lambda p: F.aggregate(run, begin, lambda a, s: step(a, s, p, acc["at"])))[0]
+        return F.struct(last.alias("at"), F.concat(acc["outs"], F.array(cleaned["out"])).alias("outs"))
+
     def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
+        return F.concat(F.array_join(acc["outs"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
 
-    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, rest)).otherwise(F.col("text"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("outs"))
+    clean = F.when(F.size("found") > 0, F.aggregate(in_runs(F.col("found")), start, clean_run, rest)).otherwise(F.col("text"))
     out = scanned.withColumn("text", clean)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -166,11 +205,48 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: matches of each kind and digests of all spans.  The method itself adds no kinds, so all spans are the base ones."""
-    docs = scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Per document of all ``documents``: matches of each kind and digests of all spans.
+
+    The method itself adds no kinds, so all spans are the base ones.  The
+    ledger is that in the folder ``tidemark.ledger``, kept from run to run, or
+    a new one where the session names none.  Edge cases as in ``scan_documents``.
+    """
+    kept = spark.conf.get("tidemark.ledger", None)
+    ledger = BlobLedger.opened(spark, kept) if kept else None
+    docs = scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return docs.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _sql_matches(order: int, rule: Rule) -> str:
+    """Matches of one rule and the gaps before them; letters in either case are spelt out, as only ASCII ones may match."""
+    pattern = rule.pattern
+    if pattern.startswith("(?i)"):
+        head, cut, tail = pattern[4:].partition(")")
+        pattern = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + cut + tail
+    pattern = pattern.replace("'", "''")
+    return (
+        f"SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, {rule.least} AS least, regexp_extract_all(t, '{pattern}', 0) AS whole, "
+        f"regexp_extract_all(t, '{pattern}', {rule.group}) AS held, regexp_split_to_array(t, '{pattern}') AS gap FROM d"
+    )
+
+
+# The same in DuckDB: places from the lengths of gaps and matches.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_sql_matches(i, r) for i, r in enumerate(RULES))}),
+e AS (SELECT doc_id, kind, ord, least, unnest(list_transform(range(1, len(whole) + 1), lambda i: struct_pack(i := i, n := length(held[i]), w := length(whole[i]), g := length(gap[i])))) AS x FROM m),
+p AS (SELECT doc_id, kind, ord, least, x.n AS n, x.w AS w, sum(x.g + x.w) OVER (PARTITION BY doc_id, kind ORDER BY x.i) AS stop FROM e),
+f AS (SELECT doc_id, kind, ord, CAST(stop - w AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p WHERE n >= least),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""

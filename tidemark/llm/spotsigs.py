@@ -11,12 +11,13 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import json
 from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, table
+from .common import saved, table
 
 #: Common words of four languages.
 ANCHORS = tuple(
@@ -26,6 +27,12 @@ ANCHORS = tuple(
     "el los las y en que con por para se del una al es no su".split()
 )
 CHAIN = 3
+LEAST = 0.2  # of ``op9_spotsigs``: sets that differ more in length aren't compared
+
+
+def signature(words: Column) -> Column:
+    """The first 60 bits of the MD5 of some words."""
+    return F.conv(F.substring(F.md5(words), 1, 15), 16, 10).cast("long")
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> tuple[dict, dict, Column]:
@@ -40,7 +47,7 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CH
     def spot(w: Column, i: Column) -> Column:
         rest = [F.get(F.col("_content"), i + k) for k in range(1, chain)]
         bare = [F.ltrim(x, F.lit("\x01")) for x in (w, *rest)]
-        return F.when(w.startswith("\x01") & rest[-1].isNotNull(), F.xxhash64(*bare))
+        return F.when(w.startswith("\x01") & rest[-1].isNotNull(), signature(F.concat_ws(" ", *bare)))
 
     return {"_words": words}, {"_content": F.filter(F.transform("_words", tag), lambda w: w != "")}, F.array_compact(F.transform("_content", spot))
 
@@ -48,14 +55,17 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CH
 def with_signatures(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """Adds the array column ``out``.
 
-    A text too short or too plain to hold a chain has one signature: the hash
-    of all its words; a text without words has none.
+    A text without any such chain (another language, a list of names) has the
+    chains of all its words, as if a common word stood before each; one of
+    fewer words than a chain has one signature, that of all of them, and one
+    without words none.
     """
     words, content, spots = signatures(F.coalesce(F.col(text), F.lit("")), anchors, chain)
-    df = df.withColumns(words).withColumns(content).withColumn("_spots", spots)
-    plain = F.filter("_words", lambda w: w != "")
-    whole = F.when(F.size(plain) > 0, F.array(F.xxhash64(F.array_join(plain, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.when(F.size("_spots") > 0, F.array_sort(F.array_distinct("_spots"))).otherwise(whole)).drop("_words", "_content", "_spots")
+    df = df.withColumns(words).withColumns(content).withColumn("_spots", spots).withColumn("_plain", F.filter("_words", lambda w: w != ""))
+    chains = F.transform(F.sequence(F.lit(1), F.size("_plain") - (chain - 1)), lambda i: signature(F.array_join(F.slice("_plain", i, chain), " ")))
+    plain = F.when(F.size("_plain") >= chain, chains).when(F.size("_plain") > 0, F.array(signature(F.array_join("_plain", " ")))).otherwise(F.array().cast("array<bigint>"))
+    found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(plain)
+    return df.withColumn(out, F.array_sort(F.array_distinct(found))).drop("_words", "_content", "_spots", "_plain")
 
 
 def as_text(sigs: Column) -> Column:
@@ -119,8 +129,9 @@ def beside_next(docs: DataFrame, rows_a_part: int = 500) -> DataFrame:
     many = max(1, floor(len(bounds) ** 0.5))
     rows = [bounds[i : i + many] for i in range(0, len(bounds), many)]
     if bounds:
-        heads = F.array(*[F.lit(r[0]).cast("long") for r in rows])
-        blocks = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
+        # Constants that Catalyst folds into one literal each, however many bounds there are.
+        heads = F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<bigint>")
+        blocks = F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>")
         row = F.size(F.filter(heads, lambda x: x <= F.col("doc_id")))
         at = F.size(F.filter(F.element_at(blocks, row), lambda x: x <= F.col("doc_id")))
         part = F.when(F.col("doc_id").isNull(), 0).otherwise((row - 1) * many + at - 1)
@@ -139,10 +150,14 @@ def beside_next(docs: DataFrame, rows_a_part: int = 500) -> DataFrame:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how alike they are to the edited and the next one's.
-
-    Null texts count as empty; two texts without words are alike (1), one
-    without words is unlike any other (0); repeated rows are told each.
+    """Fingerprints of every text of ``documents`` and of its edited text, and how alike they are to the edited and the next one's.
+
+    Sets go by partitions of their length; two whose lengths alone keep their
+    similarity under ``LEAST`` are told 0 without being compared.  Null texts
+    count as empty, very long ones are read whole; two texts without words are
+    alike (1), one without words is unlike any other (0); rows with equal ids
+    go by text; repeated rows are told each; an empty table gives no rows;
+    other columns are ignored.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = with_signatures(docs, "text", "sigs").withColumn("n", F.length("text"))
@@ -157,7 +172,44 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sigs")).alias("fingerprint"),
         as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        likeness(F.col("sigs"), F.col("edited_sigs"), LEAST).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs"), LEAST).alias("near_next"),
         length_partition(F.size("sigs"), 0.8).alias("length_partition"),
     )
+
+
+def _sql_signatures(text: str, out: str, source: str, target: str) -> str:
+    """Common table expressions that add the sorted signatures of ``text`` to ``source``."""
+    anchors = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS)) + "]"
+    sig = "md5({})[1:15]"
+    return f"""
+{target}_w AS (SELECT *, regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+') AS w FROM {source}),
+{target}_c AS (
+  SELECT *, list_filter(w, lambda x: x <> '') AS plain,
+    list_filter(list_transform(range(1, len(w) + 1), lambda i: struct_pack(x := w[i], a := i > 1 AND list_contains({anchors}, w[greatest(i - 1, 1)]))), lambda s: s.x <> '' AND NOT list_contains({anchors}, s.x)) AS c
+  FROM {target}_w),
+{target}_s AS (
+  SELECT *, list_transform(list_filter(range(1, len(c) - {CHAIN - 2}), lambda i: c[i].a), lambda i: {sig.format("c[i].x || ' ' || c[i + 1].x || ' ' || c[i + 2].x")}) AS spots,
+    list_transform(range(1, len(plain) - {CHAIN - 2}), lambda i: {sig.format("plain[i] || ' ' || plain[i + 1] || ' ' || plain[i + 2]")}) AS chains
+  FROM {target}_c),
+{target} AS (
+  SELECT * EXCLUDE (w, c, plain, spots, chains), list_sort(list_distinct(CASE WHEN len(spots) > 0 THEN spots WHEN len(chains) > 0 THEN chains
+    WHEN len(plain) > 0 THEN [{sig.format("array_to_string(plain, ' ')")}] ELSE [] END)) AS {out}
+  FROM {target}_s)"""
+
+
+def _sql_likeness(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"""CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1.0::DOUBLE WHEN least(len({a}), len({b})) = 0 OR least(len({a}), len({b})) < greatest(len({a}), len({b})) * {LEAST}::DOUBLE THEN 0.0::DOUBLE
+    ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"""
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),{_sql_signatures("text", "sigs", "d", "t")},
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS k, count(*) OVER () AS total FROM t),
+b AS (SELECT r.*, o.text AS next_text, o.sigs AS next_sigs, left(r.text, r.n - r.n // 4) || left(o.text, r.n // 4) AS edited FROM r JOIN r o ON o.k = r.k % r.total + 1),{_sql_signatures("edited", "edited_sigs", "b", "e")}
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(list_transform(sigs, lambda s: '0' || s), '') AS fingerprint,
+  array_to_string(list_transform(edited_sigs, lambda s: '0' || s), '') AS edited_fingerprint, {_sql_likeness("sigs", "edited_sigs")} AS near_edited, {_sql_likeness("sigs", "next_sigs")} AS near_next,
+  CAST(floor(ln(greatest(len(sigs), 1)::DOUBLE) / -ln(0.8::DOUBLE)) AS INTEGER) AS length_partition
+FROM e
+"""
