@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+import threading
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,9 @@ from tidemark.functions import alerts
 from tidemark.functions.scalars import readable_size
 from tidemark.operators import reconcile
 from tidemark.operators.versions import latest_live
-from tidemark.plans.refresh import MartStore, Node, ordered, refresh
+from tidemark.plans.refresh import MartStore, Node, ordered, refresh, refresh_every
 from tidemark.sources.schema import KAFKA
-from tidemark.sources.tables import recorded_stream, replay_text
+from tidemark.sources.tables import jdbc_options, recorded_stream, replay_text
 from tidemark.streaming import stream
 
 
@@ -35,13 +36,13 @@ def test_stream_equals_batch_and_backfill(spark, tmp_path):
     m = messages(spark)
     m.repartition(5).write.parquet(f"{tmp_path}/in")
     one, many, again = (stream.Sink(spark, f"{tmp_path}/{x}") for x in ("one", "many", "again"))
-    stream.write_batch(one, m, "0", F.expr("timestamp_seconds(0)"))
+    stream.take(one, m, "0", F.expr("timestamp_seconds(0)"))
     q = stream.start(recorded_stream(spark, f"{tmp_path}/in"), many, f"{tmp_path}/cp", every=None)
     assert q.awaitTermination(120)
     assert state(one) == state(many) and len(state(one)[0]) == 10
     assert many.read("raw_events").count() == 40 and many.read("quarantine_stg_orders").count() == 1
     # A replayed batch and a back-fill run twice change nothing.
-    stream.write_batch(one, m, "0", F.expr("timestamp_seconds(0)"))
+    stream.take(one, m, "0", F.expr("timestamp_seconds(0)"))
     assert one.read("raw_events").count() == 40
     for _ in range(2):
         assert stream.backfill(many, "2026-01-01", "2026-02-01", again) == 2
@@ -51,7 +52,7 @@ def test_stream_equals_batch_and_backfill(spark, tmp_path):
 def test_contract_break_writes_nothing(spark, tmp_path):
     broken = messages(spark, 3).withColumn("value", F.lit("not json").cast("binary"))
     with pytest.raises(stream.ContractBroken):
-        stream.write_batch(stream.Sink(spark, f"{tmp_path}/s"), broken, "0")
+        stream.take(stream.Sink(spark, f"{tmp_path}/s"), broken, "0")
     assert not (tmp_path / "s").exists()
 
 
@@ -88,6 +89,93 @@ def test_refresh_keeps_old_rows_on_failure(spark, tmp_path):
         ordered([Node("x", second, ("y",))])
 
 
+def test_a_reader_and_a_crash_between_the_steps(spark, tmp_path, monkeypatch):
+    store = MartStore(spark, f"file://{tmp_path}/marts")
+    store.write("a", spark.range(3))
+    reader = store.read("a")
+    store.write("a", spark.range(5))
+    assert reader.count() == 3 and store.read("a").count() == 5  # the old folder is still there for its reader
+
+    def dies(name, folder):
+        raise OSError("the driver died")
+
+    monkeypatch.setattr(store, "_point", dies)
+    with pytest.raises(OSError):
+        store.write("a", spark.range(7))
+    monkeypatch.undo()
+    assert store.read("a").count() == 5
+    store.grace_s = -1
+    store.write("a", spark.range(9))
+    assert store.read("a").count() == 9 and sum(p.name.startswith("v-") for p in (tmp_path / "marts/a").iterdir()) == 1
+
+
+def test_refresh_on_a_beat(spark, tmp_path):
+    store, stop, told = MartStore(spark, f"file://{tmp_path}/marts"), threading.Event(), []
+
+    def tell(states):
+        told.append(states[0]["status"])
+        if len(told) == 2:
+            stop.set()
+
+    assert refresh_every(store, [Node("a", lambda: spark.range(2))], tell, stop, every_s=0.1) == 2 and told == ["Scheduled"] * 2
+
+
+def test_a_new_checkpoint_replaces_nothing(spark, tmp_path):
+    m = messages(spark)
+    m.where("offset < 20").coalesce(1).write.parquet(f"{tmp_path}/one")
+    m.where("offset >= 20").coalesce(1).write.parquet(f"{tmp_path}/two")
+    sink = stream.Sink(spark, f"{tmp_path}/sink")
+    for x in ("one", "two"):
+        assert stream.start(recorded_stream(spark, f"{tmp_path}/{x}"), sink, f"{tmp_path}/cp-{x}", every=None).awaitTermination(120)
+    assert sink.read("raw_events").count() == 40 and len(sink.folders("raw_events")) == 2
+    assert "stg_order_items" not in sink.tables()  # nothing came, nothing was written
+    before = state(sink)
+    assert sink.compact("raw_events", over=1) == 2 and len(sink.folders("raw_events")) == 1
+    assert sink.compact("stg_orders", over=1) == 2 and state(sink) == before and sink.read("raw_events").count() == 40
+    assert sink.expire(date(2026, 1, 2)) == 1 and sink.read("raw_events").count() == 20
+    sizes = {r["table_name"]: r["bytes"] for r in sink.sizes().collect()}
+    assert sizes["raw_events"] > 0 and set(sizes) == set(sink.tables())
+
+
+def test_history_rows_are_set_aside(spark, tmp_path):
+    """Of the transitions, those without a state or an order go aside with a reason."""
+    sink = stream.Sink(spark, f"{tmp_path}/s")
+    keyless = messages(spark).withColumn("key", F.when(F.col("offset") == 3, F.lit(None)).otherwise(F.col("key")))
+    stream.take(sink, keyless, "0")
+    aside = {(r["table_name"], r["reason"], r["kafka_offset"]) for t in ("stg_orders", stream.HISTORY) for r in sink.read(f"quarantine_{t}").collect()}
+    assert aside == {("stg_orders", "bad status", 7), (stream.HISTORY, "bad status", 7), ("stg_orders", "bad order_id", 3), (stream.HISTORY, "bad order_id", 3)}
+
+
+def test_marker_file(tmp_path):
+    now = [5.0]
+    alive = stream.Liveness(lambda: now[0], str(tmp_path / "alive"))
+    first = (tmp_path / "alive").read_text()
+    alive.rows = 7
+    alive.onQueryIdle(None)
+    assert first.split()[1] == "0" and (tmp_path / "alive").read_text().split()[1] == "7"
+
+
+def test_tables_are_utc_in_any_session(spark, tmp_path):
+    from tidemark.sources.tables import table
+
+    spark.sql("SELECT TIMESTAMP_NTZ'2026-01-01 00:00:00' AS t").write.parquet(f"{tmp_path}/x.parquet")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert table(spark, str(tmp_path), "x").select(F.unix_seconds("t")).first()[0] == 1_767_225_600
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert table(spark, str(tmp_path), "x").select(F.unix_seconds("t")).first()[0] == 1_767_225_600
+
+
+def test_jdbc_options():
+    o = jdbc_options("jdbc:x", "SELECT a::text FROM t WHERE cut < :cut AND name = :name", {"cut": datetime(2026, 1, 1), "name": "o'Brien"}, "a", (0, 100), 4)
+    assert o["dbtable"] == "(SELECT a::text FROM t WHERE cut < TIMESTAMP '2026-01-01 00:00:00' AND name = 'o''Brien') AS q"
+    assert (o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"]) == ("a", "0", "100", "4")
+    with pytest.raises(KeyError):
+        jdbc_options("jdbc:x", "SELECT :missing")
+
+
 ROWS = "id long, name string, price decimal(10,2), at timestamp"
 
 

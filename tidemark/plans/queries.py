@@ -677,19 +677,19 @@ def cdc_replay_summary(s, d):
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    return ingest.raw_events(synth.order_messages(s, d), F.expr(scd2.EPOCH))
+    return ingest.log_of(synth.order_messages(s, d), F.expr(scd2.EPOCH))
 
 
 @query("""SELECT o_orderkey AS order_id, o_custkey AS customer_id, CASE WHEN ok THEN ['created','paid','shipped','delivered','cancelled'][CAST(o_orderkey % 5 + 1 AS BIGINT)] ELSE 'created' END AS status, date_trunc('day', o_orderdate) AS created_at,
   o_orderkey * 2 + CASE WHEN ok THEN 1 ELSE 0 END AS version FROM (SELECT *, o_orderkey % 11 <> 0 AS ok FROM orders)""")
 def envelope_roundtrip(s, d):
-    good, _ = ingest.split_quarantine(ingest.staged(_raw(s, d), ORDERS))
-    return ingest.newest_in_batch(good, ORDERS).select("order_id", "customer_id", "status", "created_at", "version")
+    good, _ = ingest.parted(ingest.staged(_raw(s, d), ORDERS))
+    return ingest.newest(good, ORDERS.identity).select("order_id", "customer_id", "status", "created_at", "version")
 
 
 @query("""SELECT ['bad customer_id', 'no after', 'bad status', 'bad created_at', 'bad order_id'][CAST(o_orderkey % 55 // 11 + 1 AS BIGINT)] AS reason, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1""")
 def quarantine_reasons(s, d):
-    _, bad = ingest.split_quarantine(ingest.staged(_raw(s, d), ORDERS))
+    _, bad = ingest.parted(ingest.staged(_raw(s, d), ORDERS))
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -697,13 +697,13 @@ def quarantine_reasons(s, d):
 def raw_violations(s, d):
     m = synth.order_messages(s, d)
     broken = m.withColumn("value", F.when(F.col("offset") % 1009 == 0, F.lit("not json").cast("binary")).otherwise(F.col("value")))
-    return ingest.contract_breaks(ingest.raw_events(broken, F.expr(scd2.EPOCH))).select("kafka_offset")
+    return ingest.unusable(ingest.log_of(broken, F.expr(scd2.EPOCH))).select("kafka_offset")
 
 
 @query("""SELECT o_orderkey AS order_id, 'created' AS status, o_orderkey * 2 AS version FROM orders
   UNION ALL SELECT o_orderkey, ['created','paid','shipped','delivered','cancelled'][CAST(o_orderkey % 5 + 1 AS BIGINT)], o_orderkey * 2 + 1 FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 11 <> 0 OR o_orderkey % 55 IN (0, 33))""")
 def status_transitions(s, d):
-    return ingest.newest_changes(ingest.status_changes(_raw(s, d))).select("order_id", "status", "version")
+    return ingest.newest_transitions(ingest.parted(ingest.transitions(_raw(s, d)))[0]).select("order_id", "status", "version")
 
 
 @query(f"SELECT CAST(ts AS DATE) AS day, count(*) AS stale FROM events WHERE ts < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 32 DAY GROUP BY 1")

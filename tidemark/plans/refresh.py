@@ -1,12 +1,15 @@
 """Full-refresh marts: recompute, write aside, swap, in dependency order.
 
-Each refresh writes a new folder and then a pointer file by rename, so readers
-see the old rows or the new ones, and a failed refresh leaves the old ones.
+Each refresh writes a new folder and then renames a pointer file over the old
+one in one step, so readers see the old rows or the new ones, and a refresh
+that fails or dies leaves the old ones.  Old folders stay for a grace time, for
+readers that had begun with them.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -24,13 +27,18 @@ class Node:
 
 
 class MartStore:
-    """Marts under one folder of any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+    """Marts under one folder of any file system that Spark reaches; one writer a mart at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, grace_s: float = 3600):
+        self.spark, self.root, self.grace_s = spark, root.rstrip("/"), grace_s
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        conf = spark._jsc.hadoopConfiguration()
+        self._path = hadoop.Path
+        self._fs = hadoop.Path(self.root).getFileSystem(conf)
+        self._files = hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
+        kind = getattr(hadoop, "Options$Rename")
+        self._over = spark.sparkContext._gateway.new_array(kind, 1)
+        self._over[0] = kind.OVERWRITE
 
     def _current(self, name: str) -> str | None:
         pointer = self._path(f"{self.root}/{name}/current.json")
@@ -45,18 +53,27 @@ class MartStore:
         return self.spark.read.parquet(f"{self.root}/{name}/{folder}")
 
     def write(self, name: str, df: DataFrame) -> None:
-        old = self._current(name)
-        folder = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        folder = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{folder}")
+        self._point(name, folder)
+        self.sweep(name)
+
+    def _point(self, name: str, folder: str) -> None:
         new, pointer = self._path(f"{self.root}/{name}/next-{folder}.json"), self._path(f"{self.root}/{name}/current.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps({"folder": folder}).encode()))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(new, pointer)
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        self._files.rename(self._fs.makeQualified(new), self._fs.makeQualified(pointer), self._over)
+
+    def sweep(self, name: str) -> int:
+        """Deletes folders but the current one whose successor is older than the grace time; how many."""
+        current = self._current(name)
+        folders = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.isDirectory() and s.getPath().getName().startswith("v-"))
+        gone = 0
+        for folder, after in zip(folders, folders[1:]):
+            if folder != current and time.time_ns() - int(after.split("-")[1]) > self.grace_s * 1e9:
+                gone += bool(self._fs.delete(self._path(f"{self.root}/{name}/{folder}"), True))
+        return gone
 
 
 def ordered(nodes: list[Node]) -> list[Node]:
@@ -94,3 +111,13 @@ def refresh(store: MartStore, nodes: list[Node], retries: int = 3, pause_s: floa
                         time.sleep(pause_s)
         states[node.name] = state
     return list(states.values())
+
+
+def refresh_every(store: MartStore, nodes: list[Node], tell: Callable[[list[dict]], None], stop: threading.Event, every_s: float = 120, retries: int = 3) -> int:
+    """Refreshes on a fixed beat until ``stop`` is set; a beat that a long refresh has missed is left out.  How many refreshes there were."""
+    began, rounds = time.monotonic(), 0
+    while not stop.is_set():
+        tell(refresh(store, nodes, retries))
+        rounds += 1
+        stop.wait(every_s - (time.monotonic() - began) % every_s)
+    return rounds
