@@ -18,7 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and send them few texts at once.
+
+    Batches of 10,000 texts, Spark's default, are large on both sides; another
+    size that the session was given stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
@@ -66,25 +72,28 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_stratum`` rows per value of ``stratum``: those of least key hash, the same on any cluster.
+    """Some ``per_stratum`` rows of each value of ``stratum``, all where it has no more.
 
-    Ranks run per (stratum, shard) first, so a stratum holding most rows is
-    never sorted in one task; each shard keeps ``per_stratum`` rows at most.
+    A row is in if the hash of its key is under the share that is wanted of its
+    stratum, so the sample is the same on any cluster, and nothing is sorted or
+    gathered.  With different keys a stratum gives more than
+    ``per_stratum + 6 * sqrt(per_stratum)`` rows less than once in 10^8.
     """
-    from pyspark.sql import Window
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return df.join(sizes, stratum).where(at * F.col("_n") < per_stratum).drop("_n")
 
-    h = F.xxhash64(F.col(key).cast("string"))
-    df = df.withColumn("_h", h).withColumn("_s", F.pmod(F.col("_h"), F.lit(64)))
-    first = Window.partitionBy(stratum, "_s").orderBy("_h")
-    df = df.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_stratum)
-    second = Window.partitionBy(stratum).orderBy("_h")
-    df = df.withColumn("_r", F.row_number().over(second)).where(F.col("_r") <= per_stratum)
-    return df.drop("_h", "_s", "_r")
+
+def few(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``most`` rows, so that few texts are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Python lists of the named columns, one tuple of lists a batch."""
-    for b in batches:
+    """Python lists of the named columns, one tuple of lists for a few rows at a time."""
+    for b in few(batches):
         yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
 
 

@@ -10,13 +10,14 @@ would be at the threshold less than once in 10^8; the rest is confirmed on the
 full shingle sets.
 
 Equal sets count as one *class* throughout, told by a number.  Within a band
-bucket every class is first compared with two hubs, the least and the greatest
-class, so a group of thousands of copies costs two comparisons each and not
-all pairs; buckets of up to three classes are done with then.  Components
-follow from the links; what larger buckets still hold of several components is
-compared with a third hub, the class with most links so far, and what is left
-then goes the exact way: by the rarest shingles of sets in different
-components, of which two at the threshold must share one early enough.
+bucket every class is first compared with one hub, the least class, so a group
+of thousands of copies costs a comparison each and not all pairs; buckets of
+two classes are done with then.  Components follow from the links; what larger
+buckets still hold of several components is compared with a second hub, the
+class with most links so far, and what is left then, if a bucket has two or
+more classes left, goes the exact way: by the rarest shingles of sets in
+different components, of which two at the threshold must share one early
+enough.
 
 Buckets and hubs that hold more than a 4,096th of the rows (so fewer than 4,096
 of them) are dealt over several tasks.  Very long texts take memory in
@@ -81,7 +82,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, _U)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     got = list(map(_WORDS.get, words))
     if None in got:
@@ -247,13 +248,12 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("row").alias("c"), F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = saved(classes, "classes")
 
-    # Two hubs a bucket.
+    # One hub a bucket, its least class: the same for many buckets.
     banded = _banded(classes, band)
-    buckets = saved(banded.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = _met(banded, buckets, "bucket", _hot(buckets, classes.count() * (REGISTERS // band)), "c")
-    hubs = F.when(F.col("c") == F.col("hi"), F.array("lo")).when(F.col("c") != F.col("lo"), F.array("lo", "hi"))
-    likely = _likely(members.select(F.col("c").alias("a"), F.explode(hubs).alias("b")), classes, percent)
-    rest = saved(members.where("size > 3 and c <> lo and c <> hi").select("bucket", "c"), "rest")
+    buckets = saved(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = saved(_met(banded, buckets, "bucket", _hot(buckets, classes.count() * (REGISTERS // band)), "c").where("c <> hub"), "members")
+    likely = _likely(members.select(F.col("c").alias("a"), F.col("hub").alias("b")), classes, percent)
+    rest = members.where("size > 2").select("bucket", "c")
     forget(buckets)
 
     named = classes.select("c", "digest", F.col("class_id").alias("doc_id"))
@@ -263,16 +263,16 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     labels = components(links)
     forget(likely)
 
-    # Third hub: in buckets of several components, the class with most links.
+    # Second hub: in buckets of several components, the class with most links.
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("degree"))
     placed = saved(_open(rest, labels).join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
-    forget(rest)
-    third = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "third")
-    beside = _met(placed.select("bucket", "c", "label"), third, "bucket", _hot(third, placed.count()), "c")
+    forget(members)
+    second = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "second")
+    beside = _met(placed.select("bucket", "c", "label"), second, "bucket", _hot(second, placed.count()), "c")
     likely = _likely(beside.where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b")), classes, percent)
     rest = saved(beside.where(F.col("c") != F.col("hub.c")).select("bucket", "c"), "rest")
     links, labels = _more(links, labels, _confirmed(likely, sets, percent))
-    forget(placed, third, likely)
+    forget(placed, second, likely)
 
     # The exact way for what is left of open buckets.
     left = saved(_open(rest, labels).select("c", "label").distinct(), "left")
