@@ -66,18 +66,31 @@ def test_nearest_are_exact():
     index = toxicity.Index(np.arange(500), np.array([i % 2 for i in range(500)]), np.ones(500), vocabulary, np.linspace(0.5, 3, 60), block=16, k=10)
     vectors = [{rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(0, 9))} for _ in range(500)]
     index.build(vectors)
+    at, term, w = index.vectors(vectors)
     dense = np.zeros((500, 60))
-    for n, v in enumerate(vectors):
-        t, w = index.vector(v)
-        dense[n, t] = w
-    for _ in range(100):
-        q = {rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(1, 12))}
-        t, w = index.vector(q)
-        x = np.zeros(60)
-        x[t] = w
-        cos = dense @ x
-        want = sorted(((-round(c, 12), n) for n, c in enumerate(cos) if c > 1e-15))[:10]
-        assert [(-round(c, 12), n) for c, n in index.nearest(q)] == want
+    dense[at, term] = w
+    queries = [{rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(0, 12))} for _ in range(100)]
+    at, term, w = index.vectors(queries)
+    x = np.zeros((100, 60))
+    x[at, term] = w
+    for words in (1024, 20, 0):  # all words dense, some, none
+        index.dense, index.laid = words, None
+        for without in (None, np.arange(100)):
+            got = index.nearest(queries, without)
+            for i, q in enumerate(x):
+                want = sorted((-round(c, 12), n) for n, c in enumerate(dense @ q) if c > 1e-15 and (without is None or n != i))[:10]
+                assert [(-round(c, 12), n) for c, n in got[i]] == want
+    assert index.nearest([]) == []
+
+
+def test_blocks_of_similar_examples_are_passed_over():
+    rng = random.Random(2)
+    topics = [range(k * 40, k * 40 + 40) for k in range(8)]
+    rows = [{rng.choice(topics[n % 8]): 1 for _ in range(12)} for n in range(800)]
+    index = toxicity.Index(np.arange(800), np.zeros(800, int), np.ones(800), {}, np.ones(320), block=20)
+    index.build(rows)
+    index.nearest(rows[:64])
+    assert index.read < index.pairs / 3
 
 
 def test_every_word_of_the_examples_counts(spark, documents, marked):
@@ -150,4 +163,89 @@ def test_language(documents, clashing, edges):
 
 def test_words():
     assert letter_words("The IDIOT's 2nd über-Haus.") == [b"the", b"idiot", b"s", b"nd", "über".encode(), b"haus"] and letter_words(None) == []
-    assert F is not None
+
+
+def test_quality_as_by_brute_force(spark, documents, marked):
+    """The query's figures from features, examples and sums worked out one by one."""
+    docs, labels = marked
+    grades = spark.createDataFrame([(i, q + 0.5 * (i % 3), t) for i, q, t in labels], "doc_id long, quality double, toxic int")
+    df = documents(docs + docs[:30])
+    model = quality.fit(df, grades, per_grade=10_000)
+    assert model.grades == [0.0, 0.5, 1.0, 1.5, 2.0]
+    learned = [(i, q + 0.5 * (i % 3)) for i, q, _ in labels if not held(i)]
+    x = np.zeros((len(learned), quality.SIZE), np.float32)
+    for n, (i, _) in enumerate(learned):
+        raw = docs[i][1].encode()
+        words, shapes = raw.lower().split(), []
+        for w in raw.split():
+            shape = "".join("x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else c for c in w.decode())
+            shapes.append("".join(c for k, c in enumerate(shape) if not (k and c == shape[k - 1] and c in "xX9")).encode())
+        for mark, found, scale in ((b"s", shapes, 2), (b"w", words, 1)):
+            for w, c in Counter(found).items():
+                x[n, zlib.crc32(mark + w) % (quality.SIZE - 2)] += scale * (c / len(words)) ** 0.5
+        x[n, quality.SIZE - 2] = 2 * (sum(a == b for a, b in zip(raw.split(), raw.split()[1:])) / len(words)) ** 0.5
+    again = quality.fit_ordinal(x, np.array([model.grades.index(g) for _, g in learned]), np.ones(len(learned)), model.grades)
+    want = {i: 1 / (1 + np.exp(-(float(again.weights @ v) - again.thresholds))) for (i, _), v in zip(learned, x)}
+    for r in quality.scored(df, model).collect():
+        if r["doc_id"] in want:
+            up = want[r["doc_id"]]
+            assert abs(r["tail_probability"] - up[-1]) < 1e-3 and abs(r["expected_grade"] - sum(0.5 * u for u in up)) < 3e-3
+
+
+def test_many_grades_become_some(spark, documents, marked):
+    docs, labels = marked
+    grades = spark.createDataFrame([(i, float(i), 0) for i, _, _ in labels] + [(3, float("nan"), 0)], "doc_id long, quality double, toxic int")
+    model = quality.fit(documents(docs), grades, most_grades=6)
+    assert len(model.grades) == 6 and model.grades == sorted(model.grades) and 30 < model.grades[0] < 70
+    assert np.all(np.diff(model.thresholds) > 0)
+
+
+def test_long_words_differ_behind_their_start():
+    a, b = (quality.features("q" * 80 + x) for x in "xy")
+    assert set(a[0]) != set(b[0])
+
+
+def test_language_as_by_brute_force(documents):
+    """Votes and margins of all machines, counted one by one, over a table with three families."""
+    rng = random.Random(11)
+    langs = ["en", "de", "fr", "es", "fi"]
+    stock = {v: ["".join(rng.choice("abcdefghijklmnop"[i : i + 9]) for _ in range(4)) for _ in range(9)] for i, v in enumerate(langs)}
+    docs = [(i, " ".join(rng.choice(stock[langs[i % 5]]) for _ in range(12)), langs[i % 5]) for i in range(200)]
+    df = documents(docs)
+    model = language.fit(df)
+    assert model.level.names == ["fi", "germanic", "romance"]
+
+    def vote(level, x):
+        wins, sums = Counter(), Counter()
+        for (i, j), w, b in zip(level.pairs, level.weights, level.bias):
+            m = float(np.dot(w, x)) + float(b)
+            wins[level.names[i if m >= 0 else j]] += 1
+            sums[level.names[i]] += m
+            sums[level.names[j]] -= m
+        return max(level.names, key=lambda n: (wins[n], sums[n]))
+
+    for r in language.predicted(df, model).collect():
+        x = language.features(docs[r["doc_id"]][1])
+        group = vote(model.level, x)
+        assert r["lang_pred"] == (model.alone.get(group) or vote(model.below[group].level, x))
+
+
+def test_more_languages_than_one_level_holds(documents):
+    rng = random.Random(12)
+    names = [f"l{k:02d}" for k in range(40)]
+    stock = {v: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(5)] for v in names}
+    docs = [(i, " ".join(rng.choice(stock[names[i % 40]]) for _ in range(15)), names[i % 40]) for i in range(1200)]
+    df = documents(docs)
+    model = language.fit(df, most_rows=1000)
+    assert len(model.level.names) <= language.WIDEST
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predicted(df, model).collect()}
+    assert np.mean([got[i] == v for i, _, v in docs]) > 0.9
+
+
+def test_samples_are_bounded_and_alike(spark):
+    from tidemark.llm.common import bounded_sample
+
+    df = spark.range(20_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'a' when id < 50 then 'b' else 'c' end as y")
+    got = {r["y"]: r["n"] for r in bounded_sample(df, "y", 500).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert got["b"] == 33 and all(500 - 140 < got[y] < 500 + 140 for y in "ac")
+    assert bounded_sample(df, "y", 500).exceptAll(bounded_sample(df.repartition(7), "y", 500)).isEmpty()

@@ -4,10 +4,10 @@ Examples are a bounded sample of labelled rows (``per_label`` of each label).
 All their words are the vocabulary, so it is bounded as well; inverse document
 frequencies are counted over all documents.  Words that no example holds meet
 nothing and count neither in a product nor in a length.  The examples' TF-IDF
-vectors form an inverted index in blocks of examples with the largest weight
-per word and block: a block is read only while its bound may still reach the
-``k`` nearest, so the nearest by cosine over all words are exact.  These are
-the evidence.
+vectors form an inverted index in blocks of similar examples with the largest
+weight per word and block: a block is read only while its bound may still
+reach the ``k`` nearest, so the nearest by cosine over all words are exact.
+These are the evidence.  Texts go through the index in batches.
 
 Two votes, each weighted by nearness and corrected for the sampling of labels,
 make the score: that of the nearest by all words, and that of the nearest by
@@ -19,7 +19,7 @@ votes joins and calibrates them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, letter_words, on_workers, rows_of, saved, table
+from .common import bounded_sample, few, fold, letter_words, on_workers, rows_of, saved, table
 
 FOLDS = 5
+BATCH = 256  # texts that are scored at once
 CERTAIN = 10.83  # chi-square of one in a thousand; for the second vote only
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence string"
 
@@ -41,10 +42,14 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples in blocks.
-
-    Postings (example number, weight) go by word and example; a *run* is what a
-    word has in one block: its block, largest weight and first posting.
+    """Examples in blocks of similar ones, with postings and largest weights by word and block.
+
+    Postings (example number, weight) go by word.  From them each worker lays
+    out, once, the ``dense`` words with most postings as a matrix, as batches
+    of texts meet these fastest that way, and the largest weight that each of
+    them has in each block.  Postings of the other words are short and are read
+    whole, so a text's bound for a block is the largest sum there by those
+    words plus what the largest weights allow for the rest.
     """
 
     ids: np.ndarray
@@ -54,60 +59,109 @@ class Index:
     idf: np.ndarray
     block: int = 64
     k: int = 15
-    at: np.ndarray | None = None
+    dense: int = 1024
+    at: np.ndarray | None = None  # postings: example numbers
     weight: np.ndarray | None = None
-    runs: tuple[np.ndarray, ...] = ()  # block, largest weight, first posting, number of postings
-    first: np.ndarray | None = None  # first run of each word, and the end
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=float))) * self.idf[terms]
-        norm = np.sqrt((w * w).sum())
-        return terms, w / norm if norm else w
-
-    def build(self, vectors: Iterable[dict[int, int]]) -> None:
-        parts = [(t, np.full(len(t), n, np.int32), w) for n, (t, w) in enumerate(map(self.vector, vectors))]
-        t, at, w = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-        t, at, w = t[w > 0].astype(np.int64), at[w > 0].astype(np.int32), w[w > 0]
-        order = np.argsort(t, kind="stable")
-        t, self.at, self.weight = t[order], at[order], w[order]
-        blocks = self.at // self.block
-        new = np.ones(len(t), dtype=bool)
-        new[1:] = (t[1:] != t[:-1]) | (blocks[1:] != blocks[:-1])
-        start = np.flatnonzero(new)
-        most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.runs = blocks[start], most, start.astype(np.int32), np.diff(np.append(start, len(t))).astype(np.int32)
-        self.first = np.searchsorted(t[start], np.arange(len(self.idf) + 1))
-
-    def nearest(self, counts: dict[int, int], without: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` nearest examples of positive cosine, equal ones by number."""
-        if not counts:
-            return []
-        terms, q = self.vector(counts)
-        many = self.first[terms + 1] - self.first[terms]
-        run = _ranges(self.first[terms], many)
-        block, most, start, length = (x[run] for x in self.runs)
-        q = np.repeat(q, many)
-        bound = np.bincount(block, q * most, minlength=-(-max(1, len(self.ids)) // self.block))
-        order = np.argsort(-bound, kind="stable")
-        found: list[tuple[float, int]] = []
-        for wanted in (order[:3], order[3:]):  # the likeliest blocks, then all at once that are still in reach
-            least = found[-1][0] - 1e-12 if len(found) == self.k else 0.0
-            reach = np.zeros(len(bound), dtype=bool)
-            reach[wanted] = (bound[wanted] > 0) & (bound[wanted] >= least)
-            if not reach.any():
-                break
-            got = slice(None) if reach.all() else np.flatnonzero(reach[block])
-            post = _ranges(start[got], length[got])
-            acc = np.bincount(self.at[post], self.weight[post] * np.repeat(q[got], length[got]), minlength=len(self.ids))
-            if without >= 0:
-                acc[without] = 0
-            hits = np.flatnonzero(acc > 0)
-            if len(hits) > 2 * self.k:
-                hits = hits[acc[hits] >= np.partition(acc[hits], -self.k)[-self.k] - 1e-11]
-            found += [(float(acc[n]), int(n)) for n in hits]
-            found = sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[: self.k]
-        return found
+    first: np.ndarray | None = None  # first posting of each word, and the end
+    place: np.ndarray | None = None  # of each example among the blocks
+    laid: tuple | None = None
+    read: int = 0  # pairs of text and block that had to be read, and all such pairs
+    pairs: int = 0
+
+    def vectors(self, rows: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and weight of unit vectors, one entry for each word of a row."""
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        term = np.fromiter((t for r in rows for t in r), np.int64, len(of))
+        w = (1 + np.log(np.fromiter((c for r in rows for c in r.values()), float, len(of)))) * self.idf[term]
+        norm = np.sqrt(np.bincount(of, w * w, minlength=len(rows)))
+        return of, term, w / np.where(norm > 0, norm, 1)[of]
+
+    def build(self, rows: list[dict[int, int]]) -> None:
+        of, term, w = self.vectors(rows)
+        order = np.lexsort((of, term))[: len(of)]
+        self.at, self.weight = of[order].astype(np.int32), w[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.idf) + 1))
+        self.place, self.laid = np.arange(len(rows)), None
+        self.place = np.argsort(self._alike(), kind="stable").argsort()
+        self.laid = None
+
+    def _alike(self) -> np.ndarray:
+        """A group number for each example, by a few rounds of spherical k-means over the dense words."""
+        x = self._lay_out()[1][: len(self.ids)]
+        many = max(1, len(x) // self.block)
+        if many == 1:
+            return np.zeros(len(x))
+        heart = x[np.linspace(0, len(x) - 1, many).astype(int)]
+        for _ in range(6):
+            group = (x @ heart.T).argmax(axis=1)
+            heart = np.zeros_like(heart)
+            np.add.at(heart, group, x)
+            heart /= np.maximum(np.linalg.norm(heart, axis=1), 1e-9)[:, None]
+        return group
+
+    def _lay_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Column of each word (-1: not dense), matrix of places and dense words, largest weights by block, example at each place."""
+        if self.laid is None:
+            held = np.diff(self.first)
+            words = np.sort(np.argsort(-held, kind="stable")[: self.dense])
+            column = np.full(len(held), -1)
+            column[words] = np.arange(len(words))
+            blocks = max(1, -(-len(self.ids) // self.block))
+            x = np.zeros((blocks * self.block, len(words)))
+            post = _ranges(self.first[words], held[words])
+            x[self.place[self.at[post]], np.repeat(np.arange(len(words)), held[words])] = self.weight[post]
+            number = np.full(len(x), -1)
+            number[self.place] = np.arange(len(self.place))
+            self.laid = column, x, x.reshape(blocks, self.block, -1).max(axis=1), number
+        return self.laid
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"laid": None}
+
+    def nearest(self, rows: list[dict[int, int]], without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each of a batch of texts the ``k`` nearest examples of positive cosine, equal ones by number.
+
+        ``without`` names an example for each text that is to be left out.
+        """
+        if not rows or not len(self.ids):
+            return [[] for _ in rows]
+        column, x, most, number = self._lay_out()
+        of, term, w = self.vectors(rows)
+        many, places, blocks = len(rows), len(x), len(most)
+        to = column[term]
+        q = np.zeros((many, x.shape[1]))
+        q[of[to >= 0], to[to >= 0]] = w[to >= 0]
+        short = np.flatnonzero(to < 0)
+        held = (self.first[term[short] + 1] - self.first[term[short]]).astype(np.int64)
+        post = _ranges(self.first[term[short]], held)
+        at = np.repeat(of[short], held) * places + self.place[self.at[post]]
+        part = np.bincount(at, np.repeat(w[short], held) * self.weight[post], minlength=many * places).reshape(many, places)
+        bound = part.reshape(many, blocks, self.block).max(axis=2) + q @ most.T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        score = np.zeros((many, places))
+        reach = np.zeros(bound.shape, dtype=bool)
+        k = min(self.k, places)
+        for turn in range(2):  # the likeliest blocks of each text, then all that are still in reach
+            if turn == 0:
+                np.put_along_axis(reach, order[:, :3], True, axis=1)
+                wanted = reach & (bound > 0)
+            else:
+                least = np.partition(score, places - k, axis=1)[:, places - k] - 1e-11
+                wanted = ~reach & (bound > 0) & (bound >= least[:, None])
+            self.read += int(wanted.sum())
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who, here = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                score[who, here] = part[who, here] + q[who] @ x[here].T
+            if without is not None:
+                score[np.arange(many), self.place[without]] = 0
+        self.pairs += bound.size
+        least = np.maximum(np.partition(score, places - k, axis=1)[:, places - k] - 1e-11, 1e-15)
+        out: list[list[tuple[float, int]]] = []
+        for i in range(many):
+            hits = np.flatnonzero(score[i] >= least[i])
+            found = zip(score[i, hits].tolist(), number[hits].tolist())
+            out.append(sorted(found, key=lambda f: (-round(f[0], 12), f[1]))[: self.k])
+        return out
 
     def raw(self, near: list[tuple[float, int]]) -> float:
         """Share of the positive label among weighted votes, with the whole sample as one far vote."""
@@ -126,21 +180,25 @@ class Votes:
     number: dict[int, int]  # of a sure word, by its number among all
     curve: np.ndarray = field(default_factory=lambda: np.array([2.0, 2.0, -2.0]))
 
-    def judged(self, counts: dict[int, int], without: int = -1) -> tuple[list[float], list[tuple[float, int]]]:
-        """The vote of either index, and the nearest by all words."""
-        near = self.whole.nearest(counts, without)
-        sure = self.sure.nearest({self.number[t]: c for t, c in counts.items() if t in self.number}, without)
-        return [self.whole.raw(near), self.sure.raw(sure)], near
-
-    def score(self, votes: list[float]) -> float:
-        return float(1 / (1 + np.exp(-(np.dot(self.curve[:2], votes) + self.curve[2]))))
-
-    def of(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        votes, near = self.judged(_counts(text, self.whole.vocabulary))
-        return self.score(votes), near
-
-    def calibrate(self, vectors: Iterable[dict[int, int]]) -> None:
-        x = np.array([[*self.judged(v, n)[0], 1.0] for n, v in enumerate(vectors)])
+    def judged(self, rows: list[dict[int, int]], without: np.ndarray | None = None) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """For each of a batch of texts the votes of both indexes, and its nearest by all words."""
+        near = self.whole.nearest(rows, without)
+        sure = self.sure.nearest([{self.number[t]: c for t, c in r.items() if t in self.number} for r in rows], without)
+        return np.array([[self.whole.raw(a), self.sure.raw(b)] for a, b in zip(near, sure)]).reshape(-1, 2), near
+
+    def score(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(votes @ self.curve[:2] + self.curve[2])))
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of each text, in batches of ``BATCH``."""
+        for i in range(0, len(texts), BATCH):
+            votes, near = self.judged([_counts(t, self.whole.vocabulary) for t in texts[i : i + BATCH]])
+            yield from zip(self.score(votes).tolist(), near)
+
+    def calibrate(self, rows: list[dict[int, int]]) -> None:
+        """Fits the curve to the votes that the examples get from all others."""
+        parts = [self.judged(rows[i : i + BATCH], np.arange(i, min(i + BATCH, len(rows))))[0] for i in range(0, len(rows), BATCH)]
+        x = np.concatenate([np.concatenate(parts), np.ones((len(rows), 1))], axis=1)
         y, w = self.whole.labels.astype(float), self.whole.votes / self.whole.votes.sum()
         prior = c = self.curve
         for _ in range(50):  # Newton, with a prior that keeps the slopes finite and positive
@@ -153,7 +211,9 @@ class Votes:
 
 
 def _counts(text: str | None, vocabulary: dict[bytes, int]) -> dict[int, int]:
-    return Counter(t for t in map(vocabulary.get, letter_words(text)) if t is not None)
+    got = Counter(map(vocabulary.get, letter_words(text)))
+    got.pop(None, None)
+    return got
 
 
 def _document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
@@ -180,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     """Indexes of labelled rows outside fold ``held``; None if they lack one of the labels.
 
     Rows whose id, label or text is null teach nothing; of several labels for
-    one id the highest counts; of several texts for one id each is an example.
+    one id the highest counts, of several texts the least, so that repeated
+    rows teach once.  Very long texts are examples whole.
     """
     spark = on_workers(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", FOLDS) != held))
@@ -188,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     totals = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = bounded_sample(marks, "y", per_label)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    examples = saved(texts, "examples")
+    examples = saved(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ys in rows_of(batches, "text", "y"):
@@ -210,11 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
 
     rows = sorted(examples.mapInArrow(counted, "doc_id long, y int, terms binary, counts binary").collect(), key=lambda r: (r["doc_id"], bytes(r["terms"])))
 
-    def vectors(number: dict[int, int] | None = None) -> Iterator[dict[int, int]]:
-        for r in rows:
-            c = dict(zip(*(np.frombuffer(r[x], np.int32).tolist() for x in ("terms", "counts"))))
-            yield c if number is None else {number[t]: k for t, k in c.items() if t in number}
-
+    counts = [dict(zip(*(np.frombuffer(r[x], np.int32).tolist() for x in ("terms", "counts")))) for r in rows]
     seen, n = _document_frequencies(docs, vocabulary), docs.count()
     ys = np.array([r["y"] for r in rows])
     about = np.array([r["doc_id"] for r in rows]), ys, np.array([totals[y] / sizes[y] for y in ys])
@@ -226,9 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     chosen_words = np.flatnonzero((chi > CERTAIN) & (held_by >= 4))
     number = {int(t): i for i, t in enumerate(chosen_words)}
     votes = Votes(whole, Index(*about, {}, whole.idf[chosen_words]), number)
-    votes.whole.build(vectors())
-    votes.sure.build(vectors(number))
-    votes.calibrate(vectors())
+    votes.whole.build(counts)
+    votes.sure.build([{number[t]: k for t, k in c.items() if t in number} for c in counts])
+    votes.calibrate(counts)
     return votes
 
 
@@ -236,7 +293,9 @@ def scored(docs: DataFrame, index: Votes | None) -> DataFrame:
     """A row per row of ``docs``; without an index (nothing to learn from) scores are 0.
 
     Null and empty texts have no neighbours and get the score of a text
-    without any word of the vocabulary.
+    without any word of the vocabulary; very long ones are read whole.  Ties
+    between neighbours go to the example of the smaller id.  Repeated rows are
+    told each, an empty table gives no rows, other columns are ignored.
     """
     spark = on_workers(docs.sparkSession)
     model = spark.sparkContext.broadcast(index)
@@ -245,8 +304,7 @@ def scored(docs: DataFrame, index: Votes | None) -> DataFrame:
         ix: Votes | None = model.value
         for ids, held, part in rows_of(batches, "doc_id", "held_out", "text"):
             scores, evidence = [], []
-            for t in part:
-                score, near = ix.of(t) if ix else (0.0, [])
+            for score, near in ix.of(part) if ix else [(0.0, [])] * len(part):
                 scores.append(score)
                 evidence.append(",".join(f"{ix.whole.ids[n]}:{ix.whole.labels[n]}:{c:.4f}" for c, n in near[:3]))
             cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.string())]
@@ -256,20 +314,25 @@ def scored(docs: DataFrame, index: Votes | None) -> DataFrame:
 
 
 def kept(docs: DataFrame, index: Votes | None, at: float = 0.5) -> DataFrame:
-    """``docs`` without the rows scored ``at`` or more; same columns."""
+    """``docs`` without the rows scored ``at`` or more; same columns, also ones named like the operator's own.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are
+    as in ``scored``; without an index all rows stay.
+    """
     if index is None:
         return docs
     model = on_workers(docs.sparkSession).sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Votes = model.value
-        for b in batches:
+        for b in few(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([ix.of(t)[0] < at for t in texts], pa.bool_()))
+            yield b.filter(pa.array([score < at for score, _ in ix.of(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, learned from ``labels.toxic``; edge cases as in ``fit`` and ``scored``."""
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
