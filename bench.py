@@ -49,7 +49,7 @@ def shape(spark: SparkSession, runs: int) -> dict[str, float]:
     items = lambda: latest_live(tables["items"], ["order_item_id"], ["version"])
     products = lambda: latest(tables["products"], ["product_id", "valid_from"], ["version"])
     dim = lambda: scd2.build(tables["products"], "product_id", ["name", "category", "price"])
-    fact = lambda: marts.fact_orders(items(), orders(), products())
+    fact = lambda: marts.fact_orders(items(), orders(), products(), tables["products"])
     jobs = {
         "shape_dim_customers": lambda: scd2.build(tables["customers"], "customer_id", ["name", "address", "segment"]),
         "shape_dim_products": dim,
@@ -57,8 +57,8 @@ def shape(spark: SparkSession, runs: int) -> dict[str, float]:
         "shape_revenue": lambda: marts.revenue_daily(fact()),
         "shape_funnel": lambda: marts.funnel_daily(orders(), tables["history"]),
         "shape_cohort": lambda: marts.cohort_retention(orders(), F.lit("2026-02-01").cast("timestamp"), tables["orders"]),
-        "shape_top_products": lambda: marts.top_products_daily(fact(), dim()),
-        "shape_inventory": lambda: marts.inventory_current(latest_live(tables["stock"], ["product_id", "warehouse_id"], ["version"]), dim()),
+        "shape_top_products": lambda: marts.top_products_daily(fact(), marts.newest_names(tables["products"])),
+        "shape_inventory": lambda: marts.inventory_current(latest_live(tables["stock"], ["product_id", "warehouse_id"], ["version"]), marts.newest_names(tables["products"])),
     }
     return {n: seconds(f, runs) for n, f in jobs.items()}
 

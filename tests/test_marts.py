@@ -63,13 +63,13 @@ def test_cohorts(spark):
 
 def test_top_products_and_stock(spark, fact):
     dim = spark.createDataFrame([(1, "new name", "food", 1, 5), (1, "old name", "food", 0, 1)], "product_id long, name string, category string, is_current int, version long")
-    rows = {(r["product_id"], r["category"]): (r["product_name"], r["quantity"], r["quantity_net"]) for r in marts.top_products_daily(fact, dim).collect()}
+    rows = {(r["product_id"], r["category"]): (r["product_name"], r["quantity"], r["quantity_net"]) for r in marts.top_products_daily(fact, marts.present_names(dim)).collect()}
     assert rows == {(1, "food"): ("new name", 3, 1), (9, "unknown"): ("unknown", 1, 1)}
-    top = panels.top_products(marts.top_products_daily(fact, dim), F.lit("2026-03-07 01:00:00").cast("timestamp"), 7).collect()
+    top = panels.top_products(marts.top_products_daily(fact, marts.present_names(dim)), F.lit("2026-03-07 01:00:00").cast("timestamp"), 7).collect()
     assert [r["product_id"] for r in top] == [1, 9]
-    assert panels.top_products(marts.top_products_daily(fact, dim), F.lit("2026-03-08 01:00:00").cast("timestamp"), 7).collect() == []
+    assert panels.top_products(marts.top_products_daily(fact, marts.present_names(dim)), F.lit("2026-03-08 01:00:00").cast("timestamp"), 7).collect() == []
     stock = spark.createDataFrame([(1, 1, q, D, D, 1, 0) for q in (19, 20, -1)], STOCK)
-    assert [r["is_low"] for r in marts.inventory_current(stock, dim).orderBy("quantity").collect()] == [1, 1, 0]
+    assert [r["is_low"] for r in marts.inventory_current(stock, marts.present_names(dim)).orderBy("quantity").collect()] == [1, 1, 0]
 
 
 def test_health_of_empty_tables(spark):

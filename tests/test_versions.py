@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import scd2
-from tidemark.operators.asof import asof_left_join, interval_left_join
+from tidemark.operators.asof import asof_left_join
 from tidemark.operators.versions import conflicts, latest, latest_live, replay_summary
 
 JOURNAL = "customer_id long, valid_from timestamp, name string, address string, is_snapshot int, is_deleted int, version long"
@@ -73,5 +73,31 @@ def test_asof_before_at_and_after(spark):
     lines = [(1, 1, us[2]), (2, 1, us[1]), (3, 1, us[3]), (4, 1, datetime(2025, 1, 1)), (5, 9, us[0]), (6, None, us[0]), (7, 1, us[1])]
     left = spark.createDataFrame(lines, "id long, product_id long, at timestamp")
     want = {1: 10, 2: 12, 3: 12, 4: None, 5: None, 6: None, 7: 12}
-    for join in (asof_left_join, interval_left_join):
-        assert {r["id"]: r["price"] for r in join(left, prices, "product_id", "at", "valid_from", ["price"]).collect()} == want
+    got = asof_left_join(left, prices, "product_id", "at", "valid_from", ["price"])
+    assert got.columns == ["id", "product_id", "at", "price"] and {r["id"]: r["price"] for r in got.collect()} == want
+    assert {r["price"] for r in asof_left_join(left, prices.where("price < 0"), "product_id", "at", "valid_from", ["price"]).collect()} == {None}
+
+
+def test_asof_as_by_brute_force_and_a_hot_key_is_dealt(spark):
+    import random
+    from datetime import timedelta
+
+    rng, t0 = random.Random(3), datetime(2026, 1, 1)
+    times = {k: sorted(rng.sample(range(100_000), rng.randrange(1, 30))) for k in range(12)}
+    versions = [(k, t0 + timedelta(seconds=t), t) for k, ts in times.items() for t in ts]
+    lines = [(i, 0 if i % 3 else rng.randrange(14), rng.randrange(-5000, 120_000)) for i in range(3000)]
+    left = spark.createDataFrame([(i, k, t0 + timedelta(seconds=t)) for i, k, t in lines], "id long, k long, at timestamp")
+    right = spark.createDataFrame(versions, "k long, since timestamp, v long")
+    want = {i: max((x for x in times.get(k, []) if x <= t), default=None) for i, k, t in lines}
+    saved = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        joined = asof_left_join(left, right, "k", "at", "since", ["v"])
+        assert {r["id"]: r["v"] for r in joined.collect()} == want
+        tasks = joined.where("k = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(tasks) > 5 and max(r["count"] for r in tasks) < 1500
+    finally:
+        for c, v in saved.items():
+            spark.conf.set(c, v)

@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 16
 
-def asof_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str]) -> DataFrame:
+
+def asof_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str], times: DataFrame | None = None) -> DataFrame:
     """Every left row with the right row of its key that is the latest not after it; nulls where none is.
 
-    Both sides are laid in one timeline per key and the last right row is
-    carried forward, in one shuffle and one sort: no pair is made that isn't
-    in the result.  The right side is unique per key and time; at equal times
-    it comes first.  ``left`` must not have the columns ``take``.
+    The right side is unique per key and time.  Its rows become intervals up
+    to the next one, which are laid into ``RANGES`` ranges of time: a row starts
+    in its own and is carried into every later one that it reaches.  The join
+    is by key and range, so a key that holds most left rows is dealt over the
+    ranges, Spark can split what is still large, and it may broadcast a small
+    right side; few intervals of a key stand in one range.  ``times`` may name
+    a cheaper frame with the right times than ``right`` is, to find their span.
     """
-    facts = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("_r"))
-    versions = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*take).alias("_r"))
-    by = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = facts.unionByName(versions).withColumn("_r", F.last("_r", ignorenulls=True).over(by)).where("_side = 1")
-    return rows.select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in take])
-
-
-def interval_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str]) -> DataFrame:
-    """The same result by intervals up to the next right row; for a small right side, which Spark may then broadcast."""
-    by = Window.partitionBy(key).orderBy(right_time)
-    spans = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_from"), F.lead(right_time).over(by).alias("_to"), *take)
-    hit = (left[key] == spans["_k"]) & (left[left_time] >= spans["_from"]) & (spans["_to"].isNull() | (left[left_time] < spans["_to"]))
-    return left.join(spans, hit, "left").select(*[left[c] for c in left.columns], *[spans[c] for c in take])
+    span = F.broadcast((right if times is None else times).agg(F.min(F.unix_micros(right_time)).alias("_lo"), F.max(F.unix_micros(right_time)).alias("_hi")))
+
+    def placed(micros: Column) -> Column:
+        """The range of a time; ones behind the last right row are in the last range, ones before the first in none."""
+        at = F.floor((micros - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")) / RANGES, F.lit(1.0)))
+        return F.greatest(F.least(at, F.lit(RANGES)), F.lit(-1)).cast("int")
+
+    following = F.lead(right_time).over(Window.partitionBy(key).orderBy(right_time))
+    spans = right.select(F.col(key).alias("_k"), F.unix_micros(right_time).alias("_from"), F.unix_micros(following).alias("_to"), *[F.col(c).alias(f"_take_{c}") for c in take]).crossJoin(span)
+    until = F.coalesce(placed(F.col("_to") - 1), F.lit(RANGES))
+    spans = spans.withColumn("_range", F.explode(F.sequence(placed(F.col("_from")), until))).drop("_lo", "_hi")
+    rows = left.crossJoin(span).withColumn("_t", F.unix_micros(left_time)).withColumn("_r", placed(F.col("_t"))).drop("_lo", "_hi")
+    hit = (F.col(key) == F.col("_k")) & (F.col("_r") == F.col("_range")) & (F.col("_t") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_t") < F.col("_to")))
+    return rows.join(spans, hit, "left").select(*left.columns, *[F.col(f"_take_{c}").alias(c) for c in take])

@@ -12,16 +12,17 @@ UNKNOWN = "unknown"
 LOW_STOCK = 20
 
 
-def fact_orders(items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+def fact_orders(items: DataFrame, orders: DataFrame, products: DataFrame, journal: DataFrame | None = None) -> DataFrame:
     """Live lines of live orders with the product version valid when the order was made.
 
     ``items`` and ``orders`` are live views, ``products`` has one row per
-    ``(product_id, valid_from)``.  The last version goes on after its end.
+    ``(product_id, valid_from)``; ``journal``, what it was made of, tells the
+    span of times cheaply.  The last version goes on after its end.
     """
     o = orders.select("order_id", "customer_id", "status", "created_at", F.col("event_time").alias("_order_time"))
     lines = items.select("order_item_id", "order_id", "product_id", "quantity", "price_at_order", "event_time").join(o, "order_id")
     p = products.select("product_id", "valid_from", "category", F.col("price").alias("list_price"))
-    facts = asof_left_join(lines, p, "product_id", "created_at", "valid_from", ["category", "list_price"])
+    facts = asof_left_join(lines, p, "product_id", "created_at", "valid_from", ["category", "list_price"], journal)
     return facts.select(
         "order_item_id", "order_id", "customer_id", "product_id", "status", "created_at", "quantity", "price_at_order", "category", "list_price",
         F.to_date("created_at").alias("order_date"),
@@ -31,10 +32,19 @@ def fact_orders(items: DataFrame, orders: DataFrame, products: DataFrame) -> Dat
 
 
 def _watermark(df: DataFrame, column: str = "event_time") -> DataFrame:
-    """The newest event behind a mart, one row to cross join (no window without partitions)."""
+    """The newest event behind a table, one row to cross join (no window without partitions)."""
     return df.agg(F.max(column).alias("source_watermark"))
 
 
+def _with_watermark(grouped: DataFrame) -> DataFrame:
+    """Groups that carry their own newest event, with that of all in its place.
+
+    The maximum is taken of the groups, not in a second pass over what they
+    were made of: both sides read one shuffle.
+    """
+    return grouped.drop("_newest").crossJoin(F.broadcast(_watermark(grouped, "_newest")))
+
+
 def revenue_daily(fact: DataFrame) -> DataFrame:
     """Per day and category; ``orders`` is not additive over categories; net leaves out cancelled orders only."""
     rows = fact.withColumn("category", F.coalesce("category", F.lit(UNKNOWN)))
@@ -43,8 +53,9 @@ def revenue_daily(fact: DataFrame) -> DataFrame:
         F.sum("quantity").cast("bigint").alias("items"),
         money(F.sum("amount")).alias("revenue"),
         money(sum_if(F.col("status") != "cancelled", F.col("amount"))).alias("revenue_net"),
+        F.max("event_time").alias("_newest"),
     )
-    return sold.crossJoin(F.broadcast(_watermark(fact)))
+    return _with_watermark(sold)
 
 
 def order_levels(orders: DataFrame, history: DataFrame) -> DataFrame:
@@ -83,8 +94,9 @@ def funnel_daily(orders: DataFrame, history: DataFrame) -> DataFrame:
         F.percentile(to_paid, F.lit(0.9)).alias("p90_to_paid"),
         F.percentile(to_delivered, F.lit(0.5)).alias("median_to_delivered"),
         F.percentile(to_delivered, F.lit(0.9)).alias("p90_to_delivered"),
+        F.max("event_time").alias("_newest"),
     )
-    return counted.crossJoin(F.broadcast(_watermark(rows)))
+    return _with_watermark(counted)
 
 
 def cohort_retention(orders: DataFrame, as_of: Column, all_rows: DataFrame | None = None) -> DataFrame:
@@ -108,8 +120,20 @@ def cohort_retention(orders: DataFrame, as_of: Column, all_rows: DataFrame | Non
     ).crossJoin(F.broadcast(_watermark(all_rows if all_rows is not None else orders)))
 
 
-def top_products_daily(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
-    """Sales per day, product and the category it then had, with its present name."""
+def present_names(dim_products: DataFrame) -> DataFrame:
+    """``product_id, name, category`` of the current version of each product."""
+    best = dim_products.where("is_current = 1").groupBy("product_id").agg(F.max_by(F.struct("name", "category"), "version").alias("p"))
+    return best.select("product_id", "p.name", "p.category")
+
+
+def newest_names(versions: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
+    """The same from the journal itself, without building the history: the newest version, unless that is a delete."""
+    best = versions.groupBy("product_id").agg(F.max_by(F.struct("name", "category", "is_deleted"), F.struct("version", "valid_from", *tie)).alias("p"))
+    return best.where("p.is_deleted = 0").select("product_id", "p.name", "p.category")
+
+
+def top_products_daily(fact: DataFrame, names: DataFrame) -> DataFrame:
+    """Sales per day, product and the category it then had, with its present name (of ``names(product_id, name)``)."""
     rows = fact.withColumn("category", F.coalesce("category", F.lit(UNKNOWN)))
     net = F.col("status") != "cancelled"
     sold = rows.groupBy("order_date", "product_id", "category").agg(
@@ -117,17 +141,17 @@ def top_products_daily(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
         sum_if(net, F.col("quantity")).cast("bigint").alias("quantity_net"),
         money(F.sum("amount")).alias("revenue"),
         money(sum_if(net, F.col("amount"))).alias("revenue_net"),
+        F.max("event_time").alias("_newest"),
     )
-    names = dim_products.where("is_current = 1").groupBy("product_id").agg(F.max_by("name", "version").alias("product_name"))
-    out = sold.join(names, "product_id", "left").withColumn("product_name", F.coalesce("product_name", F.lit(UNKNOWN)))
-    return out.crossJoin(F.broadcast(_watermark(fact)))
+    named = names.select("product_id", F.col("name").alias("product_name"))
+    return _with_watermark(sold).join(named, "product_id", "left").withColumn("product_name", F.coalesce("product_name", F.lit(UNKNOWN)))
 
 
-def inventory_current(stock: DataFrame, dim_products: DataFrame) -> DataFrame:
-    """Stock by product and warehouse; under ``LOW_STOCK`` it is low."""
-    names = dim_products.where("is_current = 1").groupBy("product_id").agg(F.max_by(F.struct("name", "category"), "version").alias("p"))
-    out = stock.join(names, "product_id", "left").select(
-        "product_id", "warehouse_id", F.coalesce("p.name", F.lit(UNKNOWN)).alias("product_name"), F.coalesce("p.category", F.lit(UNKNOWN)).alias("category"),
+def inventory_current(stock: DataFrame, names: DataFrame) -> DataFrame:
+    """Stock by product and warehouse with the product's present name and category; under ``LOW_STOCK`` it is low."""
+    named = names.select("product_id", F.col("name").alias("_name"), F.col("category").alias("_category"))
+    out = stock.join(named, "product_id", "left").select(
+        "product_id", "warehouse_id", F.coalesce("_name", F.lit(UNKNOWN)).alias("product_name"), F.coalesce("_category", F.lit(UNKNOWN)).alias("category"),
         "quantity", (F.col("quantity") < LOW_STOCK).cast("int").alias("is_low"), "updated_at",
     )
     return out.crossJoin(F.broadcast(_watermark(stock)))

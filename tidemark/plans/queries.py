@@ -162,8 +162,12 @@ def dim_users(s: SparkSession, d: str) -> DataFrame:
     return scd2.build(synth.user_journal(s, d), "user_id", ["state"])
 
 
+def names(s: SparkSession, d: str) -> DataFrame:
+    return marts.newest_names(synth.stg_product_versions(s, d), synth.PRODUCT_TIE)
+
+
 def fact(s: SparkSession, d: str) -> DataFrame:
-    return marts.fact_orders(items_live(s, d), orders_live(s, d), products(s, d))
+    return marts.fact_orders(items_live(s, d), orders_live(s, d), products(s, d), synth.stg_product_versions(s, d))
 
 
 def revenue(s: SparkSession, d: str) -> DataFrame:
@@ -179,11 +183,11 @@ def cohorts(s: SparkSession, d: str) -> DataFrame:
 
 
 def top(s: SparkSession, d: str) -> DataFrame:
-    return marts.top_products_daily(fact(s, d), dim_products(s, d))
+    return marts.top_products_daily(fact(s, d), names(s, d))
 
 
 def stock(s: SparkSession, d: str) -> DataFrame:
-    return marts.inventory_current(latest_live(synth.stg_inventory(s, d), ["product_id", "warehouse_id"], ["version"]), dim_products(s, d))
+    return marts.inventory_current(latest_live(synth.stg_inventory(s, d), ["product_id", "warehouse_id"], ["version"]), names(s, d))
 
 
 # --- scans, versions, dimensions -----------------------------------------------------------
