@@ -27,6 +27,11 @@ def months_between_firsts(earlier: Column, later: Column) -> Column:
     return (month_index(later) - month_index(earlier)).cast("int")
 
 
+def day_key(t: Column) -> Column:
+    """A day as the number yyyymmdd."""
+    return (F.year(t) * 10_000 + F.month(t) * 100 + F.dayofmonth(t)).cast("int")
+
+
 def hours_crossed(earlier: Column, later: Column) -> Column:
     """Full clock hours crossed (00:59 to 01:01 is 1)."""
     return F.floor(F.unix_seconds(later) / 3600).cast("long") - F.floor(F.unix_seconds(earlier) / 3600).cast("long")

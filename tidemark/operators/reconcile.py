@@ -6,16 +6,30 @@ are compared per bucket of keys, and only differing buckets are looked into.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import canonical, cents, fingerprint
+from tidemark.operators.versions import latest, latest_live
 
 BUCKETS = 256
 KEPT_KEYS = 1000
-GRACE_MINUTES = 15
+GRACE_MINUTES, RECHECK_MINUTES = 15, 10
+AT_ONCE = 16  # buckets whose keys are compared together
+
+# Tables, keys and canonical columns of both sides, and the column that tells a
+# row's last change (those of journals, - , can't be compared with the source's clock).
+COMPARED = """
+customers   stg_customer_versions  customer_id               customer_id name address segment                              -
+products    stg_product_versions   product_id                product_id name category price                                -
+orders      stg_orders             order_id                  order_id customer_id status created_at updated_at             updated_at
+order_items stg_order_items        order_item_id             order_item_id order_id product_id quantity price_at_order     created_at
+inventory   stg_inventory          product_id warehouse_id   product_id warehouse_id quantity updated_at                   updated_at
+"""
 
 
 @dataclass(frozen=True)
@@ -43,11 +57,56 @@ def price(x: Column) -> Column:
     return cents(x)
 
 
+def cutoff_of(now: Column) -> Column:
+    """Rows from before this are old enough to compare: whole seconds, so that clocks of any precision agree."""
+    return F.date_trunc("second", now) - F.expr(f"INTERVAL {GRACE_MINUTES} MINUTES")
+
+
+def _canonical(df: DataFrame, names: list[str]) -> tuple[Column, ...]:
+    """Times in milliseconds, money in cents, the rest as it is."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    return tuple(millis(F.col(n)) if kinds[n] == "timestamp" else price(F.col(n)) if kinds[n] == "decimal" else F.col(n) for n in names)
+
+
+def sides(table: str, source: dict[str, DataFrame], staging: dict[str, DataFrame]) -> tuple[Side, Side]:
+    """Both sides of a table of ``COMPARED``: operational rows, and the live newest ones of staging.
+
+    Lines change with their order: their time is its creation, and the epoch
+    for a line without one, which is compared and not hidden.
+    """
+    line = next(x for x in COMPARED.strip().splitlines() if x.split()[0] == table)
+    name, target, key, columns, changed = re.split(r"\s{2,}", re.sub(r"^(\S+)\s+(\S+)\s+", r"\1  \2  ", line.strip()))
+    keys = key.split()
+    s, t = source[name], latest_live(staging[target], keys, ["version"])
+    if changed == "-":
+        t = t.withColumn("_changed", F.lit(None).cast("timestamp"))
+        s = s.withColumn("_changed", F.col("updated_at"))
+    elif name == "order_items":
+        made = [o.select("order_id", F.col("created_at").alias("_changed")) for o in (source["orders"], latest(staging["stg_orders"], ["order_id"], ["version"]))]
+        s, t = s.join(made[0], "order_id"), t.join(made[1], "order_id", "left").withColumn("_changed", F.coalesce("_changed", F.timestamp_seconds(F.lit(0))))
+    else:
+        s, t = (x.withColumn("_changed", F.col(changed)) for x in (s, t))
+    k = F.col(keys[0]) if len(keys) == 1 else stock_key(F.col(keys[0]), F.col(keys[1]))
+    return Side(s, k, _canonical(s, columns.split()), F.col("_changed")), Side(t, k, _canonical(t, columns.split()), F.col("_changed"))
+
+
+def compared(source: Side, target: Side, cutoff: Column, at_once: int = AT_ONCE) -> Iterator[DataFrame]:
+    """Verdicts of the keys of differing buckets, ``at_once`` buckets at a time; nothing if all are equal.
+
+    At most ``BUCKETS`` bucket numbers go through the driver.  Buckets are
+    compared by rows from before the cutoff, their keys with all rows.
+    """
+    found = sorted(r["bucket"] for r in differing(buckets(source, cutoff), buckets(target, cutoff)).collect())
+    for i in range(0, len(found), at_once):
+        part = found[i : i + at_once]
+        yield arbitrate(*(Side(x.df.where(F.pmod(x.key.cast("bigint"), F.lit(BUCKETS)).isin(part)), x.key, x.content, x.changed_at) for x in (source, target)), cutoff)
+
+
 def buckets(side: Side, cutoff: Column | None) -> DataFrame:
-    """``bucket, n, checksum`` of rows from before the cutoff."""
+    """``bucket, n, checksum`` of rows from before the cutoff (rows without a time count)."""
     rows = side.rows()
     if cutoff is not None:
-        rows = rows.where(F.col("at") < cutoff)
+        rows = rows.where(F.coalesce(F.col("at") < cutoff, F.lit(True)))
     return rows.groupBy(F.pmod("k", F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
 
 

@@ -45,17 +45,20 @@ def _with_watermark(grouped: DataFrame) -> DataFrame:
     return grouped.drop("_newest").crossJoin(F.broadcast(_watermark(grouped, "_newest")))
 
 
-def revenue_daily(fact: DataFrame) -> DataFrame:
+def revenue_sums(fact: DataFrame) -> DataFrame:
     """Per day and category; ``orders`` is not additive over categories; net leaves out cancelled orders only."""
     rows = fact.withColumn("category", F.coalesce("category", F.lit(UNKNOWN)))
-    sold = rows.groupBy("order_date", "category").agg(
+    return rows.groupBy("order_date", "category").agg(
         F.count_distinct("order_id").alias("orders"),
         F.sum("quantity").cast("bigint").alias("items"),
         money(F.sum("amount")).alias("revenue"),
         money(sum_if(F.col("status") != "cancelled", F.col("amount"))).alias("revenue_net"),
         F.max("event_time").alias("_newest"),
     )
-    return _with_watermark(sold)
+
+
+def revenue_daily(fact: DataFrame) -> DataFrame:
+    return _with_watermark(revenue_sums(fact))
 
 
 def order_levels(orders: DataFrame, history: DataFrame) -> DataFrame:

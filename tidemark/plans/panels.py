@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,3 +157,49 @@ def probe_age(results: DataFrame, check: str, as_of: Column) -> DataFrame:
     """Hours since the last probe that was ok; ``NEVER`` if none was."""
     good = F.max(F.when((F.col("check_name") == check) & (F.col("status") == "ok"), F.col("checked_at")))
     return results.agg(F.coalesce(hours_crossed(good, as_of), F.lit(NEVER)).alias("hours"))
+
+
+class Panel(NamedTuple):
+    """An entry of the dashboard: its number, how its rows are shown, and the query that they come from."""
+
+    id: int
+    form: str  # stat, table, or series (a time, a name and a number a row)
+    query: str
+
+
+# Numbers of the panels; several numbers show one query.
+PANELS = tuple(
+    Panel(int(i), form, query)
+    for i, form, query in (
+        line.split()
+        for line in """
+2 stat kpi_stats
+3 stat kpi_stats
+4 stat paid_pct
+5 stat delivered_pct
+6 series revenue_series
+7 table revenue_by_category
+9 series funnel_series
+10 series funnel_durations
+11 table funnel_totals
+13 table retention_pivot
+14 series cohort_sizes
+16 table top_products_7d
+17 table top_products_30d
+18 stat stock_stats
+19 stat stock_stats
+20 table stock_by_category
+21 table low_stock
+23 stat refresh_age
+24 stat latest_size
+25 table freshness
+26 table source_ages
+27 table view_states
+28 table map_lookup_sentinel
+29 table last_run_status
+30 table manual_summaries
+31 table table_sizes
+32 stat probe_age
+""".strip().splitlines()
+    )
+)

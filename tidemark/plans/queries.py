@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import cents, money, percent, status_rank, sum_if
+from tidemark.functions.scalars import canonical, cents, day_key, fingerprint, money, percent, status_rank, sum_if
 from tidemark.operators import ingest, quality, reconcile, scd2
 from tidemark.operators.versions import conflicts, latest, latest_live, replay_summary
-from tidemark.plans import marts, panels
-from tidemark.sources import synth
-from tidemark.sources.schema import ORDERS
-from tidemark.sources.tables import table
+from tidemark.plans import marts, panels, results
+from tidemark.sources import generator, synth
+from tidemark.sources.schema import CUSTOMERS, INVENTORY, ORDER_ITEMS, ORDERS, PRODUCTS
+from tidemark.sources.tables import recorded_stream, table
+from tidemark.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,6 +112,8 @@ def with_ctes(body: str) -> str:
     add(re.sub(r"'[^']*'", "", body))
     if not need:
         return body
+    if body.startswith("WITH "):
+        return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + ",\n" + body[5:]
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + "\n" + body
 
 
@@ -400,11 +403,13 @@ def view_states(s, d):
     return panels.view_states(health(s, d), when(AS_OF))
 
 
-@query(f"""SELECT 'mart_revenue_daily' AS mart, CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(TIMESTAMP '2001-08-31 23:58:00') AS BIGINT) AS refresh_age, CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(source_watermark))) AS BIGINT) AS source_lag FROM rev
-  UNION ALL SELECT 'mart_funnel_daily', CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(TIMESTAMP '2001-08-31 23:58:00') AS BIGINT), CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(source_watermark))) AS BIGINT) FROM fun""")
+_MARTS = {"mart_revenue_daily": "rev", "mart_funnel_daily": "fun", "mart_cohort_retention": "coh", "mart_top_products_daily": "topd", "mart_inventory_current": "inv"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS mart, CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(TIMESTAMP '2001-08-31 23:58:00') AS BIGINT) AS refresh_age, CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(source_watermark))) AS BIGINT) AS source_lag FROM {c}" for m, c in _MARTS.items()))
 def freshness(s, d):
-    at = when("2001-08-31 23:58:00")
-    return panels.freshness({"mart_revenue_daily": revenue(s, d).withColumn("refreshed_at", at), "mart_funnel_daily": funnel(s, d).withColumn("refreshed_at", at)}, when(AS_OF))
+    at, made = when("2001-08-31 23:58:00"), zip(_MARTS, (revenue, funnel, cohorts, top, stock))
+    return panels.freshness({m: make(s, d).withColumn("refreshed_at", at) for m, make in made}, when(AS_OF))
 
 
 @query(f"SELECT CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(last_success_time))) AS BIGINT) AS age FROM health")
@@ -482,32 +487,55 @@ def negative_values(s, d):
     return c.unionByName(table(s, d, "supplier").where("s_acctbal < 0").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("k")))
 
 
-def _checked(s: SparkSession, d: str) -> DataFrame:
-    t = {
-        "stg_order_items": synth.stg_order_items(s, d), "stg_orders": synth.stg_orders(s, d), "stg_inventory": synth.stg_inventory(s, d), "stg_status": synth.stg_status_history(s, d),
-        "dim_customers": dim_users(s, d).withColumnRenamed("user_id", "customer_id"), "dim_products": dim_products(s, d),
+def _planted(s: SparkSession, d: str) -> dict[str, dict[str, DataFrame]]:
+    """The tables of each check, with faults where the driver's have none."""
+    orders, items, history, live = synth.stg_orders(s, d), synth.stg_order_items(s, d), synth.stg_status_history(s, d), items_live(s, d)
+    facts, sold = fact(s, d), revenue(s, d)
+    prices = latest(synth.stg_product_versions(s, d), ["product_id"], ["version", "valid_from", *synth.PRODUCT_TIE])
+    lost = history.withColumn("status", F.when(F.col("order_id") % 19 == 0, "lost").otherwise(F.col("status")))
+    return {
+        "fact_duplicate_items": {"fact_orders": facts.unionByName(facts.where("order_item_id % 211 = 0"))},
+        "orders_conflicting_versions": {"stg_orders": orders.unionByName(orders.where("order_id % 313 = 0").withColumn("customer_id", F.col("customer_id") + 1))},
+        "order_items_conflicting_versions": {"stg_order_items": items},
+        "dim_multiple_current": {"dim_customers": dim_users(s, d).withColumnRenamed("user_id", "customer_id"), "dim_products": dim_products(s, d)},
+        "negative_order_items": {"stg_order_items": live.withColumn("quantity", F.col("quantity") - 1)},
+        "negative_prices": {"stg_product_versions": prices.withColumn("price", F.col("price") - 12)},
+        "negative_inventory": {"stg_inventory": synth.stg_inventory(s, d)},
+        "negative_revenue": {"mart_revenue_daily": sold.withColumns({c: F.col(c) - 30_000 for c in ("revenue", "revenue_net")})},
+        "orphan_order_items": {"stg_order_items": live, "stg_orders": orders.where("order_id % 101 <> 0")},
+        "orders_without_items": {"stg_orders": orders, "stg_order_items": items},
+        "status_differs_from_history": {"stg_orders": orders, "stg_order_status_history": lost},
+        "history_without_order": {"stg_order_status_history": history, "stg_orders": orders.where("order_id % 17 <> 0")},
     }
-    chosen = {c.name: c for c in quality.CHECKS}
-    out = None
-    for name in ("order_items_conflicting_versions", "dim_multiple_current", "negative_inventory", "orders_without_items"):
-        c = chosen[name]
-        one = quality.summary(c.name, c.table, c.find(t, when("2002-01-01")))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("sample_keys", F.array_join("sample_keys", ","))
+
+
+def _checked(s: SparkSession, d: str) -> DataFrame:
+    tables = _planted(s, d)
+    return quality.told(quality.summary(c.name, c.table, c.find(tables[c.name], when("2002-01-01"))) for c in quality.CHECKS)
 
 
 _SUM = "SELECT '{0}' AS check_name, '{1}' AS table_name, count(*) AS violations, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM ({2}) ORDER BY k LIMIT 10)), '') AS sample_keys FROM ({2})"
 _DQ = [
+    ("fact_duplicate_items", "fact_orders", "SELECT CAST(order_item_id AS VARCHAR) AS k FROM fact WHERE order_item_id % 211 = 0"),
+    ("orders_conflicting_versions", "stg_orders", "SELECT order_id || '/' || version AS k FROM so WHERE order_id % 313 = 0"),
     ("order_items_conflicting_versions", "stg_order_items", "SELECT order_item_id || '/' || version AS k FROM si GROUP BY order_item_id, version HAVING count(DISTINCT (order_id, product_id, quantity, price_at_order, is_deleted)) > 1"),
     ("dim_multiple_current", "dim_products", "SELECT 'dim_customers/' || user_id AS k FROM dimu WHERE is_current = 1 GROUP BY user_id HAVING count(*) > 1 UNION ALL SELECT 'dim_products/' || product_id FROM dimp WHERE valid_to IS NULL GROUP BY product_id HAVING count(*) > 1"),
+    ("negative_order_items", "stg_order_items", "SELECT CAST(order_item_id AS VARCHAR) AS k FROM il WHERE quantity - 1 <= 0"),
+    ("negative_prices", "stg_product_versions", "SELECT CAST(product_id AS VARCHAR) AS k FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY version DESC, valid_from DESC, category DESC, price DESC, is_snapshot DESC) AS n FROM spv) WHERE n = 1 AND price < 12"),
     ("negative_inventory", "stg_inventory", "SELECT product_id || '/' || warehouse_id AS k FROM stock WHERE quantity < 0"),
+    ("negative_revenue", "mart_revenue_daily", "SELECT CAST(order_date AS VARCHAR) || '/' || category AS k FROM rev WHERE revenue < 30000 OR revenue_net < 30000"),
+    ("orphan_order_items", "stg_order_items", "SELECT CAST(order_item_id AS VARCHAR) AS k FROM il WHERE order_id NOT IN (SELECT order_id FROM so WHERE order_id % 101 <> 0)"),
     ("orders_without_items", "stg_orders", "SELECT CAST(order_id AS VARCHAR) AS k FROM ol WHERE order_id NOT IN (SELECT order_id FROM si)"),
+    ("status_differs_from_history", "stg_orders", "SELECT CAST(o.order_id AS VARCHAR) AS k FROM ol o JOIN (SELECT order_id, arg_max(CASE WHEN order_id % 19 = 0 THEN 'lost' ELSE status END, version) AS last FROM sh GROUP BY 1) h USING (order_id) WHERE o.status <> h.last"),
+    ("history_without_order", "stg_order_status_history", "SELECT DISTINCT CAST(order_id AS VARCHAR) AS k FROM sh WHERE order_id NOT IN (SELECT order_id FROM so WHERE order_id % 17 <> 0)"),
 ]
+_TOLD = " UNION ALL ".join(_SUM.format(*x) for x in _DQ)
 
 
-@query(" UNION ALL ".join(_SUM.format(*x) for x in _DQ))
+@query(f"""WITH told AS ({_TOLD}) SELECT check_name, table_name, violations, sample_keys, CASE WHEN violations > 0 THEN 'violation' ELSE 'ok' END AS status FROM told
+  UNION ALL SELECT 'summary', '', CAST(sum(violations) AS BIGINT), '', CASE WHEN sum(violations) > 0 THEN 'violation' ELSE 'ok' END FROM told""")
 def dq_summary(s, d):
-    return _checked(s, d)
+    return _checked(s, d).withColumn("sample_keys", F.array_join("sample_keys", ","))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_partkey) IN (SELECT o_orderkey, o_custkey FROM orders)")
@@ -581,41 +609,193 @@ def reconcile_keys(s, d):
     return reconcile.arbitrate(a, b, when("2001-07-01"), within)
 
 
+def _arbitrated(a: reconcile.Side, b: reconcile.Side, cutoff: Column) -> DataFrame:
+    return reconcile.arbitrate(a, b, cutoff, reconcile.differing(reconcile.buckets(a, None), reconcile.buckets(b, None)))
+
+
 @query("SELECT verdict, count(*) AS total, string_agg(k, ',' ORDER BY k) FILTER (WHERE n <= 1000) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY k) AS n FROM verd) GROUP BY 1")
 def reconcile_summary(s, d):
     a, b = _sides(s, d)
-    out = reconcile.verdicts(reconcile.arbitrate(a, b, when("2001-07-01")))
-    return out.withColumn("sample", F.array_join("sample", ","))
+    return reconcile.verdicts(_arbitrated(a, b, when("2001-07-01"))).withColumn("sample", F.array_join("sample", ","))
 
 
 @query("SELECT k FROM verd WHERE verdict = 'extra'")
 def recheck_extra(s, d):
     a, b = _sides(s, d)
-    keys = reconcile.arbitrate(a, b, when("2001-07-01")).where("verdict = 'extra'").select("k")
-    return reconcile.still_extra(keys, a, b)
+    return reconcile.still_extra(_arbitrated(a, b, when("2001-07-01")).where("verdict = 'extra'").select("k"), a, b)
+
+
+# Per table: the clock; SQL of the rows (k, the key by which rows are bent, last change on both sides); the canonical text; the bent column as it is and bent.
+_T = "|| chr(31) ||"
+_BENT = "CASE WHEN bend % 501 = 7 THEN {0} ELSE {1} END"
+_RECONCILED = {
+    "customers": ("2001-01-01 00:20:30.5", "SELECT c_custkey AS k, c_custkey AS bend, TIMESTAMP '2001-01-01' + to_seconds(c_custkey) AS seen, NULL::TIMESTAMP AS tat, c_name AS x, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END AS y FROM customer", f"k {_T} {{0}} {_T} '' {_T} y", "x", "x || '!'"),
+    "products": ("2001-01-01 00:40:00.9", "SELECT p_partkey AS k, p_partkey AS bend, TIMESTAMP '2001-01-01' + to_seconds(p_partkey) AS seen, NULL::TIMESTAMP AS tat, p_name AS y, p_brand AS z, CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 100 AS BIGINT) AS x FROM part", f"k {_T} y {_T} z {_T} {{0}}", "x", "x + 1"),
+    "orders": ("2001-07-01 00:15:00.25", "SELECT order_id AS k, order_id AS bend, created_at AS seen, created_at AS tat, customer_id AS y, status AS x, epoch_ms(created_at) AS z FROM so", f"k {_T} y {_T} {{0}} {_T} z {_T} z", "x", "'lost'"),
+    "order_items": ("2001-07-01 00:15:00.25", """SELECT l.*, o.created_at AS seen, CASE WHEN o.order_id IS NULL OR l.o % 499 = 3 THEN TIMESTAMP '1970-01-01' ELSE o.created_at END AS tat, o.order_id IS NOT NULL AND l.o % 503 <> 5 AS known FROM
+        (SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey * 10 + l_linenumber AS bend, l_orderkey AS o, max(l_partkey) AS y, CAST(max(l_quantity) AS INTEGER) AS x, CAST(max(CAST(l_extendedprice AS DECIMAL(10,2))) * 100 AS BIGINT) AS z FROM lineitem GROUP BY l_orderkey, l_linenumber) l LEFT JOIN so o ON o.order_id = l.o""", f"k {_T} o {_T} y {_T} {{0}} {_T} z", "x", "x + 1"),
+    "inventory": ("2001-01-01 08:15:00.75", "SELECT product_id * 1000 + warehouse_id AS k, product_id AS bend, product_id AS p, warehouse_id AS w, updated_at AS seen, updated_at AS tat, quantity AS x, epoch_ms(updated_at) AS z FROM inv_all WHERE version = 1", f"p {_T} w {_T} {{0}} {_T} z", "x", "x + 1"),
+}
+
+
+def _reconciled_sql(name: str) -> str:
+    now, rows, text, same, other = _RECONCILED[name]
+    cut = f"date_trunc('second', TIMESTAMP '{now}') - INTERVAL 15 MINUTE"
+    known = " AND known" if name == "order_items" else ""
+    return f"""WITH base AS ({rows}), a AS (SELECT k, {text.format(same)} AS txt, seen FROM base WHERE bend % 503 <> 5{known}), b AS (SELECT k, {text.format(_BENT.format(other, same))} AS txt, tat AS seen FROM base WHERE bend % 499 <> 3),
+  both_sides AS (SELECT k, a.txt AS st, b.txt AS tt, a.seen AS sat, b.seen AS tat FROM a FULL OUTER JOIN b USING (k)),
+  odd AS (SELECT DISTINCT k % 256 AS bucket FROM both_sides WHERE CASE WHEN sat IS NULL OR sat < {cut} THEN st END IS DISTINCT FROM CASE WHEN tat IS NULL OR tat < {cut} THEN tt END),
+  told AS (SELECT k, CASE WHEN coalesce(sat >= {cut}, false) OR coalesce(tat >= {cut}, false) THEN 'in_flight' WHEN tt IS NULL THEN 'missing' WHEN st IS NOT NULL THEN 'different' ELSE 'extra' END AS verdict
+    FROM both_sides WHERE st IS DISTINCT FROM tt AND k % 256 IN (SELECT bucket FROM odd))
+  SELECT '{name}' AS table_name, verdict, count(*) AS total, string_agg(k, ',' ORDER BY k) FILTER (WHERE n <= 1000) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY k) AS n FROM told) GROUP BY 2"""
+
+
+def _reconciled(name: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        a, b = reconcile.sides(name, *synth.source_and_staging(s, d))
+        keys = s.createDataFrame([], "k long, verdict string")
+        for part in reconcile.compared(a, b, reconcile.cutoff_of(when(_RECONCILED[name][0]))):
+            keys = keys.unionByName(part)
+        out = reconcile.verdicts(keys)
+        return out.select(F.lit(name).alias("table_name"), "verdict", "total", F.array_join("sample", ",").alias("sample"))
+
+    run.__name__ = f"reconcile_{name}"
+    return run
+
 
+for _name in _RECONCILED:
+    query(_reconciled_sql(_name))(_reconciled(_name))
 
-@query("SELECT n_nationkey, md5(string_agg(c_custkey || ':' || coalesce(c_mktsegment, ''), '|' ORDER BY c_custkey)) AS checksum, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+
+@query("""SELECT n_nationkey, md5(string_agg(part, '|' ORDER BY shard)) AS checksum, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT n_nationkey, c_custkey // 1000 AS shard, md5(string_agg(c_custkey || ':' || coalesce(c_mktsegment, ''), '|' ORDER BY c_custkey)) AS part, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) GROUP BY 1""")
 def table_checksum(s, d):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda r: F.concat(r["c_custkey"].cast("string"), F.lit(":"), F.coalesce(r["c_mktsegment"], F.lit(""))))
     j = table(s, d, "customer").join(table(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return j.groupBy("n_nationkey").agg(F.md5(F.array_join(rows, "|")).alias("checksum"), F.count("*").alias("n"))
+    return ordered_checksum(j, ["n_nationkey"], F.col("c_custkey"), F.concat(F.col("c_custkey").cast("string"), F.lit(":"), F.coalesce("c_mktsegment", F.lit(""))))
+
+
+def ordered_checksum(df: DataFrame, by: list[str], key: Column, text: Column, shard: int = 1000) -> DataFrame:
+    """``by, checksum, n``: rows' texts in the order of a whole-number key, digested a shard of the key at a time and then the digests, so no task holds a whole table's texts."""
+    rows = df.select(*by, key.alias("_k"), text.alias("_x")).withColumn("_s", F.floor(F.col("_k") / shard))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_x"))), lambda r: r["_x"]), "|")
+    parts = rows.groupBy(*by, "_s").agg(F.md5(told).alias("_d"), F.count("*").alias("_n"))
+    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_d"))), lambda r: r["_d"]), "|"))
+    return parts.groupBy(*by).agg(whole.alias("checksum"), F.sum("_n").cast("bigint").alias("n"))
+
+
+_BENT_MART = "SELECT order_date, category, orders, items, CAST(revenue + CASE WHEN orders > 5 THEN 1 ELSE 0 END AS DECIMAL(38,2)) AS revenue, revenue_net FROM rev"
+_FROM_FACT = """SELECT order_date, coalesce(category, 'unknown') AS category, count(DISTINCT order_id) AS orders, CAST(sum(quantity) AS BIGINT) AS items, CAST(sum(amount) AS DECIMAL(38,2)) AS revenue,
+  CAST(sum(CASE WHEN status <> 'cancelled' THEN amount ELSE 0 END) AS DECIMAL(38,2)) AS revenue_net FROM fact GROUP BY 1, 2"""
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT order_date, category, revenue FROM rev EXCEPT SELECT order_date, category, CAST(revenue + CASE WHEN orders > 5 THEN 1 ELSE 0 END AS DECIMAL(38,2)) FROM rev)) AS only_left,
-  (SELECT count(*) FROM (SELECT order_date, category, CAST(revenue + CASE WHEN orders > 5 THEN 1 ELSE 0 END AS DECIMAL(38,2)) FROM rev EXCEPT SELECT order_date, category, revenue FROM rev)) AS only_right""")
+@query(f"SELECT (SELECT count(*) FROM ({_FROM_FACT} EXCEPT ({_BENT_MART}))) AS missing, (SELECT count(*) FROM ({_BENT_MART} EXCEPT ({_FROM_FACT}))) AS extra")
 def except_both_ways(s, d):
-    r = revenue(s, d)
-    a = r.select("order_date", "category", "revenue")
-    b = r.select("order_date", "category", money(F.col("revenue") + (F.col("orders") > 5).cast("int")).alias("revenue"))
-    return a.subtract(b).agg(F.count("*").alias("only_left")).crossJoin(b.subtract(a).agg(F.count("*").alias("only_right")))
+    """A stored mart, bent in some rows, against the same sums taken anew from the fact; rows are compared once, both ways."""
+    cols = ["order_date", "category", "orders", "items", "revenue", "revenue_net"]
+    stored = revenue(s, d).withColumn("revenue", money(F.col("revenue") + (F.col("orders") > 5).cast("int"))).select(*cols, F.lit(1).alias("side"))
+    anew = marts.revenue_sums(fact(s, d)).select(*cols, F.lit(2).alias("side"))
+    rows = stored.unionByName(anew).groupBy(*cols).agg(F.bit_or("side").alias("sides"))
+    return rows.agg(F.count_if(F.col("sides") == 2).alias("missing"), F.count_if(F.col("sides") == 1).alias("extra"))
+
+
+def _fp_sql(text: str, source: str) -> str:
+    return f"SELECT count(*) AS n, CAST(coalesce(sum({_H}), 0) AS DECIMAL(38,0)) AS total FROM (SELECT CAST(CAST('0x' || substr(md5({text}), 1, 16) AS UBIGINT) AS HUGEINT) AS u FROM {source})"
+
+
+def _fp(df: DataFrame, prefix: str, *cols: Column) -> DataFrame:
+    h = fingerprint(canonical(*cols)).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias(f"{prefix}_n"), F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").alias(f"{prefix}_sum"))
 
 
-@query("SELECT round(quantile_cont(x, 0.5), 3) AS p50, round(quantile_cont(x, 0.95), 3) AS p95, max(x) AS max_lag FROM (SELECT epoch_ms(l_shipdate) / 1000.0 - epoch_ms(o_orderdate) / 1000.0 AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+@query(f"""WITH cur AS ({_fp_sql("user_id || chr(31) || state", "dimu WHERE is_current = 1")}), src AS ({_fp_sql("user_id || chr(31) || state", "(SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY 1) WHERE state <> 'error'")}),
+  nxt AS (SELECT user_id, valid_from, valid_to, lead(valid_from) OVER (PARTITION BY user_id ORDER BY version) AS next_from FROM dimu)
+  SELECT cur.n AS dim_n, cur.total AS dim_sum, src.n AS source_n, src.total AS source_sum, (SELECT count(*) FROM (SELECT user_id FROM dimu WHERE is_current = 1 GROUP BY 1 HAVING count(*) > 1)) AS several_current,
+  (SELECT count(*) FROM nxt WHERE next_from IS NOT NULL AND (valid_to IS NULL OR valid_to <> next_from)) AS gaps, (SELECT count(*) FROM nxt WHERE valid_to < valid_from) AS clock_back FROM cur, src""")
+def verify_dimension(s, d):
+    """The current versions against the source (count and sum of fingerprints), keys with several, gaps and clocks that went back."""
+    dim = dim_users(s, d)
+    source = table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state")).where("state <> 'error'")
+    many = dim.where("is_current = 1").groupBy("user_id").count().agg(F.count_if(F.col("count") > 1).alias("several_current"))
+    spans = dim.withColumn("next_from", F.lead("valid_from").over(Window.partitionBy("user_id").orderBy("version")))
+    odd = spans.agg(F.count_if(F.col("next_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") != F.col("next_from")))).alias("gaps"), F.count_if(F.col("valid_to") < F.col("valid_from")).alias("clock_back"))
+    out = _fp(dim.where("is_current = 1"), "dim", F.col("user_id"), F.col("state")).crossJoin(_fp(source, "source", F.col("user_id"), F.col("state")))
+    return out.crossJoin(many).crossJoin(odd)
+
+
+@query("""SELECT count(DISTINCT (product_id, valid_from)) AS keys_in_log, (SELECT count(*) FROM pv) AS in_journal,
+  (SELECT count(*) FROM (SELECT product_id, valid_from FROM spv GROUP BY 1, 2 HAVING count(DISTINCT version // 10) > 1)) AS in_several_transactions FROM spv""")
+def verify_journal(s, d):
+    """Every key and commit time of the log is in the journal once; times that several transactions share."""
+    log = synth.stg_product_versions(s, d)
+    by = log.groupBy("product_id", "valid_from").agg(F.min(F.floor(F.col("version") / 10)).alias("lo"), F.max(F.floor(F.col("version") / 10)).alias("hi"))
+    told = by.agg(F.count("*").alias("keys_in_log"), F.count_if(F.col("lo") != F.col("hi")).alias("in_several_transactions"))
+    return told.crossJoin(products(s, d).agg(F.count("*").alias("in_journal")))
+
+
+@query("""SELECT 'orders' AS table_name, count(*) FILTER (WHERE k % 503 <> 5) AS source_n, CAST(sum(c) FILTER (WHERE k % 503 <> 5) AS BIGINT) AS source_sum, count(*) FILTER (WHERE k % 499 <> 3) AS staging_n, CAST(sum(c) FILTER (WHERE k % 499 <> 3) AS BIGINT) AS staging_sum
+    FROM (SELECT order_id AS k, customer_id AS c FROM so)
+  UNION ALL SELECT 'order_items', count(*) FILTER (WHERE k % 503 <> 5), CAST(sum(c) FILTER (WHERE k % 503 <> 5) AS BIGINT), count(*) FILTER (WHERE k % 499 <> 3), CAST(sum(c + CASE WHEN k % 501 = 7 THEN 1 ELSE 0 END) FILTER (WHERE k % 499 <> 3) AS BIGINT)
+    FROM (SELECT l_orderkey * 10 + l_linenumber AS k, CAST(max(l_quantity) AS INTEGER) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
+def verify_staging(s, d):
+    """Counts and sums of operational tables beside those of the live staging rows."""
+    source, staging = synth.source_and_staging(s, d)
+    out = None
+    for name, target, column in (("orders", "stg_orders", "customer_id"), ("order_items", "stg_order_items", "quantity")):
+        a, b = (df.agg(F.count("*").alias(f"{p}_n"), F.sum(column).cast("bigint").alias(f"{p}_sum")) for p, df in (("source", source[name]), ("staging", staging[target])))
+        one = a.crossJoin(b).select(F.lit(name).alias("table_name"), "source_n", "source_sum", "staging_n", "staging_sum")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT order_date, md5(order_date || '|' || created || '|' || shipped || '|' || delivered || '|' || cancelled) AS checksum FROM fun")
+def funnel_checksums(s, d):
+    return funnel(s, d).select("order_date", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("order_date", "created", "shipped", "delivered", "cancelled")])).alias("checksum"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority LIKE '%-H%' AS like_high, o_orderpriority LIKE '_-%' AS like_any, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) + INTERVAL 2 MONTH AS DATE) AS in_two_months,
+  CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS day_key, date_trunc('second', o_orderdate + INTERVAL '1.75' SECOND) AS second, replace(o_orderpriority, '-', chr(39)) AS quoted,
+  o_orderstatus IN ('F', 'O') AS known, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders""")
+def text_and_map_functions(s, d):
+    codes = F.map_from_arrays(F.array(F.lit("F"), F.lit("O")), F.array(F.lit(1), F.lit(2)))
+    return table(s, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").like("%-H%").alias("like_high"), F.col("o_orderpriority").like("_-%").alias("like_any"), F.add_months(F.trunc("o_orderdate", "MM"), 2).alias("in_two_months"),
+        day_key(F.col("o_orderdate")).alias("day_key"), F.date_trunc("second", F.col("o_orderdate") + F.expr("INTERVAL '1.75' SECOND")).alias("second"), F.replace("o_orderpriority", F.lit("-"), F.lit("'")).alias("quoted"),
+        F.map_contains_key(codes, F.col("o_orderstatus")).alias("known"), F.try_element_at(codes, F.col("o_orderstatus")).alias("code"),
+    )
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5(c_custkey || '/42'), c_custkey LIMIT 20")
+def random_pick(s, d):
+    return generator.picked(table(s, d, "customer").select("c_custkey"), F.col("c_custkey"), 20, 42)
+
+
+@query("SELECT product_id, warehouse_id, quantity FROM (SELECT product_id, warehouse_id, quantity FROM stock ORDER BY quantity, product_id, warehouse_id LIMIT 10) ORDER BY md5((product_id * 1000 + warehouse_id) || '/7'), product_id LIMIT 1")
+def restock_pick(s, d):
+    live = latest_live(synth.stg_inventory(s, d), ["product_id", "warehouse_id"], ["version"]).select("product_id", "warehouse_id", "quantity")
+    return generator.emptiest(live, 7)
+
+
+@query("SELECT p_partkey AS k FROM part WHERE p_partkey % 2 = 0 UNION SELECT s_suppkey FROM supplier")
+def key_set_union(s, d):
+    return table(s, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k")).union(table(s, d, "supplier").select("s_suppkey")).distinct()
+
+
+@query("""SELECT dag_id, run_id, check_name, table_name, status, checked_at FROM (SELECT dag_id, run_id, check_name, table_name, CASE WHEN again THEN 'ok' ELSE status END AS status, CASE WHEN again THEN checked_at + INTERVAL 1 HOUR ELSE checked_at END AS checked_at,
+  row_number() OVER (PARTITION BY dag_id, run_id, check_name, table_name ORDER BY again DESC) AS n FROM (SELECT *, false AS again FROM res UNION ALL SELECT *, true FROM res WHERE ch_value % 10 = 0)) WHERE n = 1""")
+def result_log(s, d):
+    """Check results and what retries wrote again: the newest of each key counts."""
+    first = synth.check_results(s, d)
+    again = first.where("ch_value % 10 = 0").withColumns({"status": F.lit("ok"), "checked_at": F.col("checked_at") + F.expr("INTERVAL 1 HOUR")})
+    return results.newest(first.unionByName(again)).select("dag_id", "run_id", "check_name", "table_name", "status", "checked_at")
+
+
+@query("SELECT round(quantile_cont(x, 0.5), 3) AS p50, round(quantile_cont(x, 0.95), 3) AS p95, round(quantile_cont(x, 0.99), 3) AS p99, max(x) AS max_lag FROM (SELECT epoch_ms(l_shipdate) / 1000.0 - epoch_ms(o_orderdate) / 1000.0 AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
 def ingest_lag_percentiles(s, d):
     lag = ((F.unix_millis("l_shipdate") - F.unix_millis("o_orderdate")) / 1000.0).alias("x")
     x = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(lag)
-    return x.agg(F.round(F.percentile("x", F.lit(0.5)), 3).alias("p50"), F.round(F.percentile("x", F.lit(0.95)), 3).alias("p95"), F.max("x").alias("max_lag"))
+    # Counted by value first, so that one task merges values and counts, not rows.
+    x = x.groupBy("x").agg(F.count("*").alias("n"))
+    return x.agg(*[F.round(F.percentile("x", F.lit(q / 100), F.col("n")), 3).alias(f"p{q}") for q in (50, 95, 99)], F.max("x").alias("max_lag"))
 
 
 @query("SELECT event_type, count(DISTINCT event_id) AS seen, max(event_id) - min(event_id) + 1 AS span, count(DISTINCT event_id) = max(event_id) - min(event_id) + 1 AS complete FROM events GROUP BY 1")
@@ -697,11 +877,46 @@ def quarantine_reasons(s, d):
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey * 2 + n AS kafka_offset FROM orders, range(2) r(n) WHERE (o_orderkey * 2 + n) % 1009 = 0")
+@query("SELECT o_orderkey * 2 + n AS kafka_offset FROM orders, range(2) r(n) WHERE (o_orderkey * 2 + n) % 1009 BETWEEN 0 AND 5")
 def raw_violations(s, d):
-    m = synth.order_messages(s, d)
-    broken = m.withColumn("value", F.when(F.col("offset") % 1009 == 0, F.lit("not json").cast("binary")).otherwise(F.col("value")))
-    return ingest.unusable(ingest.log_of(broken, F.expr(scd2.EPOCH))).select("kafka_offset")
+    return ingest.unusable(ingest.log_of(synth.broken_messages(s, d), F.expr(scd2.EPOCH))).select("kafka_offset")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 55 = 44 THEN 'bad order_id' ELSE 'bad status' END AS reason, count(*) AS n FROM orders
+  WHERE o_orderkey % 55 IN (11, 22) OR o_orderkey % 55 = 44 AND o_orderkey % 5 <> 0 GROUP BY 1""")
+def history_quarantine(s, d):
+    return ingest.parted(ingest.transitions(_raw(s, d)))[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _staged(make, feed, s: SparkSession, d: str) -> DataFrame:
+    return ingest.staged(ingest.log_of(make(s, d), F.expr(scd2.EPOCH)), feed)
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS order_item_id, CASE WHEN gap THEN 0 ELSE l_orderkey END AS order_id, CASE WHEN gap OR op = 2 AND l_orderkey % 5 = 0 THEN 0 ELSE l_partkey END AS product_id,
+  CASE WHEN gap THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS quantity, CAST(CASE WHEN gap THEN 0 ELSE CAST(l_extendedprice AS DECIMAL(10,2)) END AS DECIMAL(10,2)) AS price_at_order, CASE WHEN op = 2 THEN 1 ELSE 0 END AS is_deleted,
+  l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS version, CAST(NULL AS VARCHAR) AS reason
+  FROM (SELECT *, (l_orderkey + l_linenumber) % 4 AS op, (l_orderkey + l_linenumber) % 4 = 2 AND l_orderkey % 3 = 0 AS gap FROM lineitem)""")
+def items_from_messages(s, d):
+    return _staged(synth.item_messages, ORDER_ITEMS, s, d).drop("event_time", "kafka_offset")
+
+
+@query("""SELECT c_custkey AS customer_id, make_timestamp((1000000000000 + (c_custkey * 10 + n) * 60000) * 1000 + 7) AS valid_from, c_name AS name, '' AS address, CASE WHEN n = 0 THEN c_mktsegment ELSE '' END AS segment,
+  CASE WHEN n = 0 THEN 1 ELSE 0 END AS is_snapshot, CASE WHEN n = 2 THEN 1 ELSE 0 END AS is_deleted, c_custkey * 10 + n AS version
+  FROM customer, range(3) r(n) WHERE n = 0 OR n = 1 AND c_custkey % 2 = 0 OR n = 2 AND c_custkey % 7 = 0""")
+def customers_from_messages(s, d):
+    return ingest.parted(_staged(synth.customer_messages, CUSTOMERS, s, d))[0].drop("event_time", "kafka_offset")
+
+
+@query("""SELECT p_partkey AS product_id, make_timestamp((1000000000000 + (p_partkey * 10 + n) * 60000) * 1000 + 7) AS valid_from, CAST(CASE WHEN bad THEN 0 ELSE CAST(p_retailprice AS DECIMAL(10,2)) + n END AS DECIMAL(10,2)) AS price,
+  CASE WHEN n = 0 THEN 1 ELSE 0 END AS is_snapshot, CASE WHEN bad THEN 'bad price' END AS reason FROM (SELECT *, n = 1 AND p_partkey % 11 = 0 AS bad FROM part, range(2) r(n))""")
+def products_from_messages(s, d):
+    return _staged(synth.product_messages, PRODUCTS, s, d).select("product_id", "valid_from", "price", "is_snapshot", "reason")
+
+
+@query("""SELECT p_partkey AS product_id, CASE WHEN far THEN NULL ELSE CAST(w AS INTEGER) END AS warehouse_id, CAST((p_partkey * 4 + w) % 300 - 20 AS INTEGER) AS quantity, TIMESTAMP '2026-01-01 00:00:00.5' AS updated_at,
+  CASE WHEN far THEN 'bad warehouse_id' END AS reason FROM (SELECT *, p_partkey % 13 = 0 AND w = 3 AS far FROM part, range(1, 4) r(w))""")
+def stock_from_messages(s, d):
+    return _staged(synth.stock_messages, INVENTORY, s, d).select("product_id", "warehouse_id", "quantity", "updated_at", "reason")
 
 
 @query("""SELECT o_orderkey AS order_id, 'created' AS status, o_orderkey * 2 AS version FROM orders
@@ -710,6 +925,36 @@ def status_transitions(s, d):
     return ingest.newest_transitions(ingest.parted(ingest.transitions(_raw(s, d)))[0]).select("order_id", "status", "version")
 
 
+_FINAL_ORDERS = """SELECT o_orderkey AS order_id, o_custkey AS customer_id, CASE WHEN o_orderkey % 11 <> 0 THEN ['created','paid','shipped','delivered','cancelled'][CAST(o_orderkey % 5 + 1 AS BIGINT)] ELSE 'created' END AS status,
+  o_orderkey * 2 + CASE WHEN o_orderkey % 11 <> 0 THEN 1 ELSE 0 END AS version FROM orders"""
+
+
+def _streamed(s: SparkSession, d: str) -> stream.Sink:
+    """All messages of orders, recorded and taken by the one query until nothing is left."""
+    root = stream.scratch(s)
+    synth.order_messages(s, d).write.parquet(f"{root}/messages")
+    sink = stream.Sink(s, f"{root}/sink")
+    stream.start(recorded_stream(s, f"{root}/messages", 8), sink, f"{root}/checkpoint", every=None).awaitTermination()
+    return sink
+
+
+def _final(sink: stream.Sink) -> DataFrame:
+    return latest_live(sink.read("stg_orders"), ["order_id"], ["version", "kafka_offset"]).select("order_id", "customer_id", "status", "version")
+
+
+@query(_FINAL_ORDERS)
+def stream_equals_batch(s, d):
+    return _final(_streamed(s, d))
+
+
+@query(_FINAL_ORDERS)
+def backfill_by_day(s, d):
+    sink = _streamed(s, d)
+    again = stream.Sink(s, f"{sink.root}-again")
+    stream.backfill(sink, "1970-01-01", "2100-01-01", again, days_at_once=1000)
+    return _final(again)
+
+
 @query(f"SELECT CAST(ts AS DATE) AS day, count(*) AS stale FROM events WHERE ts < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 32 DAY GROUP BY 1")
 def retention_stale(s, d):
     return table(s, d, "events").where(F.col("ts") < when(EVENTS_AS_OF) - F.expr("INTERVAL 32 DAYS")).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("stale"))

@@ -121,3 +121,8 @@ def refresh_every(store: MartStore, nodes: list[Node], tell: Callable[[list[dict
         rounds += 1
         stop.wait(every_s - (time.monotonic() - began) % every_s)
     return rounds
+
+
+def states_of(spark: SparkSession, states: list[dict]) -> DataFrame:
+    """What ``refresh`` told, as the table that ``marts.pipeline_health`` reads."""
+    return spark.createDataFrame([(s["name"], s["status"], s["last_success_time"], s["last_error"]) for s in states], "name string, status string, last_success_time timestamp, last_error string")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .schema import CUSTOMERS, INVENTORY, ORDER_ITEMS, PRODUCTS, Feed
 from .tables import table
 
 STATES = ("created", "paid", "shipped", "delivered", "cancelled")
@@ -148,3 +149,116 @@ def bench_tables(spark: SparkSession, n_orders: int) -> dict[str, DataFrame]:
     )
     stock = spark.range(6000).select((F.col("id") % 2000).alias("product_id"), (F.floor(F.col("id") / 2000) + 1).cast("int").alias("warehouse_id"), (F.col("id") * 7 % 200).cast("int").alias("quantity"), F.timestamp_seconds(F.lit(start)).alias("updated_at"), F.timestamp_seconds(F.lit(start)).alias("event_time"), F.lit(1).alias("version"), F.lit(0).alias("is_deleted"))
     return {"orders": orders, "items": items, "products": products, "customers": customers, "history": history, "stock": stock}
+
+
+# --- change messages of all five feeds -----------------------------------------------------
+
+
+def messages_of(rows: DataFrame, feed: Feed, before: Column, after: Column, op: Column, lsn: Column, millis: Column) -> DataFrame:
+    """Kafka-shaped messages of one feed; ``rows`` hold the key's columns, images may be null."""
+    body = F.to_json(F.struct(before.alias("before"), after.alias("after"), op.alias("op"), F.struct(lsn.alias("lsn"), millis.alias("ts_ms"), (millis * 1000 + 7).alias("ts_us")).alias("source")))
+    key = F.to_json(F.struct(*[F.col(n) for n in feed.key]))
+    return rows.select(key.cast("binary").alias("key"), body.cast("binary").alias("value"), F.lit(feed.topic).alias("topic"), F.lit(0).alias("partition"), lsn.alias("offset"))
+
+
+def _image(*cols: Column) -> Column:
+    return F.struct(*cols)
+
+
+def item_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines: ``(order + line) % 4`` says insert, update, delete or snapshot; every third order's deletes lack their image, every fifth's have a negative product."""
+    li = table(spark, sf_dir, "lineitem").withColumn("order_item_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    op = F.element_at(F.array(*map(F.lit, "cudr")), ((F.col("l_orderkey") + F.col("l_linenumber")) % 4 + 1).cast("int"))
+    product = F.when((op == "d") & (F.col("l_orderkey") % 5 == 0), -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    image = _image(F.col("l_orderkey").alias("order_id"), product.alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("price_at_order"))
+    before = F.when((op == "d") & (F.col("l_orderkey") % 3 != 0), image)
+    return messages_of(li, ORDER_ITEMS, before, F.when(op != "d", image), op, F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100, F.unix_millis("l_shipdate"))
+
+
+def customer_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers: a snapshot of each, an update of every second one, a delete of every seventh; no address anywhere."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), "c_name", "c_mktsegment", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
+    c = c.where("n = 0 OR (n = 1 AND customer_id % 2 = 0) OR (n = 2 AND customer_id % 7 = 0)")
+    op = F.element_at(F.array(*map(F.lit, "rud")), F.col("n") + 1)
+    image = _image(F.col("c_name").alias("name"), F.when(F.col("n") == 0, F.col("c_mktsegment")).alias("segment"))
+    lsn = F.col("customer_id") * 10 + F.col("n")
+    return messages_of(c, CUSTOMERS, F.when(op == "d", image), F.when(op != "d", image), op, lsn, F.lit(1_000_000_000_000) + lsn * 60_000)
+
+
+def product_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products: a snapshot and an update to a price that every 11th one spells wrong."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), "p_name", "p_brand", "p_retailprice", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    price = F.when((F.col("n") == 1) & (F.col("product_id") % 11 == 0), "cheap").otherwise((F.col("p_retailprice").cast("decimal(10,2)") + F.col("n")).cast("decimal(10,2)").cast("string"))
+    image = _image(F.col("p_name").alias("name"), F.col("p_brand").alias("category"), price.alias("price"))
+    lsn = F.col("product_id") * 10 + F.col("n")
+    return messages_of(p, PRODUCTS, F.lit(None), image, F.when(F.col("n") == 0, "r").otherwise("u"), lsn, F.lit(1_000_000_000_000) + lsn * 60_000)
+
+
+def stock_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shelves in three warehouses; every 13th part's third one has a number no 32 bits hold."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.explode(F.array(*[F.lit(w).cast("bigint") for w in (1, 2, 3)])).alias("warehouse_id"))
+    far = (F.col("product_id") % 13 == 0) & (F.col("warehouse_id") == 3)
+    p = p.withColumn("shelf", F.col("product_id") * 4 + F.col("warehouse_id")).withColumn("warehouse_id", F.when(far, F.lit(2**31)).otherwise(F.col("warehouse_id")))
+    image = _image((F.col("shelf") % 300 - 20).alias("quantity"), F.lit("2026-01-01T00:00:00.5Z").alias("updated_at"))
+    return messages_of(p, INVENTORY, F.lit(None), image, F.lit("u"), F.col("shelf"), F.lit(1_000_000_000_000) + F.col("shelf"))
+
+
+def broken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of orders with a break of the contract, each kind at its own remainder of the offset by 1009."""
+    value = F.col("value").cast("string")
+    at = F.col("offset") % 1009
+    bent = (
+        F.when(at == 0, F.lit("not json")).when(at == 1, F.lit(None)).when(at == 2, F.replace(value, F.lit('"lsn":'), F.lit('"lsn":-'))).when(at == 3, F.regexp_replace(value, '"op":"."', '"op":null'))
+        .when(at == 4, F.replace(value, F.lit('"lsn":'), F.lit('"lsx":'))).when(at == 5, F.replace(value, F.lit('"ts_ms":'), F.lit('"ts_mx":'))).otherwise(value)
+    )
+    return order_messages(spark, sf_dir).withColumn("value", bent.cast("binary"))
+
+
+# --- both sides of the five tables ---------------------------------------------------------
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment"), F.lit(None).cast("string").alias("address"), F.timestamp_seconds(F.lit(978_307_200) + F.col("c_custkey")).alias("updated_at"))
+
+
+def _products(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part")
+    return p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("category"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), F.timestamp_seconds(F.lit(978_307_200) + F.col("p_partkey")).alias("updated_at"))
+
+
+def _stock(s: SparkSession, d: str) -> DataFrame:
+    i = stg_inventory(s, d).where("version = 1")
+    return i.select("product_id", "warehouse_id", "quantity", "updated_at")
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("product_id"), F.max("l_quantity").cast("int").alias("quantity"), F.max(F.col("l_extendedprice").cast("decimal(10,2)")).alias("price_at_order"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"), F.col("l_orderkey").alias("order_id"), "product_id", "quantity", "price_at_order")
+
+
+def source_and_staging(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The operational tables, and staging tables that lack, add and change a few of their rows.
+
+    By the first column of the key: staging lacks every 499th row and has changed
+    every 501st, the source lacks every 503rd.
+    """
+    at = F.timestamp_seconds(F.lit(978_307_200))
+    orders = stg_orders(s, d).select("order_id", "customer_id", "status", "created_at", "updated_at")
+    tables = {"customers": _customers(s, d), "products": _products(s, d), "orders": orders, "order_items": _lines(s, d), "inventory": _stock(s, d)}
+    keys = {"customers": "customer_id", "products": "product_id", "orders": "order_id", "order_items": "order_item_id", "inventory": "product_id"}
+    bent = {"customers": ("name", F.concat("name", F.lit("!"))), "products": ("price", F.col("price") + F.lit("0.01").cast("decimal(10,2)")), "orders": ("status", F.lit("lost")), "order_items": ("quantity", F.col("quantity") + 1), "inventory": ("quantity", F.col("quantity") + 1)}
+    targets = {"customers": "stg_customer_versions", "products": "stg_product_versions", "orders": "stg_orders", "order_items": "stg_order_items", "inventory": "stg_inventory"}
+    source, staging = {}, {}
+    for name, df in tables.items():
+        k = F.col(keys[name])
+        source[name] = df.where(k % 503 != 5)
+        column, other = bent[name]
+        rows = df.where(k % 499 != 3).withColumn(column, F.when(k % 501 == 7, other).otherwise(F.col(column)).cast(df.schema[column].dataType))
+        rows = rows.withColumns({"version": F.lit(1).cast("bigint"), "is_deleted": F.lit(0)})
+        if name in ("customers", "products"):
+            rows = rows.drop("updated_at").withColumn("valid_from", at)
+        if name == "customers":
+            rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("address", "segment")})
+        staging[targets[name]] = rows
+    return source, staging
