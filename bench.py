@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from statistics import median
 
@@ -40,7 +41,7 @@ def seconds(make, runs: int) -> float:
 
 def shape(spark: SparkSession, runs: int) -> dict[str, float]:
     """Dimension rebuilds, the fact scan and the marts on tables of the published shape, saved first."""
-    root = f"/tmp/tidemark-bench-{os.getpid()}"
+    root = f"{tempfile.gettempdir()}/tidemark-bench-{os.getpid()}"  # one machine, local mode
     tables = {}
     for name, df in synth.bench_tables(spark, 1_000_000).items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
