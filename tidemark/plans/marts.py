@@ -40,9 +40,11 @@ def _with_watermark(grouped: DataFrame) -> DataFrame:
     """Groups that carry their own newest event, with that of all in its place.
 
     The maximum is taken of the groups, not in a second pass over what they
-    were made of: both sides read one shuffle.
+    were made of: as it is that of whole groups, no column is pruned for it and
+    both sides read one shuffle.
     """
-    return grouped.drop("_newest").crossJoin(F.broadcast(_watermark(grouped, "_newest")))
+    last = F.max(F.struct("_newest", *[c for c in grouped.columns if c != "_newest"]))
+    return grouped.drop("_newest").crossJoin(F.broadcast(grouped.agg(last["_newest"].alias("source_watermark"))))
 
 
 def revenue_sums(fact: DataFrame) -> DataFrame:
