@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import alerts
 from tidemark.operators import quality, reconcile
 from tidemark.plans import formats, marts, panels, queries, results
 from tidemark.plans.refresh import states_of
@@ -92,3 +93,18 @@ def test_states_and_progress(spark):
     for ms in range(1, 101):
         alive.onQueryProgress(Event(ms))
     assert alive.stats() == {"batches": 100, "rows": 200, "max": 100, "p50": 51, "p95": 96, "p99": 100}
+
+
+def test_measured_sizes_reach_the_panel(spark, tmp_path):
+    sink = stream.Sink(spark, f"{tmp_path}/sink")
+    for t, n in (("a", 10), ("b", 10_000)):
+        sink.append(t, spark.range(n), "0")
+    log = results.size_rows(spark, "retention", "scheduled__1", sink.sizes(), {"a": 10, "b": 10_000}, T)
+    rows = panels.table_sizes(log).collect()
+    assert [r["table_name"] for r in rows] == ["b", "a"] and rows[0]["bytes"] > rows[1]["bytes"] > 0 and int(rows[0]["ch_value"]) == 10_000
+
+
+def test_probe_of_the_channel(spark):
+    assert alerts.probe(lambda t: 200)["status"] == "ok"
+    bad = alerts.probe(lambda t: 500)
+    assert results.rows(spark, "channel", "scheduled__1", [bad], T).first()["status"] == "error"

@@ -40,3 +40,9 @@ def with_retry(send: Callable[[str], int | None], text: str) -> bool:
         if code != 429 and code < 500:
             return False
     return False
+
+
+def probe(send: Callable[[str], int | None], text: str = "channel probe") -> dict:
+    """A result row that tells whether the channel takes a message: ``ok`` or ``error``."""
+    taken = with_retry(send, text)
+    return {"check_name": "alert_channel", "table_name": "", "status": "ok" if taken else "error", "violations": int(not taken), "error": None if taken else "the channel took no message"}

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ def rows(spark: SparkSession, job: str, run: str, results: Sequence[dict], check
     for r in results:
         rest = {k: v for k, v in r.items() if k not in own and v not in (None, [])}
         values = {"dag_id": job, "run_id": run, "logical_date": planned_for, "cutoff": cutoff, "checked_at": checked_at, "details": json.dumps(rest, ensure_ascii=False, default=str), "violations": 0} | {k: v for k, v in r.items() if k in own}
+        values |= {k: Decimal(values[k]) for k in ("pg_value", "ch_value") if values.get(k) is not None}
         made.append(tuple(values.get(c.split()[0]) for c in COLUMNS.split(", ")))
     return spark.createDataFrame(made, COLUMNS)
 
@@ -51,3 +53,9 @@ class ResultLog:
 
     def read(self) -> DataFrame:
         return newest(self.spark.read.schema(COLUMNS).parquet(f"{self.path}/part=*"))
+
+
+def size_rows(spark: SparkSession, job: str, run: str, sizes: DataFrame, counts: dict[str, int], checked_at: datetime) -> DataFrame:
+    """Measured ``sizes(table_name, n_files, bytes)`` as results: rows of each table where ``counts`` has them, bytes and files in the details."""
+    told = [{"check_name": "table_size", "table_name": r["table_name"], "status": "ok", "ch_value": counts.get(r["table_name"]), "bytes_on_disk": r["bytes"], "files": r["n_files"]} for r in sizes.collect()]
+    return rows(spark, job, run, told, checked_at)
