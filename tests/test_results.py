@@ -108,3 +108,15 @@ def test_probe_of_the_channel(spark):
     assert alerts.probe(lambda t: 200)["status"] == "ok"
     bad = alerts.probe(lambda t: 500)
     assert results.rows(spark, "channel", "scheduled__1", [bad], T).first()["status"] == "error"
+
+
+def test_extra_keys_are_looked_at_again_later(spark):
+    waited = []
+
+    def side(ids):
+        return reconcile.Side(spark.createDataFrame([(i,) for i in ids], "id long"), F.col("id"), (F.col("id"),), F.lit(T))
+
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    got = reconcile.rechecked(keys, lambda: (side([2]), side([1, 2])), waited.append)
+    assert [r["k"] for r in got.collect()] == [1] and waited == [600]
+    assert reconcile.rechecked(keys.limit(0), lambda: None, waited.append).isEmpty() and waited == [600]

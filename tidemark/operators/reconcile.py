@@ -7,7 +7,8 @@ are compared per bucket of keys, and only differing buckets are looked into.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +151,14 @@ def still_extra(keys: DataFrame, source: Side, target: Side) -> DataFrame:
     return again.join(source.rows().select("k"), "k", "left_anti")
 
 
+def rechecked(keys: DataFrame, read: Callable[[], tuple[Side, Side]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``still_extra`` on both sides as they are after the recheck time: a tombstone on its way has arrived by then."""
+    if keys.isEmpty():
+        return keys
+    wait(RECHECK_MINUTES * 60)
+    return still_extra(keys, *read())
+
+
 def lagging(target: DataFrame, source: DataFrame, time: str, cutoff: Column, allowance: str = "INTERVAL 5 MINUTES") -> bool:
     """Whether the source has changes from before the cutoff's allowance that the target has none as new as."""
     newest = target.agg(F.max(time).alias("m")).first()["m"]
