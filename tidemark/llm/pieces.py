@@ -207,8 +207,10 @@ def encoder(path: str) -> PrefixEncoder:
 def encode_documents(docs: DataFrame, model: str | None = None, keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: token count and digests of ids and decoded text.
 
-    Null texts count as empty (two ids, decoded ""); repeated rows give
-    repeated rows; extra columns are ignored; an empty table gives no rows.
+    Null texts count as empty (two ids, decoded ""); very long ones are encoded
+    whole, a chunk at a time; of two merges that tie the library's order holds;
+    repeated rows give repeated rows; extra columns are ignored; an empty table
+    gives no rows.
     ``keep`` adds ``ids array<int>`` and ``decoded``.
     """
     model = model or default_model()
@@ -238,4 +240,5 @@ def encode_documents(docs: DataFrame, model: str | None = None, keep: bool = Fal
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; edge cases as in ``encode_documents``."""
     return encode_documents(table(spark, sf_dir, "documents"))
