@@ -39,7 +39,7 @@ def test_blocks_agree(spark):
     rows = [(i, [int(x) for x in r]) for i, r in enumerate(rng.integers(-60, 60, size=(300, 12)))]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     q = df.where("vec_id % 20 = 0")
-    small = topk.top_k(q, df, k=5, block=40 * 12).collect()
+    small = topk.top_k(q, df, k=5, block=40 * 12).collect()  # eight blocks
     assert sorted(small) == sorted(topk.top_k(q, df, k=5).collect())
 
 

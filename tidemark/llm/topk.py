@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import on_workers, table
+from .common import on_workers, partitions, table
 
 SCALE = 64
 HITS = "query_id long, vec_id long, score long"
-BLOCK = 1 << 22  # components of a block of vectors
+BLOCK, LEAST_BLOCK = 1 << 22, 1 << 18  # components of a block of vectors
 AT_ONCE = 32  # queries that read an index together
 LONG = np.iinfo(np.int64)
 
@@ -168,7 +168,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLOC
     on_workers(vectors.sparkSession)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    many = max(1, -(-size["n"] * max(1, size["d"] or 1) // block))
+    total = size["n"] * max(1, size["d"] or 1)
+    # Small tables go in smaller blocks, so that all tasks have some.
+    many = max(1, -(-total // block), min(-(-total // LEAST_BLOCK), 2 * partitions(vectors.sparkSession)))
     left = vectors.select(F.pmod(F.xxhash64("vec_id", F.spark_partition_id()), F.lit(many)).cast("int").alias("vb"), F.lit(False).alias("asks"), "vec_id", "v")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("vb"), F.lit(True).alias("asks"), "vec_id", "v")
     dealt = left.unionByName(right).repartition(many, "vb").sortWithinPartitions("vb", "asks", "vec_id")
