@@ -65,11 +65,13 @@ def test_nearest_are_exact():
     vocabulary = {b"w%d" % i: i for i in range(60)}
     index = toxicity.Index(np.arange(500), np.array([i % 2 for i in range(500)]), np.ones(500), vocabulary, np.linspace(0.5, 3, 60), block=16, k=10)
     vectors = [{rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(0, 9))} for _ in range(500)]
+    vectors = [(np.array(list(v), int), np.array(list(v.values()), int)) for v in vectors]
     index.build(vectors)
     at, term, w = index.vectors(vectors)
     dense = np.zeros((500, 60))
     dense[at, term] = w
     queries = [{rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(0, 12))} for _ in range(100)]
+    queries = [(np.array(list(v), int), np.array(list(v.values()), int)) for v in queries]
     at, term, w = index.vectors(queries)
     x = np.zeros((100, 60))
     x[at, term] = w
@@ -86,7 +88,7 @@ def test_nearest_are_exact():
 def test_blocks_of_similar_examples_are_passed_over():
     rng = random.Random(2)
     topics = [range(k * 40, k * 40 + 40) for k in range(8)]
-    rows = [{rng.choice(topics[n % 8]): 1 for _ in range(12)} for n in range(800)]
+    rows = [(np.array(rng.sample(topics[n % 8], 9)), np.ones(9, int)) for n in range(800)]
     index = toxicity.Index(np.arange(800), np.zeros(800, int), np.ones(800), {}, np.ones(320), block=20)
     index.build(rows)
     index.nearest(rows[:64])
@@ -246,6 +248,8 @@ def test_samples_are_bounded_and_alike(spark):
     from tidemark.llm.common import bounded_sample
 
     df = spark.range(20_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'a' when id < 50 then 'b' else 'c' end as y")
-    got = {r["y"]: r["n"] for r in bounded_sample(df, "y", 500).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    got = {r["y"]: r["n"] for r in bounded_sample(df, "y", 500, sizes).groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert got["b"] == 33 and all(500 - 140 < got[y] < 500 + 140 for y in "ac")
-    assert bounded_sample(df, "y", 500).exceptAll(bounded_sample(df.repartition(7), "y", 500)).isEmpty()
+    assert bounded_sample(df, "y", 500, sizes).exceptAll(bounded_sample(df.repartition(7), "y", 500, sizes)).isEmpty()
+    assert bounded_sample(df, "y", 500, {}).isEmpty()

@@ -43,9 +43,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared work folder and read it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, label: str, rows: int | None = None, a_file: int = 50_000) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``, how many there are at most where that is known, keeps small
+    tables from being written as a file a task; large ones are as many files as
+    they have partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // a_file)))
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
@@ -71,17 +78,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id") -> DataFrame:
-    """Some ``per_stratum`` rows of each value of ``stratum``, all where it has no more.
+def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, sizes: dict, key: str = "doc_id") -> DataFrame:
+    """Some ``per_stratum`` rows of each value of ``stratum`` that ``sizes`` has the number of rows of, all where it has no more.
 
     A row is in if the hash of its key is under the share that is wanted of its
-    stratum, so the sample is the same on any cluster, and nothing is sorted or
-    gathered.  With different keys a stratum gives more than
+    stratum, so the sample is the same on any cluster, and nothing is joined,
+    sorted or gathered.  With different keys a stratum gives more than
     ``per_stratum + 6 * sqrt(per_stratum)`` rows less than once in 10^8.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    if not sizes:
+        return df.limit(0)
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for v, n in sorted(sizes.items()) for x in (v, per_stratum / max(n, 1))]), F.col(stratum)), F.lit(0.0))
     at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    return df.join(sizes, stratum).where(at * F.col("_n") < per_stratum).drop("_n")
+    return df.where(at < share)
 
 
 def few(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -161,10 +161,10 @@ def fit(docs: DataFrame, per_language: int = 600, most_languages: int = 500, mos
     """
     on_workers(docs.sparkSession)
     rows = docs.where((fold("doc_id", FOLDS) != HELD) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("y"), "text")
-    names = [r["y"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(most_languages).collect()]
-    if not names:
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(most_languages).collect()}
+    if not sizes:
         return None
-    chosen = bounded_sample(rows.where(F.col("y").isin(names)), "y", min(per_language, max(1, most_rows // len(names))))
+    chosen = bounded_sample(rows, "y", min(per_language, max(1, most_rows // len(sizes))), sizes)
     texts = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

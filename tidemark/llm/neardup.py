@@ -42,6 +42,7 @@ MANTISSA = 10
 HEAD = 64  # rarest shingles of a set that travel with each of its postings
 MISSED_BY_BANDS, MISSED_BY_ESTIMATE = 1e-7, 1e-8  # chances of a pair at the threshold
 HOT_SHARE, COPIES = 4096, 32
+REST = 20  # pairs by rare shingles to expect of a class, for the number of files only
 
 
 def band_width(percent: int) -> int:
@@ -180,8 +181,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, unique: bool) -> DataF
     return found if unique else found.dropDuplicates(["c"])
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)``, each once with ``a < b``, that may be links by their sizes and registers."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Those of the pairs ``(a, b)``, of which there are at most ``most``, each once with ``a < b``, that may be links by their sizes and registers."""
     least = (least_matches(percent) - 0.5) / REGISTERS
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +196,14 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             estimate = ((x == y).mean(axis=1) - c) / (1 - c)
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(estimate >= least))
 
-    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs", most)
     total = pairs.count()
     for end, other in (("a", "b"), ("b", "a")):
         hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), total)
         rows = classes.select(F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("regs").alias(f"r_{end}"))
         met = _met(pairs if end == "a" else met, rows, end, hot, other)
     met = met.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    out = saved(met.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(close, "a long, b long"), "likely")
+    out = saved(met.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(close, "a long, b long"), "likely", total, 20_000)
     forget(pairs)
     return out
 
@@ -225,15 +226,17 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes; they only ever fall, so that comes to pass whatever the
     links.  Each round is written and its predecessor deleted.
     """
-    both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("label")), "labels")
+    ends = 2 * links.count()
+    both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links", ends)
+    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("label")), "labels", ends)
     while True:
         heard = both.join(labels.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "c")
         step = labels.join(heard, "c").select("c", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = step.select(F.col("c").alias("label"), F.col("label").alias("far"))
-        new = saved(step.join(jump, "label", "left").select("c", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        new = saved(step.join(jump, "label", "left").select("c", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels", ends)
         forget(labels)
         labels = new.select("c", "label")
+        labels._saved_at = new._saved_at
         if new.where("label <> old").isEmpty():
             forget(both)
             return labels
@@ -246,38 +249,43 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     sigs = saved(_signatures(docs, width), "signatures")
     unique = sigs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("row").alias("c"), F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = saved(classes, "classes")
+    classes = saved(classes, "classes", sigs.count(), 8_000)
+    bands = classes.count() * (REGISTERS // band)
 
     # One hub a bucket, its least class: the same for many buckets.
     banded = _banded(classes, band)
-    buckets = saved(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = saved(_met(banded, buckets, "bucket", _hot(buckets, classes.count() * (REGISTERS // band)), "c").where("c <> hub"), "members")
-    likely = _likely(members.select(F.col("c").alias("a"), F.col("hub").alias("b")), classes, percent)
+    buckets = saved(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets", bands, 200_000)
+    members = saved(_met(banded, buckets, "bucket", _hot(buckets, bands), "c").where("c <> hub"), "members", bands, 200_000)
+    met = members.count()
+    likely = _likely(members.select(F.col("c").alias("a"), F.col("hub").alias("b")), classes, percent, met)
     rest = members.where("size > 2").select("bucket", "c")
     forget(buckets)
 
     named = classes.select("c", "digest", F.col("class_id").alias("doc_id"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).union(rest.select("c")).distinct()
     sets = saved(_sets(docs, named.join(wanted, "c", "left_semi"), width, unique), "sets")
-    links = saved(_confirmed(likely, sets, percent), "confirmed")
+    links = saved(_confirmed(likely, sets, percent), "confirmed", likely.count())
     labels = components(links)
     forget(likely)
 
     # Second hub: in buckets of several components, the class with most links.
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("degree"))
-    placed = saved(_open(rest, labels).join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
-    forget(members)
-    second = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "second")
+    open_, several = _open(rest, labels, met)
+    placed = saved(open_.join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open", met, 200_000)
+    forget(members, several)
+    second = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "second", placed.count())
     beside = _met(placed.select("bucket", "c", "label"), second, "bucket", _hot(second, placed.count()), "c")
-    likely = _likely(beside.where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b")), classes, percent)
-    rest = saved(beside.where(F.col("c") != F.col("hub.c")).select("bucket", "c"), "rest")
-    links, labels = _more(links, labels, _confirmed(likely, sets, percent))
+    likely = _likely(beside.where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b")), classes, percent, placed.count())
+    rest = saved(beside.where(F.col("c") != F.col("hub.c")).select("bucket", "c"), "rest", placed.count())
+    links, labels = _more(links, labels, _confirmed(likely, sets, percent), likely.count())
     forget(placed, second, likely)
 
     # The exact way for what is left of open buckets.
-    left = saved(_open(rest, labels).select("c", "label").distinct(), "left")
-    likely = _likely(_rarest(left.join(classes.select("c", "n"), "c"), sets, percent), classes, percent)
-    links, labels = _more(links, labels, _confirmed(likely, sets, percent))
+    open_, several = _open(rest, labels, rest.count())
+    left = saved(open_.select("c", "label").distinct(), "left", rest.count(), 5_000)
+    forget(several)
+    likely = _likely(_rarest(left.join(classes.select("c", "n"), "c"), sets, percent), classes, percent, REST * left.count())
+    links, labels = _more(links, labels, _confirmed(likely, sets, percent), likely.count())
     forget(rest, left, likely, sets)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
@@ -288,12 +296,12 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     return sigs, told, unique
 
 
-def _more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and labels with the new links ``found``, which are between components."""
-    found = saved(found, "confirmed")
+def _more(links: DataFrame, labels: DataFrame, found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with the new links ``found`` (at most ``most``), which are between components."""
+    found = saved(found, "confirmed", most)
     if found.isEmpty():
         return links, labels
-    both = saved(links.union(found).distinct(), "confirmed")
+    both = saved(links.union(found).distinct(), "confirmed", links.count() + most)
     forget(links, labels, found)
     return both, components(both)
 
@@ -323,11 +331,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(bucket, c, label)`` of the buckets that still hold more than one component."""
+def _open(rest: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(bucket, c, label)`` of the buckets that still hold more than one component, and the written table of these buckets."""
     placed = rest.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return placed.join(several, "bucket", "left_semi").select("bucket", "c", "label")
+    sizes = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    several = saved(sizes.where("lo <> hi").select("bucket", "size"), "several", rows, 200_000)
+    return _met(placed, several, "bucket", _hot(several, rows), "c").select("bucket", "c", "label"), several
 
 
 def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

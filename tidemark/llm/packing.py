@@ -70,7 +70,7 @@ class WordTokens:
     generations).  Texts that hold an added token go to the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -104,7 +104,7 @@ class WordTokens:
 class FastWordTokens(WordTokens):
     """The same ids by tiktoken, for vocabularies whose merges it can hold as ranks."""
 
-    def __init__(self, path: str, ranks: str, pattern: str, remembered: int = 400_000):
+    def __init__(self, path: str, ranks: str, pattern: str, remembered: int = 150_000):
         import tiktoken
 
         super().__init__(path, remembered)

@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: i
     marks, values, totals = _graded(marks, most_grades)
     if len(totals) < 2:
         return None
-    chosen = bounded_sample(marks, "y", min(per_grade, most_rows // len(totals)))
+    chosen = bounded_sample(marks, "y", min(per_grade, most_rows // len(totals)), totals)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 

@@ -12,8 +12,10 @@ These are the evidence.  Texts go through the index in batches.
 Two votes, each weighted by nearness and corrected for the sampling of labels,
 make the score: that of the nearest by all words, and that of the nearest by
 the words alone that go with a label (chi-square), as most words of a text say
-nothing of it.  A logistic curve fitted to the examples' own leave-one-out
-votes joins and calibrates them.
+nothing of it.  Lengths stay those over all words there, so that a text with a
+single such word by chance is near to nothing.  A logistic curve over the log
+odds of both, fitted to the examples' own leave-one-out votes, joins and
+calibrates them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,10 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
+#: The different words of a text by number, and how often it has them.
+Words = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Index:
     """Examples in blocks of similar ones, with postings and largest weights by word and block.
@@ -60,6 +67,7 @@ class Index:
     block: int = 64
     k: int = 15
     dense: int = 1024
+    far: float = 0.2  # weight of the whole sample, as of one far vote
     at: np.ndarray | None = None  # postings: example numbers
     weight: np.ndarray | None = None
     first: np.ndarray | None = None  # first posting of each word, and the end
@@ -68,16 +76,20 @@ class Index:
     read: int = 0  # pairs of text and block that had to be read, and all such pairs
     pairs: int = 0
 
-    def vectors(self, rows: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, word and weight of unit vectors, one entry for each word of a row."""
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        term = np.fromiter((t for r in rows for t in r), np.int64, len(of))
-        w = (1 + np.log(np.fromiter((c for r in rows for c in r.values()), float, len(of)))) * self.idf[term]
-        norm = np.sqrt(np.bincount(of, w * w, minlength=len(rows)))
+    def vectors(self, rows: list[Words], lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and weight of vectors, one entry for each word of a row; unit vectors unless their ``lengths`` are given."""
+        of = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        term = np.concatenate([t for t, _ in rows] or [np.zeros(0)]).astype(np.int64)
+        w = (1 + np.log(np.concatenate([c for _, c in rows] or [np.zeros(0)]).astype(float))) * self.idf[term]
+        norm = np.sqrt(np.bincount(of, w * w, minlength=len(rows))) if lengths is None else lengths
         return of, term, w / np.where(norm > 0, norm, 1)[of]
 
-    def build(self, rows: list[dict[int, int]]) -> None:
-        of, term, w = self.vectors(rows)
+    def lengths(self, rows: list[Words]) -> np.ndarray:
+        of, _, w = self.vectors(rows, np.ones(len(rows)))
+        return np.sqrt(np.bincount(of, w * w, minlength=len(rows)))
+
+    def build(self, rows: list[Words], lengths: np.ndarray | None = None) -> None:
+        of, term, w = self.vectors(rows, lengths)
         order = np.lexsort((of, term))[: len(of)]
         self.at, self.weight = of[order].astype(np.int32), w[order]
         self.first = np.searchsorted(term[order], np.arange(len(self.idf) + 1))
@@ -118,7 +130,7 @@ class Index:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"laid": None}
 
-    def nearest(self, rows: list[dict[int, int]], without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+    def nearest(self, rows: list[Words], without: np.ndarray | None = None, lengths: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """For each of a batch of texts the ``k`` nearest examples of positive cosine, equal ones by number.
 
         ``without`` names an example for each text that is to be left out.
@@ -126,7 +138,7 @@ class Index:
         if not rows or not len(self.ids):
             return [[] for _ in rows]
         column, x, most, number = self._lay_out()
-        of, term, w = self.vectors(rows)
+        of, term, w = self.vectors(rows, lengths)
         many, places, blocks = len(rows), len(x), len(most)
         to = column[term]
         q = np.zeros((many, x.shape[1]))
@@ -168,7 +180,7 @@ class Index:
         base = (self.votes * self.labels).sum() / max(self.votes.sum(), 1e-9)
         weight = [(c * c * self.votes[n], self.labels[n]) for c, n in near]
         mean = self.votes.mean() if len(self.votes) else 1.0
-        return (sum(w * y for w, y in weight) + 0.2 * mean * base) / (sum(w for w, _ in weight) + 0.2 * mean)
+        return (sum(w * y for w, y in weight) + self.far * mean * base) / (sum(w for w, _ in weight) + self.far * mean)
 
 
 @dataclass
@@ -177,14 +189,19 @@ class Votes:
 
     whole: Index
     sure: Index
-    number: dict[int, int]  # of a sure word, by its number among all
-    curve: np.ndarray = field(default_factory=lambda: np.array([2.0, 2.0, -2.0]))
+    number: np.ndarray  # of a word among the sure ones (-1: it isn't one), by its number among all
+    curve: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0]))
 
-    def judged(self, rows: list[dict[int, int]], without: np.ndarray | None = None) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
-        """For each of a batch of texts the votes of both indexes, and its nearest by all words."""
+    def judged(self, rows: list[Words], without: np.ndarray | None = None) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """For each of a batch of texts the log odds of the votes of both indexes, and its nearest by all words."""
         near = self.whole.nearest(rows, without)
-        sure = self.sure.nearest([{self.number[t]: c for t, c in r.items() if t in self.number} for r in rows], without)
-        return np.array([[self.whole.raw(a), self.sure.raw(b)] for a, b in zip(near, sure)]).reshape(-1, 2), near
+        sure = self.sure.nearest(self.surer(rows), without, self.whole.lengths(rows))
+        share = np.array([[self.whole.raw(a), self.sure.raw(b)] for a, b in zip(near, sure)]).reshape(-1, 2).clip(1e-4, 1 - 1e-4)
+        return np.log(share / (1 - share)), near
+
+    def surer(self, rows: list[Words]) -> list[Words]:
+        numbered = [(self.number[t], c) for t, c in rows]
+        return [(t[t >= 0], c[t >= 0]) for t, c in numbered]
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(votes @ self.curve[:2] + self.curve[2])))
@@ -195,7 +212,7 @@ class Votes:
             votes, near = self.judged([_counts(t, self.whole.vocabulary) for t in texts[i : i + BATCH]])
             yield from zip(self.score(votes).tolist(), near)
 
-    def calibrate(self, rows: list[dict[int, int]]) -> None:
+    def calibrate(self, rows: list[Words]) -> None:
         """Fits the curve to the votes that the examples get from all others."""
         parts = [self.judged(rows[i : i + BATCH], np.arange(i, min(i + BATCH, len(rows))))[0] for i in range(0, len(rows), BATCH)]
         x = np.concatenate([np.concatenate(parts), np.ones((len(rows), 1))], axis=1)
@@ -210,14 +227,13 @@ class Votes:
             self.curve = c
 
 
-def _counts(text: str | None, vocabulary: dict[bytes, int]) -> dict[int, int]:
+def _counts(text: str | None, vocabulary: dict[bytes, int]) -> Words:
     got = Counter(map(vocabulary.get, letter_words(text)))
     got.pop(None, None)
-    return got
+    return np.fromiter(got, np.int32, len(got)), np.fromiter(got.values(), np.int32, len(got))
 
 
-def _document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    words = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def _document_frequencies(texts: DataFrame, words: Broadcast) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
@@ -231,7 +247,7 @@ def _document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["t", "n"])
 
     got = texts.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(vocabulary))
+    out = np.zeros(len(words.value))
     out[got.column("t").to_numpy()] = got.column("n").to_numpy()
     return out
 
@@ -247,9 +263,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", FOLDS) != held))
     marks = marks.groupBy("doc_id").agg(F.max(label).alias("y"))
     totals = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = bounded_sample(marks, "y", per_label)
+    chosen = bounded_sample(marks, "y", per_label, totals)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    examples = saved(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples")
+    examples = saved(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples", 2 * per_label, 500)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ys in rows_of(batches, "text", "y"):
@@ -266,13 +282,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part, ys in rows_of(batches, "doc_id", "text", "y"):
             got = [_counts(t, known.value) for t in part]
-            flat = [pa.array([np.array(list(x), np.int32).tobytes() for x in xs], pa.binary()) for xs in (got, [c.values() for c in got])]
+            flat = [pa.array([x[i].tobytes() for x in got], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), *flat], ["doc_id", "y", "terms", "counts"])
 
     rows = sorted(examples.mapInArrow(counted, "doc_id long, y int, terms binary, counts binary").collect(), key=lambda r: (r["doc_id"], bytes(r["terms"])))
 
-    counts = [dict(zip(*(np.frombuffer(r[x], np.int32).tolist() for x in ("terms", "counts")))) for r in rows]
-    seen, n = _document_frequencies(docs, vocabulary), docs.count()
+    counts = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows]
+    seen, n = _document_frequencies(docs, known), docs.count()
     ys = np.array([r["y"] for r in rows])
     about = np.array([r["doc_id"] for r in rows]), ys, np.array([totals[y] / sizes[y] for y in ys])
     whole = Index(*about, vocabulary, np.log((1 + n) / (1 + seen)) + 1e-9)
@@ -281,11 +297,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     b = held_by - a
     chi = (a * (zero - b) - b * (one - a)) ** 2 * (one + zero) / np.maximum(held_by * (one + zero - held_by) * one * zero, 1)
     chosen_words = np.flatnonzero((chi > CERTAIN) & (held_by >= 4))
-    number = {int(t): i for i, t in enumerate(chosen_words)}
-    votes = Votes(whole, Index(*about, {}, whole.idf[chosen_words]), number)
+    number = np.full(len(vocabulary), -1, np.int32)
+    number[chosen_words] = np.arange(len(chosen_words))
+    votes = Votes(whole, Index(*about, {}, whole.idf[chosen_words], far=0.02), number)
     votes.whole.build(counts)
-    votes.sure.build([{number[t]: k for t, k in c.items() if t in number} for c in counts])
+    votes.sure.build(votes.surer(counts), whole.lengths(counts))
     votes.calibrate(counts)
+    whole.laid = votes.sure.laid = None  # workers lay out their own
+    known.destroy()
     return votes
 
 
