@@ -42,6 +42,7 @@ MANTISSA = 10
 HEAD = 64  # rarest shingles of a set that travel with each of its postings
 MISSED_BY_BANDS, MISSED_BY_ESTIMATE = 1e-7, 1e-8  # chances of a pair at the threshold
 HOT_SHARE, COPIES = 4096, 32
+SETS_A_TASK = 1000  # pairs whose full sets one task reads
 REST = 20  # pairs by rare shingles to expect of a class, for the number of files only
 
 
@@ -264,7 +265,7 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     named = classes.select("c", "digest", F.col("class_id").alias("doc_id"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).union(rest.select("c")).distinct()
     sets = saved(_sets(docs, named.join(wanted, "c", "left_semi"), width, unique), "sets")
-    links = saved(_confirmed(likely, sets, percent), "confirmed", likely.count())
+    links = saved(_confirmed(likely, sets, percent), "confirmed", likely.count(), SETS_A_TASK)
     labels = components(links)
     forget(likely)
 
@@ -298,7 +299,7 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
 
 def _more(links: DataFrame, labels: DataFrame, found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Links and labels with the new links ``found`` (at most ``most``), which are between components."""
-    found = saved(found, "confirmed", most)
+    found = saved(found, "confirmed", most, SETS_A_TASK)
     if found.isEmpty():
         return links, labels
     both = saved(links.union(found).distinct(), "confirmed", links.count() + most)
