@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import SQL as DECONTAM_SQL
+from .decontam import op11_decontamination
+from .fim import SQL as FIM_SQL
+from .fim import op13_fill_in_middle
 from .language import op5_language
 from .mainext import op8_main_text
 from .neardup import op6_hyperminhash
@@ -31,5 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_spotsigs": op9_spotsigs,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_decontamination": op11_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-SQL: dict[str, str] = {"op3_secret_ledger": SECRETS_SQL, "op7_topk": TOPK_SQL, "op9_spotsigs": SPOTSIGS_SQL}
+SQL: dict[str, str] = {"op3_secret_ledger": SECRETS_SQL, "op7_topk": TOPK_SQL, "op9_spotsigs": SPOTSIGS_SQL, "op11_decontamination": DECONTAM_SQL, "op13_fill_in_middle": FIM_SQL}
