@@ -43,18 +43,18 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame, label: str, rows: int | None = None, a_file: int = 50_000) -> DataFrame:
+def saved(df: DataFrame, label: str, rows: int | None = None, a_file: int = 50_000, **options: object) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back: cuts lineage, survives lost executors.
 
     ``rows``, how many there are at most where that is known, keeps small
     tables from being written as a file a task; large ones are as many files as
-    they have partitions.
+    they have partitions.  ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // a_file)))
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._saved_at = path
     return read

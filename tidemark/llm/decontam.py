@@ -34,7 +34,8 @@ from .common import on_workers, saved, table
 
 WIDTH = 10
 SHARD = 4 << 20  # bytes of text in a shard; a longer text is a shard of its own
-BLOCK = 500_000  # words of test items searched for at once
+ROW_GROUP = 16 << 20  # few shards are read at once
+BLOCK = 200_000  # words of test items searched for at once
 STEP = 1 << 21  # possible starts held at once
 _WORDY = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -80,7 +81,7 @@ def build(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_pydict({"shard": pa.array([first + i], pa.int64())} | lists)
 
     shape = f"shard long, keys array<{name}>, n_words array<int>, terms array<string>, starts array<int>, positions array<int>"
-    return saved(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(kernel, shape), "index")
+    return saved(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(kernel, shape), "index", **{"parquet.block.size": ROW_GROUP})
 
 
 @dataclass

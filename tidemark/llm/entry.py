@@ -14,6 +14,8 @@ from .language import op5_language
 from .mainext import op8_main_text
 from .neardup import op6_hyperminhash
 from .packing import op2_packing
+from .phrases import SQL as PHRASES_SQL
+from .phrases import op12_collocations
 from .pieces import op10_sentencepiece
 from .quality import op1_quality
 from .secrets import SQL as SECRETS_SQL
@@ -36,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-SQL: dict[str, str] = {"op3_secret_ledger": SECRETS_SQL, "op7_topk": TOPK_SQL, "op9_spotsigs": SPOTSIGS_SQL, "op11_decontamination": DECONTAM_SQL, "op13_fill_in_middle": FIM_SQL}
+SQL: dict[str, str] = {"op3_secret_ledger": SECRETS_SQL, "op7_topk": TOPK_SQL, "op9_spotsigs": SPOTSIGS_SQL, "op11_decontamination": DECONTAM_SQL, "op12_collocations": PHRASES_SQL, "op13_fill_in_middle": FIM_SQL}
