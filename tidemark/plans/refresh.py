@@ -3,7 +3,8 @@
 Each refresh writes a new folder and then renames a pointer file over the old
 one in one step, so readers see the old rows or the new ones, and a refresh
 that fails or dies leaves the old ones.  Old folders stay for a grace time, for
-readers that had begun with them.
+readers that had begun with them.  Nodes that don't wait for each other are
+refreshed side by side, each under a job tag and in a scheduler pool of its own.
 """
 
 from __future__ import annotations
@@ -13,11 +14,17 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.files import Files
+
+from .querylog import labelled
+
 
 @dataclass(frozen=True)
 class Node:
@@ -31,20 +38,11 @@ class MartStore:
 
     def __init__(self, spark: SparkSession, root: str, grace_s: float = 3600):
         self.spark, self.root, self.grace_s = spark, root.rstrip("/"), grace_s
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        conf = spark._jsc.hadoopConfiguration()
-        self._path = hadoop.Path
-        self._fs = hadoop.Path(self.root).getFileSystem(conf)
-        self._files = hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
-        kind = getattr(hadoop, "Options$Rename")
-        self._over = spark.sparkContext._gateway.new_array(kind, 1)
-        self._over[0] = kind.OVERWRITE
+        self.files = Files(spark, self.root)
 
     def _current(self, name: str) -> str | None:
-        pointer = self._path(f"{self.root}/{name}/current.json")
-        if not self._fs.exists(pointer):
-            return None
-        return json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])["folder"]
+        text = self.files.text(f"{name}/current.json")
+        return None if text is None else json.loads(text)["folder"]
 
     def read(self, name: str) -> DataFrame:
         folder = self._current(name)
@@ -55,24 +53,17 @@ class MartStore:
     def write(self, name: str, df: DataFrame) -> None:
         folder = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{folder}")
-        self._point(name, folder)
+        self.files.swap(f"{name}/current.json", json.dumps({"folder": folder}))
         self.sweep(name)
 
-    def _point(self, name: str, folder: str) -> None:
-        new, pointer = self._path(f"{self.root}/{name}/next-{folder}.json"), self._path(f"{self.root}/{name}/current.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"folder": folder}).encode()))
-        out.close()
-        self._files.rename(self._fs.makeQualified(new), self._fs.makeQualified(pointer), self._over)
-
     def sweep(self, name: str) -> int:
         """Deletes folders but the current one whose successor is older than the grace time; how many."""
         current = self._current(name)
-        folders = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.isDirectory() and s.getPath().getName().startswith("v-"))
+        folders = [f for f in self.files.folders(name) if f.startswith("v-")]
         gone = 0
         for folder, after in zip(folders, folders[1:]):
             if folder != current and time.time_ns() - int(after.split("-")[1]) > self.grace_s * 1e9:
-                gone += bool(self._fs.delete(self._path(f"{self.root}/{name}/{folder}"), True))
+                gone += self.files.delete(f"{name}/{folder}")
         return gone
 
 
@@ -91,26 +82,61 @@ def ordered(nodes: list[Node]) -> list[Node]:
     return done
 
 
-def refresh(store: MartStore, nodes: list[Node], retries: int = 3, pause_s: float = 0.0) -> list[dict]:
-    """Runs all nodes one after the other; state rows ``name, status, last_success_time, last_error``.
-
-    What depends on a failed node is skipped and keeps its old rows.
+def _one(store: MartStore, node: Node, retries: int, pause_s: float, limit_s: float | None) -> dict:
+    """Refreshes a node, again after failures; its jobs are cancelled by their tag where an attempt takes longer than ``limit_s``."""
+    sc = store.spark.sparkContext
+    state = {"name": node.name, "status": "Error", "last_success_time": None, "last_error": "", "attempts": 0, "started_at": datetime.now(UTC)}
+    sc.setLocalProperty("spark.scheduler.pool", f"refresh-{node.name}")
+    for attempt in range(retries + 1):
+        state["attempts"] = attempt + 1
+        tag = f"refresh-{node.name}-{uuid.uuid4().hex}"
+        over = threading.Event()
+        late = threading.Timer(limit_s, lambda tag=tag, over=over: (over.set(), sc.cancelJobsWithTag(tag))) if limit_s else None
+        sc.addJobTag(tag)
+        sc.setInterruptOnCancel(True)
+        try:
+            if late:
+                late.start()
+            with labelled(store.spark, "refresh", node.name):
+                store.write(node.name, node.build())
+            state |= {"status": "Scheduled", "last_success_time": datetime.now(UTC), "last_error": ""}
+            break
+        except Exception as e:  # noqa: BLE001  told in the state, other marts go on
+            state |= {"status": "Error", "last_error": f"cancelled after {limit_s} s" if over.is_set() else str(e).split("\n")[0][:300]}
+            if attempt < retries:
+                time.sleep(pause_s)
+        finally:
+            if late:
+                late.cancel()
+            sc.removeJobTag(tag)
+    return state | {"ended_at": datetime.now(UTC)}
+
+
+def refresh(store: MartStore, nodes: list[Node], retries: int = 3, pause_s: float = 0.0, at_once: int = 4, limit_s: float | None = None) -> list[dict]:
+    """Refreshes all nodes, up to ``at_once`` at a time, each as soon as those before it are done.
+
+    State rows in the order of ``ordered``: ``name, status, last_success_time,
+    last_error``, and the ``attempts``, ``started_at`` and ``ended_at`` of this
+    refresh.  What depends on a failed node is skipped and keeps its old rows;
+    other branches go on.
     """
+    order = ordered(nodes)
     states: dict[str, dict] = {}
-    for node in ordered(nodes):
-        state = {"name": node.name, "status": "Skipped", "last_success_time": None, "last_error": ""}
-        if all(states[a]["status"] == "Scheduled" for a in node.after):
-            for attempt in range(retries + 1):
-                try:
-                    store.write(node.name, node.build())
-                    state |= {"status": "Scheduled", "last_success_time": datetime.now(UTC), "last_error": ""}
-                    break
-                except Exception as e:  # noqa: BLE001  told in the state, other marts go on
-                    state |= {"status": "Error", "last_error": str(e).split("\n")[0][:300]}
-                    if attempt < retries:
-                        time.sleep(pause_s)
-        states[node.name] = state
-    return list(states.values())
+    running: dict[Future, Node] = {}
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        waiting = list(order)
+        while waiting or running:
+            for node in [n for n in waiting if all(a in states for a in n.after)]:
+                waiting.remove(node)
+                if all(states[a]["status"] == "Scheduled" for a in node.after):
+                    work = inheritable_thread_target(store.spark)(_one)
+                    running[pool.submit(work, store, node, retries, pause_s, limit_s)] = node
+                else:
+                    states[node.name] = {"name": node.name, "status": "Skipped", "last_success_time": None, "last_error": "", "attempts": 0, "started_at": None, "ended_at": None}
+            if running:
+                for f in wait(running, return_when=FIRST_COMPLETED).done:
+                    states[running.pop(f).name] = f.result()
+    return [states[n.name] for n in order]
 
 
 def refresh_every(store: MartStore, nodes: list[Node], tell: Callable[[list[dict]], None], stop: threading.Event, every_s: float = 120, retries: int = 3) -> int:
