@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,18 @@ def saved(df: DataFrame, label: str, rows: int | None = None, a_file: int = 50_0
     return read
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are deleted as soon as each query ends; for tables that are written and read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what ``saved`` wrote for these frames; only for such that nothing later reads."""
     for df in frames:

@@ -12,6 +12,7 @@ are added up by key, an ordinary grouped sum; scores are exact decimals.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, by_size, utf8, words
-from .common import on_workers, saved, table
+from .common import on_workers, saved, shuffles_dropped, table
 
 SHARD = 6 << 20  # bytes of text in a shard; a longer text is a shard of its own
 _WORDY = np.array([b not in b" \t.,;:!?\n\x0b\x0c\r" for b in range(256)])
@@ -60,14 +61,14 @@ def phrase_counts(sequence: np.ndarray, most: int) -> Iterator[tuple[int, np.nda
         yield n, order[heads[keep]], counts[keep]
 
 
-def shard_counts(column: pa.Array, langs: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
-    """Counts of all phrases of up to ``most`` words in the texts of one shard, by language; a phrase of no words counts all words."""
+def shard_counts(column: pa.Array, langs: pa.Array, orders: range) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of so many words in the texts of one shard, keyed ``phrase<tab>language``; a phrase of no words counts all words."""
     data, offsets = utf8(column)
     begins, before, found = words(LOWER[data], offsets, _WORDY)
     if not len(found):
         return
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-    lang = pc.fill_null(langs, "und").dictionary_encode()
+    lang = pc.fill_null(langs, "und").cast(pa.large_string()).dictionary_encode()
     tongue = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
     coded = found.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + tongue * len(coded.dictionary)
@@ -79,30 +80,46 @@ def shard_counts(column: pa.Array, langs: pa.Array, most: int) -> Iterator[pa.Re
     at = np.arange(len(number)) + np.cumsum(fresh) - 1
     sequence = np.zeros(at[-1] + 2, np.int64)
     sequence[at] = number + 1
-    totals = np.bincount(tongue, minlength=len(lang.dictionary))
-    yield _rows(lang.dictionary, 0, pa.array([""] * len(totals), pa.large_string()), totals)
-    for n, place, count in phrase_counts(sequence, most):
-        for i in range(0, len(place), 50_000):
+    if 0 in orders:
+        totals = np.bincount(tongue, minlength=len(lang.dictionary))
+        yield _rows([pa.array([""] * len(totals), pa.large_string())], lang.dictionary, totals)
+    for n, place, count in phrase_counts(sequence, orders[-1]):
+        for i in range(0, len(place) if n in orders else 0, 50_000):
             some, many = place[i : i + 50_000], count[i : i + 50_000]
             ids = [sequence[some + k] - 1 for k in range(n)]
-            phrase = pc.binary_join_element_wise(*(vocabulary.take(pa.array(x)) for x in ids), pa.scalar(" ", pa.large_string()))
-            yield _rows(of.take(pa.array(ids[0])), n, phrase, many)
+            yield _rows([vocabulary.take(pa.array(x)) for x in ids], of.take(pa.array(ids[0])), many)
 
 
-def _rows(lang: pa.Array, n: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": lang.cast(pa.string()), "words": pa.array(np.full(len(count), n, np.int32)), "phrase": phrase.cast(pa.string()), "f": pa.array(count, pa.int64())})
+def _rows(parts: list[pa.Array], lang: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+    key = pc.binary_join_element_wise(phrase, lang, pa.scalar("\t", pa.large_string()))
+    return pa.RecordBatch.from_pydict({"key": key.cast(pa.string()), "f": pa.array(count, pa.int64())})
 
 
 def counts(docs: DataFrame, most: int = 3, least: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang``, ``words``, ``phrase`` and its count ``f``: all phrases of up to ``most`` words that occur ``least`` times or more in a language, and all words under the empty phrase."""
-    on_workers(docs.sparkSession)
+    """``lang``, ``words``, ``phrase`` and its count ``f``: all phrases of up to ``most`` words that occur ``least`` times or more in a language, and all words under the empty phrase.
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", SHARD):
-            yield from shard_counts(b.column("text"), b.column("lang"), most)
+    Phrases of up to two words are counted in one pass over the texts, longer
+    ones in a pass for each length, whose shuffle goes before the next begins.
+    A shard gives a phrase once, so nothing is added up ahead of the shuffle:
+    few of its phrases stand in the task's other shards as well.
+    """
+    spark = on_workers(docs.sparkSession)
+    parts = []
+    for orders in [range(min(most, 2) + 1), *(range(n, n + 1) for n in range(3, most + 1))]:
+
+        def kernel(batches: Iterator[pa.RecordBatch], orders: range = orders) -> Iterator[pa.RecordBatch]:
+            for b in by_size(batches, "text", SHARD):
+                yield from shard_counts(b.column("text"), b.column("lang"), orders)
 
-    each = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(kernel, "lang string, words int, phrase string, f long")
-    return each.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+        each = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(kernel, "key string, f long")
+        merged = each.repartition("key").groupBy("key").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("key").startswith("\t"))
+        phrase = F.substring_index("key", "\t", 1)
+        number = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+        row = merged.select(F.expr("substring(key, length(substring_index(key, '\t', 1)) + 2)").alias("lang"), number.alias("words"), phrase.alias("phrase"), "f")
+        with shuffles_dropped(spark):
+            parts.append(saved(row, "phrases"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def scored(found: DataFrame, most: int) -> DataFrame:
@@ -140,7 +157,7 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, percent: int =
     any length are read whole; other columns are left out, so that none can
     clash; an empty table gives no rows.
     """
-    found = saved(counts(docs, most, least, text, lang), "phrases")
+    found = counts(docs, most, least, text, lang)
     kept = standing_alone(scored(found, most), most, percent)
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     kept = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
