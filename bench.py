@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tidemark.operators import scd2  # noqa: E402
-from tidemark.operators.versions import latest, latest_live  # noqa: E402
+from tidemark.operators.versions import latest_live  # noqa: E402
 from tidemark.plans import marts, queries  # noqa: E402
 from tidemark.sources import synth  # noqa: E402
 
@@ -48,9 +48,8 @@ def shape(spark: SparkSession, runs: int) -> dict[str, float]:
         tables[name] = spark.read.parquet(f"{root}/{name}")
     orders = lambda: latest_live(tables["orders"], ["order_id"], ["version"])
     items = lambda: latest_live(tables["items"], ["order_item_id"], ["version"])
-    products = lambda: latest(tables["products"], ["product_id", "valid_from"], ["version"])
     dim = lambda: scd2.build(tables["products"], "product_id", ["name", "category", "price"])
-    fact = lambda: marts.fact_orders(items(), orders(), products(), tables["products"])
+    fact = lambda: marts.fact_orders(items(), orders(), dim(), marts.hot_products(tables["items"], items(), orders()))
     jobs = {
         "shape_dim_customers": lambda: scd2.build(tables["customers"], "customer_id", ["name", "address", "segment"]),
         "shape_dim_products": dim,

@@ -1,9 +1,11 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import scd2
-from tidemark.operators.asof import asof_left_join
+from tidemark.operators.asof import asof_left_join, hot_ranges
 from tidemark.operators.versions import conflicts, latest, latest_live, replay_summary
 
 JOURNAL = "customer_id long, valid_from timestamp, name string, address string, is_snapshot int, is_deleted int, version long"
@@ -78,26 +80,60 @@ def test_asof_before_at_and_after(spark):
     assert {r["price"] for r in asof_left_join(left, prices.where("price < 0"), "product_id", "at", "valid_from", ["price"]).collect()} == {None}
 
 
-def test_asof_as_by_brute_force_and_a_hot_key_is_dealt(spark):
-    import random
-    from datetime import timedelta
-
-    rng, t0 = random.Random(3), datetime(2026, 1, 1)
+def asof_case(seed=3, old_version=True):
+    """Two thirds of the lines are of key 0; with ``old_version`` one version of each key dates from 1970."""
+    rng, t0 = random.Random(seed), datetime(2026, 1, 1)
     times = {k: sorted(rng.sample(range(100_000), rng.randrange(1, 30))) for k in range(12)}
+    if old_version:
+        times = {k: [-(t0 - datetime(1970, 1, 1)).days * 86_400, *ts] for k, ts in times.items()}
     versions = [(k, t0 + timedelta(seconds=t), t) for k, ts in times.items() for t in ts]
-    lines = [(i, 0 if i % 3 else rng.randrange(14), rng.randrange(-5000, 120_000)) for i in range(3000)]
-    left = spark.createDataFrame([(i, k, t0 + timedelta(seconds=t)) for i, k, t in lines], "id long, k long, at timestamp")
+    lines = [(i, rng.choice([None, 13, *range(12)]) if i % 3 == 0 else 0, rng.randrange(-5000, 120_000)) for i in range(3000)]
+    lines += [(9000 + i, 0, None) for i in range(3)]
+    want = {i: None if t is None else max((x for x in times.get(k, []) if x <= t), default=None) for i, k, t in lines}
+    return [(i, k, None if t is None else t0 + timedelta(seconds=t)) for i, k, t in lines], versions, want
+
+
+@pytest.mark.parametrize("old_version", [False, True])
+@pytest.mark.parametrize("spread", [False, True])
+def test_asof_as_by_brute_force(spark, old_version, spread):
+    lines, versions, want = asof_case(3, old_version)
+    left = spark.createDataFrame(lines, "id long, k long, at timestamp")
+    right = spark.createDataFrame(versions, "k long, since timestamp, v long")
+    hot = hot_ranges(left, left, "k", "at", many=1000, ranges=8) if spread else None
+    assert {r["id"]: r["v"] for r in asof_left_join(left, right, "k", "at", "since", ["v"], hot).collect()} == want
+
+
+def test_a_hot_key_with_a_version_of_1970_is_spread(spark):
+    lines, versions, _ = asof_case()
+    left = spark.createDataFrame(lines, "id long, k long, at timestamp")
     right = spark.createDataFrame(versions, "k long, since timestamp, v long")
-    want = {i: max((x for x in times.get(k, []) if x <= t), default=None) for i, k, t in lines}
-    saved = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    hot = hot_ranges(left, left, "k", "at", many=1000, ranges=32)
+    (row,) = hot.collect()
+    assert row["_k"] == 0 and len(row["_bounds"]) == 31
+    saved = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.shuffle.partitions", "16")
-        joined = asof_left_join(left, right, "k", "at", "since", ["v"])
-        assert {r["id"]: r["v"] for r in joined.collect()} == want
-        tasks = joined.where("k = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert len(tasks) > 5 and max(r["count"] for r in tasks) < 1500
+        joined = asof_left_join(left, right, "k", "at", "since", ["v"], hot)
+        tasks = [r["count"] for r in joined.where("k = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("count"), F.max("v")).collect()]
+        assert len(tasks) > 8 and max(tasks) < 600 and sum(tasks) > 2000
     finally:
         for c, v in saved.items():
             spark.conf.set(c, v)
+
+
+def test_no_key_is_hot_among_few_rows(spark):
+    rows = spark.createDataFrame([(1, T1)] * 50 + [(None, T1)] * 500, "k long, at timestamp")
+    assert hot_ranges(rows, rows, "k", "at") is None
+    assert hot_ranges(rows, rows, "k", "at", many=100) is None
+    assert hot_ranges(rows.limit(0), rows, "k", "at") is None
+    (row,) = hot_ranges(rows, rows, "k", "at", many=40).collect()
+    assert row["_k"] == 1 and len(row["_bounds"]) == 1
+
+
+def test_asof_of_empty_sides(spark):
+    left = spark.createDataFrame([(1, 1, T1)], "id long, k long, at timestamp")
+    right = spark.createDataFrame([(1, T1, 5)], "k long, since timestamp, v long")
+    assert [r["v"] for r in asof_left_join(left, right, "k", "at", "since", ["v"]).collect()] == [5]
+    assert [r["v"] for r in asof_left_join(left, right.limit(0), "k", "at", "since", ["v"]).collect()] == [None]
+    assert asof_left_join(left.limit(0), right, "k", "at", "since", ["v"]).collect() == []

@@ -1,4 +1,11 @@
-"""As-of joins."""
+"""As-of joins.
+
+Both sides become one timeline per key, in which each left row takes the last
+right row before it: one shuffle and one sort, whatever the times are, and no
+pairs are made.  A key that holds a large share of the rows (``hot_ranges``
+finds such) is cut into ranges of time at its own quantiles; each range begins
+with the last version of the ranges before it, so ranges are worked on apart.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +14,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 16
+RANGES = 64
+#: A key is hot if it has more than this many rows and more than a thousandth of all: so there are under a thousand of them.
+MANY_ROWS, SHARE = 1_000_000, 1000
+
+
+def hot_ranges(counted: DataFrame, rows: DataFrame, key: str, time: str, many: int = MANY_ROWS, ranges: int = RANGES) -> DataFrame | None:
+    """``_k, _bounds``: the hot keys of ``rows`` and the times that cut each into ``ranges`` of about as many rows; none if no key is hot.
+
+    ``counted`` is a cheaper frame with the key of at least as many rows (or
+    ``rows`` again).  Under a thousand keys come to the driver.
+    """
+    per_key = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = per_key.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    limit = max(many, (total["all"] or 0) // SHARE)
+    if (total["most"] or 0) <= limit:
+        return None
+    hot = per_key.where(F.col("n") > limit).select(F.col(key).alias("_k"))
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_k")).groupBy("_k").agg(F.percentile_approx(F.unix_micros(time), [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"))
+    told = [(r["_k"], sorted(set(r["_bounds"] or []))) for r in found.collect()]
+    return rows.sparkSession.createDataFrame(told, found.schema) if told else None
 
 
-def asof_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str], times: DataFrame | None = None) -> DataFrame:
+def asof_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
     """Every left row with the right row of its key that is the latest not after it; nulls where none is.
 
-    The right side is unique per key and time.  Its rows become intervals up
-    to the next one, which are laid into ``RANGES`` ranges of time: a row starts
-    in its own and is carried into every later one that it reaches.  The join
-    is by key and range, so a key that holds most left rows is dealt over the
-    ranges, Spark can split what is still large, and it may broadcast a small
-    right side; few intervals of a key stand in one range.  ``times`` may name
-    a cheaper frame with the right times than ``right`` is, to find their span.
+    The right side is unique per key and time.  ``hot``, of ``hot_ranges``,
+    names keys whose rows are to be spread.  Left rows without a key or a time
+    have no right row.
     """
-    span = F.broadcast((right if times is None else times).agg(F.min(F.unix_micros(right_time)).alias("_lo"), F.max(F.unix_micros(right_time)).alias("_hi")))
-
-    def placed(micros: Column) -> Column:
-        """The range of a time; ones behind the last right row are in the last range, ones before the first in none."""
-        at = F.floor((micros - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")) / RANGES, F.lit(1.0)))
-        return F.greatest(F.least(at, F.lit(RANGES)), F.lit(-1)).cast("int")
-
-    following = F.lead(right_time).over(Window.partitionBy(key).orderBy(right_time))
-    spans = right.select(F.col(key).alias("_k"), F.unix_micros(right_time).alias("_from"), F.unix_micros(following).alias("_to"), *[F.col(c).alias(f"_take_{c}") for c in take]).crossJoin(span)
-    until = F.coalesce(placed(F.col("_to") - 1), F.lit(RANGES))
-    spans = spans.withColumn("_range", F.explode(F.sequence(placed(F.col("_from")), until))).drop("_lo", "_hi")
-    rows = left.crossJoin(span).withColumn("_t", F.unix_micros(left_time)).withColumn("_r", placed(F.col("_t"))).drop("_lo", "_hi")
-    hit = (F.col(key) == F.col("_k")) & (F.col("_r") == F.col("_range")) & (F.col("_t") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_t") < F.col("_to")))
-    return rows.join(spans, hit, "left").select(*left.columns, *[F.col(f"_take_{c}").alias(c) for c in take])
+    names = left.columns
+    kept = F.struct(*[F.col(c) for c in names])
+    rows = left.select(F.col(key).alias("_k"), F.unix_micros(left_time).alias("_t"), kept.alias("_row"), F.lit(None).cast(right.select(F.struct(*take).alias("s")).schema["s"].dataType).alias("_take"))
+    versions = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    versions = versions.select(F.col(key).alias("_k"), F.unix_micros(right_time).alias("_t"), F.lit(None).cast(left.select(kept.alias("s")).schema["s"].dataType).alias("_row"), F.struct(*take).alias("_take"))
+    if hot is None:
+        # Rows without a key meet nothing: dealt by their time, so that many of them are no hot key.
+        rows = rows.withColumn("_range", F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("_t"), F.lit(1024))).otherwise(0).cast("int"))
+        return _timeline(rows, versions.withColumn("_range", F.lit(0)), names, take)
+    hot = F.broadcast(hot)
+
+    def ranged(df: DataFrame) -> DataFrame:
+        at = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_t"))), F.lit(0))
+        df = df.join(hot, "_k", "left").withColumn("_range", F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("_t"), F.lit(1024))).otherwise(at).cast("int"))
+        return df.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
+
+    rows, versions = ranged(rows).drop("_hot"), ranged(versions)
+    # The last version of each range of a hot key, carried up to the next range that has one: at most a row a range.
+    last = versions.where("_hot").groupBy("_k", "_range").agg(F.max_by(F.struct("_t", "_take"), "_t").alias("_last")).join(hot, "_k")
+    until = F.coalesce(F.lead("_range").over(Window.partitionBy("_k").orderBy("_range")), F.size("_bounds"))
+    carried = last.withColumn("_until", until).where(F.col("_range") < F.col("_until")).withColumn("_to", F.explode(F.sequence(F.col("_range") + 1, F.col("_until"))))
+    carried = carried.select("_k", F.col("_last._t").alias("_t"), F.lit(None).cast(versions.schema["_row"].dataType).alias("_row"), F.col("_last._take").alias("_take"), F.col("_to").alias("_range"))
+    versions = versions.drop("_hot").unionByName(carried)
+    return _timeline(rows, versions, names, take)
+
+
+def _timeline(rows: DataFrame, versions: DataFrame, names: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """Left rows with the last version before or at them in their key and range; a version comes before the rows of its very time."""
+    both = versions.unionByName(rows.select(versions.columns))
+    before = Window.partitionBy("_k", "_range").orderBy("_t", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found: Column = F.last("_take", ignorenulls=True).over(before)
+    out = both.withColumn("_found", found).where(F.col("_row").isNotNull())
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[F.col(f"_found.`{c}`").alias(c) for c in take])

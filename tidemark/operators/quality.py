@@ -1,15 +1,19 @@
 """Data-quality checks: each yields its violating keys; the runner keeps them apart.
 
 A check is a function from the named tables to rows with a text column
-``sample_key``.  A check that breaks is an ``error`` of its own and stops no
-other; errors outrank violations.
+``sample_key``, or a file of SQL (``catalogue``).  ``together`` finds what all
+of them find in one plan that reads each table once; where that plan breaks,
+``run`` takes them one by one: a check that breaks is an ``error`` of its own
+and stops no other; errors outrank violations.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +28,11 @@ Tables = Mapping[str, DataFrame]
 ORDERS_KEY, ITEMS_KEY, STOCK_KEY = ["order_id"], ["order_item_id"], ["product_id", "warehouse_id"]
 ORDER_CONTENT = ["customer_id", "status", "created_at", "updated_at", "is_deleted"]
 ITEM_CONTENT = ["order_id", "product_id", "quantity", "price_at_order", "is_deleted"]
+# Of several rows of a key the greatest by these columns is its last one.
+ORDER_LAST = ["version", "customer_id", "status", "created_at", "event_time", "is_deleted"]
+ITEM_LAST = ["version", "product_id", "quantity", "price_at_order", "event_time", "is_deleted"]
+PRODUCT_LAST = ["version", "valid_from", "category", "price", "is_deleted"]
+STOCK_LAST = ["version", "quantity", "is_deleted"]
 
 
 @dataclass(frozen=True)
@@ -43,11 +52,11 @@ def _old(time: str, as_of: Column) -> Column:
 
 
 def _live_orders(t: Tables) -> DataFrame:
-    return latest_live(t["stg_orders"], ORDERS_KEY, ["version"])
+    return latest_live(t["stg_orders"], ORDERS_KEY, ORDER_LAST)
 
 
 def _live_items(t: Tables) -> DataFrame:
-    return latest_live(t["stg_order_items"], ITEMS_KEY, ["version"])
+    return latest_live(t["stg_order_items"], ITEMS_KEY, ITEM_LAST)
 
 
 def _duplicate_facts(t: Tables, as_of: Column) -> DataFrame:
@@ -75,11 +84,11 @@ def _odd_items(t: Tables, as_of: Column) -> DataFrame:
 
 
 def _odd_prices(t: Tables, as_of: Column) -> DataFrame:
-    return _keys(latest(t["stg_product_versions"], ["product_id"], ["version"]).where("is_deleted = 0 and price < 0"), "product_id")
+    return _keys(latest(t["stg_product_versions"], ["product_id"], PRODUCT_LAST).where("is_deleted = 0 and price < 0"), "product_id")
 
 
 def _odd_stock(t: Tables, as_of: Column) -> DataFrame:
-    return _keys(latest_live(t["stg_inventory"], STOCK_KEY, ["version"]).where("quantity < 0"), *STOCK_KEY)
+    return _keys(latest_live(t["stg_inventory"], STOCK_KEY, STOCK_LAST).where("quantity < 0"), *STOCK_KEY)
 
 
 def _odd_revenue(t: Tables, as_of: Column) -> DataFrame:
@@ -124,37 +133,162 @@ CHECKS = (
 )
 
 
-def summary(name: str, table: str, found: DataFrame) -> DataFrame:
-    """``check_name, table_name, violations, sample_keys``: the exact count and the first keys in order.
+NAME, KEY = "check_name", "sample_key"
+
+
+def _named(name: str, df: DataFrame) -> DataFrame:
+    return df.select(F.lit(name).alias(NAME), KEY)
+
+
+def _torn() -> Column:
+    """The versions of a key under which different contents are stored."""
+    return F.collect_list(F.when(F.col("_lo") != F.col("_hi"), F.col("version")))
+
 
-    What a check finds is worked out once: dealt over 64 parts, each with its
-    count and its first ``SAMPLE`` keys; only these are gathered.
+def shared(t: Tables, as_of: Column, since: str = ROLLOUT) -> DataFrame:
+    """``check_name, sample_key`` of all of ``CHECKS``; each table is read once.
+
+    Orders, lines and the histories of orders become a row a key each; their
+    rows meet by order, and every row then tells what it violates.
+    """
+    h = F.xxhash64(*ORDER_CONTENT)
+    orders = t["stg_orders"].repartition("order_id").groupBy("order_id", "version").agg(F.min(h).alias("_lo"), F.max(h).alias("_hi"), F.max(F.struct(*ORDER_LAST)).alias("last"))
+    orders = orders.groupBy("order_id").agg(_torn().alias("torn"), F.max("last").alias("last"))
+    h = F.xxhash64(*ITEM_CONTENT)
+    lines = t["stg_order_items"].repartition("order_item_id").groupBy("order_item_id", "version")
+    lines = lines.agg(F.min(h).alias("_lo"), F.max(h).alias("_hi"), F.max(F.struct(*ITEM_LAST, "order_id")).alias("last"), F.collect_set("order_id").alias("seen"))
+    lines = lines.groupBy("order_item_id").agg(_torn().alias("torn"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
+    past = t["stg_order_status_history"].groupBy("order_id").agg(F.max_by("status", "version").alias("past_status"), F.max("changed_at").alias("past_at"))
+
+    def key(*cols: Column) -> Column:
+        return F.concat_ws("/", *[c.cast("string") for c in cols])
+
+    none = {"torn": "array<bigint>", "status": "string", "item": "bigint", "past_status": "string", "past_at": "timestamp", "made": "timestamp", "at": "timestamp", "live": "boolean", "odd": "boolean", "main": "boolean"}
+
+    def rows(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
+        return df.select("order_id", F.lit(kind).alias("kind"), *[cols.get(n, F.lit(None)).cast(k).alias(n) for n, k in none.items()])
+
+    live = F.col("last.is_deleted") == 0
+    a = rows(orders, "order", torn=F.col("torn"), status=F.col("last.status"), made=F.col("last.created_at"), at=F.col("last.event_time"), live=live)
+    odd = (F.col("last.quantity") <= 0) | (F.col("last.price_at_order") < 0)
+    each = lines.withColumn("order_id", F.explode("seen"))
+    main = F.col("order_id").eqNullSafe(F.col("last.order_id"))
+    b = rows(each, "line", item=F.col("order_item_id"), torn=F.col("torn"), at=F.col("last.event_time"), live=live, odd=odd, main=main)
+    c = rows(past, "past", past_status=F.col("past_status"), past_at=F.col("past_at"))
+    order = Window.partitionBy("order_id")
+    met = a.unionByName(b).unionByName(c).withColumns({
+        "known": F.max(F.col("kind") == "order").over(order), "lines": F.max(F.col("kind") == "line").over(order),
+        "last_status": F.max("past_status").over(order), "last_at": F.max("past_at").over(order),
+    })
+    old = F.col("at") < as_of - F.expr(LAG)
+    is_order, is_line, known = F.col("kind") == "order", (F.col("kind") == "line") & F.col("main"), F.coalesce(F.col("known"), F.lit(False))
+    no_key = F.col("order_id").isNull()
+    told = {
+        "negative_order_items": (is_line & F.col("live") & F.col("odd"), key(F.col("item"))),
+        "orphan_order_items": (is_line & F.col("live") & old & (~known | no_key), key(F.col("item"))),
+        "orders_without_items": (is_order & F.col("live") & old & (F.col("made") >= F.lit(since).cast("timestamp")) & (~F.coalesce(F.col("lines"), F.lit(False)) | no_key), key(F.col("order_id"))),
+        "status_differs_from_history": (is_order & F.col("live") & old & (F.col("status") != F.col("last_status")) & (F.col("last_at") < as_of - F.expr(LAG)) & ~no_key, key(F.col("order_id"))),
+        "history_without_order": ((F.col("kind") == "past") & (F.col("past_at") < as_of - F.expr(LAG)) & (~known | no_key), key(F.col("order_id"))),
+    }
+    versions = F.when(is_order, F.transform("torn", lambda v: F.struct(F.lit("orders_conflicting_versions").alias(NAME), key(F.col("order_id"), v).alias(KEY))))
+    versions = versions.when(is_line, F.transform("torn", lambda v: F.struct(F.lit("order_items_conflicting_versions").alias(NAME), key(F.col("item"), v).alias(KEY))))
+    single = F.array(*[F.when(hit, F.struct(F.lit(n).alias(NAME), k.alias(KEY))) for n, (hit, k) in told.items()])
+    empty = F.array().cast(f"array<struct<{NAME}:string,{KEY}:string>>")
+    found = met.select(F.explode(F.concat(F.array_compact(single), F.coalesce(versions, empty))).alias("v")).select("v.*")
+    others = [c for c in CHECKS if c.name not in told and c.name not in ("orders_conflicting_versions", "order_items_conflicting_versions")]
+    return reduce(DataFrame.unionAll, [_named(c.name, c.find(t, as_of)) for c in others], found)
+
+
+def together(tables: Tables, as_of: Column, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
+    """``check_name, table_name, violations, sample_keys`` of all checks in one plan.
+
+    What is found is shuffled once, dealt by a hash of its key: counts are
+    partial sums, and of the keys a task passes on its first ``SAMPLE``.
     """
-    part = Window.partitionBy("_part")
-    rows = found.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(64)))
-    rows = rows.withColumns({"_n": F.row_number().over(part.orderBy("sample_key")), "_all": F.count("*").over(part)}).where(F.col("_n") <= SAMPLE)
-    keys = F.slice(F.array_sort(F.collect_list("sample_key")), 1, SAMPLE)
-    total = F.coalesce(F.sum(F.when(F.col("_n") == 1, F.col("_all"))), F.lit(0)).cast("bigint")
-    return rows.agg(total.alias("violations"), keys.alias("sample_keys")).select(F.lit(name).alias("check_name"), F.lit(table).alias("table_name"), "violations", "sample_keys")
+    own = [c for c in checks if c not in CHECKS]
+    parts = [shared(tables, as_of).where(F.col(NAME).isin([c.name for c in checks]))] if len(own) < len(checks) else []
+    found = reduce(DataFrame.unionAll, parts + [_named(c.name, c.find(tables, as_of)) for c in own])
+    return _listed(found, checks)
+
 
+def _listed(found: DataFrame, checks: Iterable[Check]) -> DataFrame:
+    spark = found.sparkSession
+    dealt = found.repartition(NAME, F.pmod(F.xxhash64(KEY), F.lit(64)))
+    counts = dealt.groupBy(NAME).agg(F.count("*").alias("violations"))
+    first = Window.partitionBy(NAME).orderBy(KEY)
+    keys = dealt.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE).groupBy(NAME).agg(F.array_sort(F.collect_list(KEY)).alias("sample_keys"))
+    names = spark.createDataFrame([(i, c.name, c.table) for i, c in enumerate(checks)], f"_i int, {NAME} string, table_name string")
+    out = names.join(counts, NAME, "left").join(keys, NAME, "left")
+    return out.select(NAME, "table_name", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"), F.coalesce("sample_keys", F.array().cast("array<string>")).alias("sample_keys"))
 
-def told(summaries: Iterable[DataFrame]) -> DataFrame:
-    """Summaries of checks with ``status``, and one row for the whole: violation before ok, violations added up."""
-    rows = reduce(DataFrame.unionByName, summaries)
-    whole = rows.agg(F.coalesce(F.sum("violations"), F.lit(0)).alias("violations")).select(F.lit("summary").alias("check_name"), F.lit("").alias("table_name"), "violations", F.array().cast("array<string>").alias("sample_keys"))
-    return rows.unionByName(whole).withColumn("status", F.when(F.col("violations") > 0, "violation").otherwise("ok"))
+
+def summary(name: str, table: str, found: DataFrame) -> DataFrame:
+    """``check_name, table_name, violations, sample_keys`` of one check: the exact count and the first ``SAMPLE`` keys in order."""
+    return _listed(_named(name, found), [Check(name, table, "", lambda t, a: found)])
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows of checks with ``status``, and one row for the whole: violation before ok, violations added up."""
+    rolled = rows.rollup(F.struct(NAME, "table_name", "sample_keys").alias("check")).agg(F.sum("violations").alias("violations"))
+    out = rolled.select(
+        F.coalesce(F.col(f"check.{NAME}"), F.lit("summary")).alias(NAME), F.coalesce("check.table_name", F.lit("")).alias("table_name"),
+        F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"), F.coalesce("check.sample_keys", F.array().cast("array<string>")).alias("sample_keys"),
+    )
+    return out.withColumn("status", F.when(F.col("violations") > 0, "violation").otherwise("ok"))
+
+
+def _result(row: dict) -> dict:
+    return {"check_name": row[NAME], "table_name": row["table_name"], "status": "violation" if row["violations"] else "ok", "violations": row["violations"], "sample_keys": list(row["sample_keys"]), "error": None}
 
 
 def run(tables: Tables, as_of: Column, checks: tuple[Check, ...] = CHECKS) -> list[dict]:
-    """One result a check, and one for the whole: error > violation > ok, violations added up."""
-    results = []
-    for c in checks:
-        try:
-            row = summary(c.name, c.table, c.find(tables, as_of)).first()
-            results.append({"check_name": c.name, "table_name": c.table, "status": "violation" if row["violations"] else "ok", "violations": row["violations"], "sample_keys": list(row["sample_keys"]), "error": None})
-        except Exception as e:  # noqa: BLE001  a broken check must not hide the others
-            results.append({"check_name": c.name, "table_name": c.table, "status": "error", "violations": 0, "sample_keys": [], "error": str(e).split("\n")[0][:300]})
+    """One result a check, and one for the whole: error > violation > ok, violations added up.
+
+    All checks go together first; only if that breaks, each goes alone.
+    """
+    try:
+        by_name = {r[NAME]: _result(r) for r in together(tables, as_of, checks).collect()}
+        results = [by_name[c.name] for c in checks]
+    except Exception:  # noqa: BLE001  which check it was is told by the runs below
+        results = []
+        for c in checks:
+            try:
+                results.append(_result(summary(c.name, c.table, c.find(tables, as_of)).first()))
+            except Exception as e:  # noqa: BLE001  a broken check must not hide the others
+                results.append({"check_name": c.name, "table_name": c.table, "status": "error", "violations": 0, "sample_keys": [], "error": str(e).split("\n")[0][:300]})
     rank = {"ok": 0, "violation": 1, "error": 2}
     worst = max((r["status"] for r in results), key=rank.__getitem__, default="ok")
     results.append({"check_name": "summary", "table_name": "", "status": worst, "violations": sum(r["violations"] for r in results), "sample_keys": [], "error": None})
     return results
+
+
+def catalogue(folder: str | Path) -> tuple[Check, ...]:
+    """The checks of a folder's files ``NN_name.sql``, by number.
+
+    A file begins with a line ``-- table: name`` and lines ``-- hint: text``;
+    its query names tables in braces (``{stg_orders}``), may use ``:as_of``, and
+    gives the violating keys in a column ``sample_key``.  A file that cannot be
+    read as such is a check that breaks.
+    """
+    found = []
+    for path in sorted(Path(folder).glob("[0-9]*_*.sql"), key=lambda p: (int(re.match(r"\d+", p.name)[0]), p.name)):
+        text = path.read_text()
+        heads = re.findall(r"^-- (table|hint):[ \t]*(.*)$", text, re.M)
+        table = next((v.strip() for k, v in heads if k == "table"), "")
+        hint = " ".join(v.strip() for k, v in heads if k == "hint")
+        found.append(Check(re.sub(r"^\d+_", "", path.stem), table, hint, _query_of(path.name, text, table)))
+    return tuple(found)
+
+
+def _query_of(name: str, text: str, table: str) -> Callable[[Tables, Column], DataFrame]:
+    body = re.sub(r"^\s*--.*$", "", text, flags=re.M).strip()
+
+    def find(t: Tables, as_of: Column) -> DataFrame:
+        if not table or not body:
+            raise ValueError(f"{name} has no table or no query")
+        used = set(re.findall(r"\{(\w+)\}", body))
+        spark = next(iter(t.values())).sparkSession
+        moment = spark.range(1).select(as_of.alias("t")).first()["t"]
+        return spark.sql(body, args={"as_of": moment}, **{n: t[n] for n in used}).select(F.col(KEY).cast("string").alias(KEY))
+
+    return find

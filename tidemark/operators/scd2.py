@@ -20,10 +20,9 @@ def build(journal: DataFrame, key: str, attributes: Sequence[str], tie: Sequence
     snapshot is valid since the epoch; the last one is open (null).  Journal
     rows of one key and time count as one, the greatest version.
 
-    Both window passes share partitioning and order, so there is one shuffle
-    besides that of ``latest``.
+    One shuffle by key serves ``latest`` and both window passes.
     """
-    rows = latest(journal, [key, "valid_from"], ["version", *tie])
+    rows = latest(journal.repartition(key), [key, "valid_from"], ["version", *tie])
     by = Window.partitionBy(key).orderBy("version", "valid_from")
     state = F.struct(*attributes, "is_deleted")
     rows = rows.withColumn("_before", F.lag(state).over(by)).withColumn("_n", F.row_number().over(by))

@@ -6,23 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import money, month_index, months_between_firsts, sum_if
-from tidemark.operators.asof import asof_left_join
+from tidemark.operators.asof import MANY_ROWS, asof_left_join, hot_ranges
+from tidemark.operators.quantiles import exact_quantiles
 
 UNKNOWN = "unknown"
 LOW_STOCK = 20
 
 
-def fact_orders(items: DataFrame, orders: DataFrame, products: DataFrame, journal: DataFrame | None = None) -> DataFrame:
+def hot_products(journal: DataFrame, items: DataFrame, orders: DataFrame, many: int = MANY_ROWS) -> DataFrame | None:
+    """Products with so many lines that ``fact_orders`` should spread them; counted in the lines' ``journal``, their times looked at only if there are any."""
+    lines = items.select("order_id", "product_id").join(orders.select("order_id", "created_at"), "order_id")
+    return hot_ranges(journal.select("product_id"), lines, "product_id", "created_at", many)
+
+
+def fact_orders(items: DataFrame, orders: DataFrame, dim_products: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Live lines of live orders with the product version valid when the order was made.
 
-    ``items`` and ``orders`` are live views, ``products`` has one row per
-    ``(product_id, valid_from)``; ``journal``, what it was made of, tells the
-    span of times cheaply.  The last version goes on after its end.
+    ``items`` and ``orders`` are live views, ``dim_products`` the dimension: a
+    product first seen in a snapshot has been valid since the epoch.  The last
+    version goes on after its end.  ``hot`` (of ``hot_products``) names products
+    to be spread over tasks.
     """
     o = orders.select("order_id", "customer_id", "status", "created_at", F.col("event_time").alias("_order_time"))
     lines = items.select("order_item_id", "order_id", "product_id", "quantity", "price_at_order", "event_time").join(o, "order_id")
-    p = products.select("product_id", "valid_from", "category", F.col("price").alias("list_price"))
-    facts = asof_left_join(lines, p, "product_id", "created_at", "valid_from", ["category", "list_price"], journal)
+    p = dim_products.select("product_id", "valid_from", "category", F.col("price").alias("list_price"))
+    facts = asof_left_join(lines, p, "product_id", "created_at", "valid_from", ["category", "list_price"], hot)
     return facts.select(
         "order_item_id", "order_id", "customer_id", "product_id", "status", "created_at", "quantity", "price_at_order", "category", "list_price",
         F.to_date("created_at").alias("order_date"),
@@ -81,27 +89,39 @@ def order_levels(orders: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def funnel_daily(orders: DataFrame, history: DataFrame) -> DataFrame:
-    """Orders by day and how many of them ever got to each step; seconds between steps, null where none is known."""
+BUSY_DAY = 200_000  # orders a day up to which the durations of a day are sorted in one buffer
+
+
+def funnel_daily(orders: DataFrame, history: DataFrame, journal: DataFrame | None = None, busy: int = BUSY_DAY) -> DataFrame:
+    """Orders by day and how many of them ever got to each step; seconds between steps, null where none is known.
+
+    Quantiles are exact.  If some day has more than ``busy`` rows in
+    ``journal`` (all rows of orders; by default the live ones), they are found
+    by bins (``exact_quantiles``), which hold no day's values together.
+    """
     rows = order_levels(orders, history).withColumn("order_date", F.to_date("created_at"))
 
-    def seconds(a: str, b: str) -> Column:
-        return (F.unix_millis(b) - F.unix_millis(a)) / 1000.0
+    def millis(a: str, b: str) -> Column:
+        return F.unix_millis(b) - F.unix_millis(a)
 
-    to_paid, to_delivered = seconds("created_at", "paid_at"), seconds("created_at", "delivered_at")
+    steps = {"to_paid": millis("created_at", "paid_at"), "to_delivered": millis("created_at", "delivered_at")}
+    shares = {"median": 0.5, "p90": 0.9}
+    days = (orders if journal is None else journal).groupBy(F.to_date("created_at")).count()
+    few = (days.agg(F.max("count").alias("n")).first()["n"] or 0) <= busy
     counted = rows.groupBy("order_date").agg(
         F.count("*").alias("created"),
         F.count_if(F.col("level") >= 1).alias("paid"),
         F.count_if(F.col("level") >= 2).alias("shipped"),
         F.count_if(F.col("level") >= 3).alias("delivered"),
         F.count_if("cancelled").alias("cancelled"),
-        F.percentile(to_paid, F.lit(0.5)).alias("median_to_paid"),
-        F.percentile(to_paid, F.lit(0.9)).alias("p90_to_paid"),
-        F.percentile(to_delivered, F.lit(0.5)).alias("median_to_delivered"),
-        F.percentile(to_delivered, F.lit(0.9)).alias("p90_to_delivered"),
+        *[F.percentile(took / 1000.0, F.lit(share)).alias(f"{name}_{step}") for step, took in steps.items() for name, share in shares.items() if few],
         F.max("event_time").alias("_newest"),
     )
-    return _with_watermark(counted)
+    if few:
+        return _with_watermark(counted)
+    took = exact_quantiles(rows, ["order_date"], steps, tuple(shares.values()))
+    named = [(F.col(f"`{step}_{share}`") / 1000.0).alias(f"{name}_{step}") for step in steps for name, share in shares.items()]
+    return _with_watermark(counted).join(took.select("order_date", *named), "order_date", "left")
 
 
 def cohort_retention(orders: DataFrame, as_of: Column, all_rows: DataFrame | None = None) -> DataFrame:
