@@ -26,7 +26,7 @@ from tidemark.sources import synth  # noqa: E402
 
 HEADLINE = (
     "fact_asof_price scd2_part_price scd2_user_state revenue_daily funnel_daily cohort_retention top_products_daily inventory_current "
-    "pipeline_health dq_summary conflicting_versions reconcile_buckets revenue_by_category retention_pivot"
+    "pipeline_health refresh_chain dq_summary conflicting_versions reconcile_buckets revenue_by_category retention_pivot"
 ).split()
 
 

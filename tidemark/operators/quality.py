@@ -140,70 +140,63 @@ def _named(name: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(name).alias(NAME), KEY)
 
 
-def _torn() -> Column:
-    """The versions of a key under which different contents are stored."""
-    return F.collect_list(F.when(F.col("_lo") != F.col("_hi"), F.col("version")))
+def _ranked(df: DataFrame, keys: list[str], last: list[str]) -> DataFrame:
+    """Adds ``main`` (the last row of its key) and ``torn`` (the row before holds other contents, ``h``, under the same version)."""
+    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in last])
+    torn = (F.lag("version").over(by) == F.col("version")) & (F.lag("h").over(by) != F.col("h"))
+    return df.withColumns({"main": F.row_number().over(by) == 1, "torn": F.coalesce(torn, F.lit(False))})
 
 
 def shared(t: Tables, as_of: Column, since: str = ROLLOUT) -> DataFrame:
-    """``check_name, sample_key`` of all of ``CHECKS``; each table is read once.
+    """``check_name, sample_key`` of all of ``CHECKS`` (a key may stand there several times); each table is read once.
 
-    Orders, lines and the histories of orders become a row a key each; their
-    rows meet by order, and every row then tells what it violates.
+    Lines are ranked by their key, then lines, orders and the history of orders
+    meet by order, and every row tells what it violates.
     """
-    h = F.xxhash64(*ORDER_CONTENT)
-    orders = t["stg_orders"].repartition("order_id").groupBy("order_id", "version").agg(F.min(h).alias("_lo"), F.max(h).alias("_hi"), F.max(F.struct(*ORDER_LAST)).alias("last"))
-    orders = orders.groupBy("order_id").agg(_torn().alias("torn"), F.max("last").alias("last"))
-    h = F.xxhash64(*ITEM_CONTENT)
-    lines = t["stg_order_items"].repartition("order_item_id").groupBy("order_item_id", "version")
-    lines = lines.agg(F.min(h).alias("_lo"), F.max(h).alias("_hi"), F.max(F.struct(*ITEM_LAST, "order_id")).alias("last"), F.collect_set("order_id").alias("seen"))
-    lines = lines.groupBy("order_item_id").agg(_torn().alias("torn"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
-    past = t["stg_order_status_history"].groupBy("order_id").agg(F.max_by("status", "version").alias("past_status"), F.max("changed_at").alias("past_at"))
-
-    def key(*cols: Column) -> Column:
-        return F.concat_ws("/", *[c.cast("string") for c in cols])
-
-    none = {"torn": "array<bigint>", "status": "string", "item": "bigint", "past_status": "string", "past_at": "timestamp", "made": "timestamp", "at": "timestamp", "live": "boolean", "odd": "boolean", "main": "boolean"}
-
-    def rows(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
-        return df.select("order_id", F.lit(kind).alias("kind"), *[cols.get(n, F.lit(None)).cast(k).alias(n) for n, k in none.items()])
-
-    live = F.col("last.is_deleted") == 0
-    a = rows(orders, "order", torn=F.col("torn"), status=F.col("last.status"), made=F.col("last.created_at"), at=F.col("last.event_time"), live=live)
-    odd = (F.col("last.quantity") <= 0) | (F.col("last.price_at_order") < 0)
-    each = lines.withColumn("order_id", F.explode("seen"))
-    main = F.col("order_id").eqNullSafe(F.col("last.order_id"))
-    b = rows(each, "line", item=F.col("order_item_id"), torn=F.col("torn"), at=F.col("last.event_time"), live=live, odd=odd, main=main)
-    c = rows(past, "past", past_status=F.col("past_status"), past_at=F.col("past_at"))
+    lines = t["stg_order_items"].withColumn("h", F.xxhash64(*ITEM_CONTENT)).repartition("order_item_id")
+    lines = _ranked(lines, ITEMS_KEY, [*ITEM_LAST, "order_id"])
+    orders = t["stg_orders"].withColumn("h", F.xxhash64(*ORDER_CONTENT))
+    kinds = {"version": "bigint", "h": "bigint", "customer_id": "bigint", "status": "string", "created_at": "timestamp", "event_time": "timestamp", "is_deleted": "int", "item": "bigint", "odd": "boolean", "main": "boolean", "torn": "boolean"}
+
+    def rows(df: DataFrame, kind: int, **cols: Column) -> DataFrame:
+        return df.select("order_id", F.lit(kind).alias("kind"), *[cols.get(n, F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+
+    odd = (F.col("quantity") <= 0) | (F.col("price_at_order") < 0)
+    met = rows(orders, 0).unionByName(rows(lines, 1, item=F.col("order_item_id"), odd=odd)).unionByName(rows(t["stg_order_status_history"], 2, event_time=F.col("changed_at")))
+    # Rows of the three kinds of one order, each in their own order: of orders and the history the last row is found.
+    met = met.repartition("order_id").withColumnsRenamed({"main": "main_line", "torn": "torn_line"})
+    met = _ranked(met, ["order_id", "kind"], ORDER_LAST)
     order = Window.partitionBy("order_id")
-    met = a.unionByName(b).unionByName(c).withColumns({
-        "known": F.max(F.col("kind") == "order").over(order), "lines": F.max(F.col("kind") == "line").over(order),
-        "last_status": F.max("past_status").over(order), "last_at": F.max("past_at").over(order),
+    past = (F.col("kind") == 2) & F.col("main")
+    met = met.withColumns({
+        "known": F.max(F.col("kind") == 0).over(order), "lines": F.max(F.col("kind") == 1).over(order),
+        "past_status": F.max(F.when(past, F.col("status"))).over(order), "past_at": F.max(F.when(F.col("kind") == 2, F.col("event_time"))).over(order),
     })
-    old = F.col("at") < as_of - F.expr(LAG)
-    is_order, is_line, known = F.col("kind") == "order", (F.col("kind") == "line") & F.col("main"), F.coalesce(F.col("known"), F.lit(False))
-    no_key = F.col("order_id").isNull()
+
+    def key(*cols: str) -> Column:
+        return F.concat_ws("/", *[F.col(c).cast("string") for c in cols])
+
+    old, past_old, live, no_key = _old("event_time", as_of), _old("past_at", as_of), F.col("is_deleted") == 0, F.col("order_id").isNull()
+    is_order, is_line = (F.col("kind") == 0) & F.col("main"), (F.col("kind") == 1) & F.col("main_line")
     told = {
-        "negative_order_items": (is_line & F.col("live") & F.col("odd"), key(F.col("item"))),
-        "orphan_order_items": (is_line & F.col("live") & old & (~known | no_key), key(F.col("item"))),
-        "orders_without_items": (is_order & F.col("live") & old & (F.col("made") >= F.lit(since).cast("timestamp")) & (~F.coalesce(F.col("lines"), F.lit(False)) | no_key), key(F.col("order_id"))),
-        "status_differs_from_history": (is_order & F.col("live") & old & (F.col("status") != F.col("last_status")) & (F.col("last_at") < as_of - F.expr(LAG)) & ~no_key, key(F.col("order_id"))),
-        "history_without_order": ((F.col("kind") == "past") & (F.col("past_at") < as_of - F.expr(LAG)) & (~known | no_key), key(F.col("order_id"))),
+        "orders_conflicting_versions": ((F.col("kind") == 0) & F.col("torn"), key("order_id", "version")),
+        "order_items_conflicting_versions": ((F.col("kind") == 1) & F.col("torn_line"), key("item", "version")),
+        "negative_order_items": (is_line & live & F.col("odd"), key("item")),
+        "orphan_order_items": (is_line & live & old & (~F.col("known") | no_key), key("item")),
+        "orders_without_items": (is_order & live & old & (F.col("created_at") >= F.lit(since).cast("timestamp")) & (~F.col("lines") | no_key), key("order_id")),
+        "status_differs_from_history": (is_order & live & old & past_old & (F.col("status") != F.col("past_status")) & ~no_key, key("order_id")),
+        "history_without_order": (past & past_old & (~F.col("known") | no_key), key("order_id")),
     }
-    versions = F.when(is_order, F.transform("torn", lambda v: F.struct(F.lit("orders_conflicting_versions").alias(NAME), key(F.col("order_id"), v).alias(KEY))))
-    versions = versions.when(is_line, F.transform("torn", lambda v: F.struct(F.lit("order_items_conflicting_versions").alias(NAME), key(F.col("item"), v).alias(KEY))))
-    single = F.array(*[F.when(hit, F.struct(F.lit(n).alias(NAME), k.alias(KEY))) for n, (hit, k) in told.items()])
-    empty = F.array().cast(f"array<struct<{NAME}:string,{KEY}:string>>")
-    found = met.select(F.explode(F.concat(F.array_compact(single), F.coalesce(versions, empty))).alias("v")).select("v.*")
-    others = [c for c in CHECKS if c.name not in told and c.name not in ("orders_conflicting_versions", "order_items_conflicting_versions")]
-    return reduce(DataFrame.unionAll, [_named(c.name, c.find(t, as_of)) for c in others], found)
+    hits = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(n).alias(NAME), k.alias(KEY))) for n, (hit, k) in told.items()]))
+    found = met.select(F.explode(hits).alias("v")).select("v.*")
+    return reduce(DataFrame.unionAll, [_named(c.name, c.find(t, as_of)) for c in CHECKS if c.name not in told], found)
 
 
 def together(tables: Tables, as_of: Column, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
     """``check_name, table_name, violations, sample_keys`` of all checks in one plan.
 
-    What is found is shuffled once, dealt by a hash of its key: counts are
-    partial sums, and of the keys a task passes on its first ``SAMPLE``.
+    What is found is shuffled once, dealt by its key: counts are partial sums,
+    and of the keys a task passes on its first ``SAMPLE``.
     """
     own = [c for c in checks if c not in CHECKS]
     parts = [shared(tables, as_of).where(F.col(NAME).isin([c.name for c in checks]))] if len(own) < len(checks) else []
@@ -213,8 +206,8 @@ def together(tables: Tables, as_of: Column, checks: tuple[Check, ...] = CHECKS)
 
 def _listed(found: DataFrame, checks: Iterable[Check]) -> DataFrame:
     spark = found.sparkSession
-    dealt = found.repartition(NAME, F.pmod(F.xxhash64(KEY), F.lit(64)))
-    counts = dealt.groupBy(NAME).agg(F.count("*").alias("violations"))
+    dealt = found.groupBy(NAME, KEY).agg(F.count("*").alias("_times"))
+    counts = dealt.groupBy(NAME).agg(F.count("*").alias("violations"), F.max("_times").alias("_times"))
     first = Window.partitionBy(NAME).orderBy(KEY)
     keys = dealt.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE).groupBy(NAME).agg(F.array_sort(F.collect_list(KEY)).alias("sample_keys"))
     names = spark.createDataFrame([(i, c.name, c.table) for i, c in enumerate(checks)], f"_i int, {NAME} string, table_name string")

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import canonical, cents, day_key, fingerprint, money, percent, status_rank, sum_if
-from tidemark.operators import ingest, quality, reconcile, scd2
+from tidemark.operators import capture, ingest, quality, reconcile, scd2
 from tidemark.operators.versions import conflicts, latest, latest_live, replay_summary
 from tidemark.plans import marts, panels, refresh, results
 from tidemark.sources import generator, synth
@@ -209,9 +211,12 @@ def count_by_topic(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT i AS id, i // 7 AS week, i % 256 AS bucket FROM range(10000) r(i)")
+@query("""SELECT i AS id, i // 7 AS week, i % 256 AS bucket, count(o_orderkey) AS orders FROM range((SELECT max(o_orderkey) + 1 FROM orders)) r(i) LEFT JOIN orders ON o_orderkey = i GROUP BY i""")
 def range_series(s, d):
-    return s.range(10_000).select("id", F.expr("id div 7").alias("week"), (F.col("id") % 256).alias("bucket"))
+    o = table(s, d, "orders").select("o_orderkey")
+    ids = s.range(o.agg(F.max("o_orderkey")).first()[0] + 1)
+    counted = ids.join(o, ids["id"] == o["o_orderkey"], "left").groupBy("id").agg(F.count("o_orderkey").alias("orders"))
+    return counted.select("id", F.expr("id div 7").alias("week"), (F.col("id") % 256).alias("bucket"), "orders")
 
 
 @query("SELECT order_item_id, product_id, quantity, price_at_order, version, is_deleted FROM sil")
@@ -298,10 +303,59 @@ _HEALTH = """SELECT 'view' AS kind, name, CAST(NULL AS TIMESTAMP) AS last_event_
 CTES["health"] = _HEALTH
 
 
-def health(s: SparkSession, d: str) -> DataFrame:
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """The same states from marts that are really refreshed: the funnel once, then both, when the funnel breaks and keeps its old rows."""
+    store = refresh.MartStore(s, stream.scratch(s))
+
+    def broken() -> DataFrame:
+        raise RuntimeError("out of memory")
+
+    def at(minute: int) -> Callable[[], datetime]:
+        return lambda: datetime(2001, 8, 31, 23, minute, tzinfo=UTC)
+
+    refresh.refresh(store, [refresh.Node("mart_funnel_daily", lambda: funnel(s, d))], clock=at(50))
+    nodes = [refresh.Node("mart_revenue_daily", lambda: revenue(s, d)), refresh.Node("mart_funnel_daily", broken)]
+    return refresh.states_of(s, refresh.refresh(store, nodes, retries=1, clock=at(58)))
+
+
+def chain(s: SparkSession, d: str, store: refresh.MartStore) -> list[refresh.Node]:
+    """The refresh of everything: both dimensions, the fact stored once behind its dimension, and the marts over what is stored."""
+    node, read = refresh.Node, store.read
+
+    def stored_fact() -> DataFrame:
+        items, orders = items_live(s, d), orders_live(s, d)
+        return marts.fact_orders(items, orders, read("dim_products"), marts.hot_products(synth.stg_order_items(s, d), items, orders))
+
+    return [
+        node("dim_users", lambda: dim_users(s, d)),
+        node("dim_products", lambda: dim_products(s, d)),
+        node("fact_orders", stored_fact, ("dim_products",)),
+        node("mart_revenue_daily", lambda: marts.revenue_daily(read("fact_orders")), ("fact_orders",)),
+        node("mart_funnel_daily", lambda: funnel(s, d)),
+        node("mart_cohort_retention", lambda: cohorts(s, d)),
+        node("mart_top_products_daily", lambda: marts.top_products_daily(read("fact_orders"), marts.present_names(read("dim_products"))), ("fact_orders", "dim_products")),
+        node("mart_inventory_current", lambda: marts.inventory_current(latest_live(synth.stg_inventory(s, d), ["product_id", "warehouse_id"], ["version"]), marts.present_names(read("dim_products"))), ("dim_products",)),
+        node("mart_pipeline_health", lambda: health(s, d)),
+    ]
+
+
+_CHAIN = {"dim_users": "dimu", "dim_products": "dimp", "fact_orders": "fact", "mart_revenue_daily": "rev", "mart_funnel_daily": "fun", "mart_cohort_retention": "coh", "mart_top_products_daily": "topd", "mart_inventory_current": "inv", "mart_pipeline_health": "health"}
+_CHAINED = {"mart_revenue_daily": "CAST(sum(revenue) AS DECIMAL(38,2))", "mart_top_products_daily": "CAST(sum(revenue_net) AS DECIMAL(38,2))", "fact_orders": "CAST(sum(amount) AS DECIMAL(38,2))"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, 'Scheduled' AS status, count(*) AS n_rows, {_CHAINED.get(n, 'CAST(NULL AS DECIMAL(38,2))')} AS total FROM {t}" for n, t in _CHAIN.items()))
+def refresh_chain(s, d):
+    store = refresh.MartStore(s, stream.scratch(s))
+    states = refresh.states_of(s, refresh.refresh(store, chain(s, d, store), retries=0))
+    totals = {"mart_revenue_daily": "revenue", "mart_top_products_daily": "revenue_net", "fact_orders": "amount"}
+    rows = [store.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows"), money(F.sum(totals[n]) if n in totals else F.lit(None)).alias("total")) for n in _CHAIN]
+    return reduce(DataFrame.unionAll, rows).join(states.select("name", "status"), "name").select("name", "status", "n_rows", "total")
+
+
+def health(s: SparkSession, d: str, refreshes: DataFrame | None = None) -> DataFrame:
     o = synth.stg_orders(s, d)
     sources = {"stg_orders": (o, "event_time"), "stg_order_items": (synth.stg_order_items(s, d), "event_time"), "stg_inventory": (synth.stg_inventory(s, d), "event_time"), "empty": (o.where("version < 0"), "event_time")}
-    return marts.pipeline_health(sources, _refreshes(s))
+    return marts.pipeline_health(sources, _refreshes(s) if refreshes is None else refreshes)
 
 
 @query("SELECT * FROM health")
@@ -403,7 +457,7 @@ def source_ages(s, d):
 
 @query(f"SELECT name, status, last_success_time, CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(last_success_time)) AS BIGINT) AS age, last_error FROM health WHERE kind = 'view'")
 def view_states(s, d):
-    return panels.view_states(health(s, d), when(AS_OF))
+    return panels.view_states(health(s, d, _refreshed(s, d)), when(AS_OF))
 
 
 _MARTS = {"mart_revenue_daily": "rev", "mart_funnel_daily": "fun", "mart_cohort_retention": "coh", "mart_top_products_daily": "topd", "mart_inventory_current": "inv"}
@@ -417,7 +471,7 @@ def freshness(s, d):
 
 @query(f"SELECT CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(last_success_time))) AS BIGINT) AS age FROM health")
 def refresh_age(s, d):
-    return panels.seconds_since(health(s, d), "last_success_time", when(AS_OF), "age")
+    return panels.seconds_since(health(s, d, _refreshed(s, d)), "last_success_time", when(AS_OF), "age")
 
 
 @query(f"""SELECT j.dag_id, coalesce(datediff('hour', date_trunc('hour', m.t), date_trunc('hour', TIMESTAMP '{EVENTS_AS_OF}')), 99999) AS hours FROM (VALUES ('job_0'), ('job_1'), ('job_2'), ('job_3'), ('job_never')) j(dag_id)
@@ -492,16 +546,19 @@ def negative_values(s, d):
 
 def _planted(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """The tables of the checks, with faults where the driver's have none; the fact and its mart are stored first, as a refresh leaves them."""
-    store = refresh.MartStore(s, f"{stream.scratch(s)}")
-    store.write("fact_orders", fact(s, d))
+    store = refresh.MartStore(s, stream.scratch(s))
+    stored = ("dim_users", "dim_products", "fact_orders")
+    for state in refresh.refresh(store, [n for n in chain(s, d, store) if n.name in stored], retries=0):
+        if state["status"] != "Scheduled":
+            raise RuntimeError(f"{state['name']}: {state['last_error']}")
     facts = store.read("fact_orders")
     orders, history = synth.stg_orders(s, d).where("order_id % 101 <> 0"), synth.stg_status_history(s, d)
     return {
         "fact_orders": facts.unionByName(facts.where("order_item_id % 211 = 0")),
         "stg_orders": orders.unionByName(orders.where("order_id % 313 = 0").withColumn("customer_id", F.col("customer_id") + 1)),
         "stg_order_items": synth.stg_order_items(s, d).withColumn("quantity", F.col("quantity") - 1),
-        "dim_customers": dim_users(s, d).withColumnRenamed("user_id", "customer_id"),
-        "dim_products": dim_products(s, d),
+        "dim_customers": store.read("dim_users").withColumnRenamed("user_id", "customer_id"),
+        "dim_products": store.read("dim_products"),
         "stg_product_versions": synth.stg_product_versions(s, d).withColumn("price", F.col("price") - 12),
         "stg_inventory": synth.stg_inventory(s, d),
         "mart_revenue_daily": marts.revenue_daily(facts).withColumns({c: F.col(c) - 30_000 for c in ("revenue", "revenue_net")}),
@@ -957,6 +1014,39 @@ def stream_equals_batch(s, d):
     return _final(_streamed(s, d))
 
 
+_MOVES = """SELECT o_orderkey AS order_id, ['created','paid','shipped','delivered','cancelled'][CAST((o_orderkey + n) % 5 + 1 AS BIGINT)] AS status, (o_orderkey * 7919 + n * 104729) % 1000 + n * 1000 AS version,
+  CASE WHEN (o_orderkey + n) % 11 = 0 THEN 1 ELSE 0 END AS is_deleted FROM orders, range(6) r(n)"""
+
+
+def _moves(s: SparkSession, d: str) -> DataFrame:
+    """Six changes of every order, their positions in the log between 0 and 6,000."""
+    n, key = F.col("n"), F.col("o_orderkey")
+    rows = table(s, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n"))
+    version = (key * 7919 + n * 104_729) % 1000 + n * 1000
+    return rows.select(key.alias("order_id"), synth.state_of(key + n).alias("status"), version.alias("version"), F.lit(0).alias("is_snapshot"), ((key + n) % 11 == 0).cast("int").alias("is_deleted"))
+
+
+@query(f"SELECT order_id, status FROM ({_MOVES} QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) = 1) WHERE is_deleted = 0")
+def snapshot_then_tail(s, d):
+    """A snapshot in eight chunks while orders go on changing, handed over to the tail: the same live rows as a replay of the whole log."""
+    log, clock = _moves(s, d), iter(range(1000, 10_000, 150))
+    seen = [0]
+
+    def position() -> int:
+        seen[0] = next(clock)
+        return seen[0]
+
+    def read(bounds: tuple) -> DataFrame:
+        # what is there some time between the two positions of the chunk
+        there = latest_live(log.where(F.col("version") <= seen[0] + 70), ["order_id"], ["version"])
+        return capture.in_range(there, "order_id", bounds).select("order_id", "status")
+
+    shot = capture.Snapshot(s, stream.scratch(s))
+    shot.run(capture.key_ranges(table(s, d, "orders"), "o_orderkey", 8), read, position)
+    journal = capture.handed_over(shot.rows(), log, ["order_id"])
+    return latest_live(journal, ["order_id"], ["version"]).select("order_id", "status")
+
+
 @query(_FINAL_ORDERS)
 def backfill_by_day(s, d):
     sink = _streamed(s, d)

@@ -50,12 +50,17 @@ class MartStore:
             raise FileNotFoundError(f"{name} was never refreshed")
         return self.spark.read.parquet(f"{self.root}/{name}/{folder}")
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def write(self, name: str, df: DataFrame, at: datetime | None = None) -> None:
         folder = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{folder}")
-        self.files.swap(f"{name}/current.json", json.dumps({"folder": folder}))
+        self.files.swap(f"{name}/current.json", json.dumps({"folder": folder, "refreshed_at": (at or datetime.now(UTC)).isoformat()}))
         self.sweep(name)
 
+    def refreshed_at(self, name: str) -> datetime | None:
+        """When the rows that readers now see were written."""
+        text = self.files.text(f"{name}/current.json")
+        return None if text is None else datetime.fromisoformat(json.loads(text)["refreshed_at"])
+
     def sweep(self, name: str) -> int:
         """Deletes folders but the current one whose successor is older than the grace time; how many."""
         current = self._current(name)
@@ -82,10 +87,10 @@ def ordered(nodes: list[Node]) -> list[Node]:
     return done
 
 
-def _one(store: MartStore, node: Node, retries: int, pause_s: float, limit_s: float | None) -> dict:
+def _one(store: MartStore, node: Node, retries: int, pause_s: float, limit_s: float | None, clock: Callable[[], datetime]) -> dict:
     """Refreshes a node, again after failures; its jobs are cancelled by their tag where an attempt takes longer than ``limit_s``."""
     sc = store.spark.sparkContext
-    state = {"name": node.name, "status": "Error", "last_success_time": None, "last_error": "", "attempts": 0, "started_at": datetime.now(UTC)}
+    state = {"name": node.name, "status": "Error", "last_success_time": store.refreshed_at(node.name), "last_error": "", "attempts": 0, "started_at": datetime.now(UTC)}
     sc.setLocalProperty("spark.scheduler.pool", f"refresh-{node.name}")
     for attempt in range(retries + 1):
         state["attempts"] = attempt + 1
@@ -98,8 +103,8 @@ def _one(store: MartStore, node: Node, retries: int, pause_s: float, limit_s: fl
             if late:
                 late.start()
             with labelled(store.spark, "refresh", node.name):
-                store.write(node.name, node.build())
-            state |= {"status": "Scheduled", "last_success_time": datetime.now(UTC), "last_error": ""}
+                store.write(node.name, node.build(), at := clock())
+            state |= {"status": "Scheduled", "last_success_time": at, "last_error": ""}
             break
         except Exception as e:  # noqa: BLE001  told in the state, other marts go on
             state |= {"status": "Error", "last_error": f"cancelled after {limit_s} s" if over.is_set() else str(e).split("\n")[0][:300]}
@@ -112,13 +117,13 @@ def _one(store: MartStore, node: Node, retries: int, pause_s: float, limit_s: fl
     return state | {"ended_at": datetime.now(UTC)}
 
 
-def refresh(store: MartStore, nodes: list[Node], retries: int = 3, pause_s: float = 0.0, at_once: int = 4, limit_s: float | None = None) -> list[dict]:
+def refresh(store: MartStore, nodes: list[Node], retries: int = 3, pause_s: float = 0.0, at_once: int = 4, limit_s: float | None = None, clock: Callable[[], datetime] = lambda: datetime.now(UTC)) -> list[dict]:
     """Refreshes all nodes, up to ``at_once`` at a time, each as soon as those before it are done.
 
     State rows in the order of ``ordered``: ``name, status, last_success_time,
     last_error``, and the ``attempts``, ``started_at`` and ``ended_at`` of this
-    refresh.  What depends on a failed node is skipped and keeps its old rows;
-    other branches go on.
+    refresh.  What depends on a failed node is skipped and, like that node,
+    keeps its old rows and the time of its last success; other branches go on.
     """
     order = ordered(nodes)
     states: dict[str, dict] = {}
@@ -130,9 +135,9 @@ def refresh(store: MartStore, nodes: list[Node], retries: int = 3, pause_s: floa
                 waiting.remove(node)
                 if all(states[a]["status"] == "Scheduled" for a in node.after):
                     work = inheritable_thread_target(store.spark)(_one)
-                    running[pool.submit(work, store, node, retries, pause_s, limit_s)] = node
+                    running[pool.submit(work, store, node, retries, pause_s, limit_s, clock)] = node
                 else:
-                    states[node.name] = {"name": node.name, "status": "Skipped", "last_success_time": None, "last_error": "", "attempts": 0, "started_at": None, "ended_at": None}
+                    states[node.name] = {"name": node.name, "status": "Skipped", "last_success_time": store.refreshed_at(node.name), "last_error": "", "attempts": 0, "started_at": None, "ended_at": None}
             if running:
                 for f in wait(running, return_when=FIRST_COMPLETED).done:
                     states[running.pop(f).name] = f.result()
