@@ -96,7 +96,7 @@ def test_a_reader_and_a_crash_between_the_steps(spark, tmp_path, monkeypatch):
     store.write("a", spark.range(5))
     assert reader.count() == 3 and store.read("a").count() == 5  # the old folder is still there for its reader
 
-    def dies(name, folder):
+    def dies(name, folder, at):
         raise OSError("the driver died")
 
     monkeypatch.setattr(store, "_point", dies)

@@ -53,9 +53,12 @@ class MartStore:
     def write(self, name: str, df: DataFrame, at: datetime | None = None) -> None:
         folder = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{folder}")
-        self.files.swap(f"{name}/current.json", json.dumps({"folder": folder, "refreshed_at": (at or datetime.now(UTC)).isoformat()}))
+        self._point(name, folder, at or datetime.now(UTC))
         self.sweep(name)
 
+    def _point(self, name: str, folder: str, at: datetime) -> None:
+        self.files.swap(f"{name}/current.json", json.dumps({"folder": folder, "refreshed_at": at.isoformat()}))
+
     def refreshed_at(self, name: str) -> datetime | None:
         """When the rows that readers now see were written."""
         text = self.files.text(f"{name}/current.json")
