@@ -2,6 +2,9 @@
 
 Rows become one canonical text; counts and sums of their 64-bit fingerprints
 are compared per bucket of keys, and only differing buckets are looked into.
+``differences`` goes down a tree of buckets instead: below a bucket that
+differs it looks at its 256 parts, and so on, so that the keys it compares grow
+with the differences and not with the table.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ BUCKETS = 256
 KEPT_KEYS = 1000
 GRACE_MINUTES, RECHECK_MINUTES = 15, 10
 AT_ONCE = 16  # buckets whose keys are compared together
+LEVELS, LEAF_KEYS, NODES = 4, 64, 1024  # of the tree: depth, keys a node that need no further parts, differing nodes that have parts
 
 # Tables, keys and canonical columns of both sides, and the column that tells a
 # row's last change (those of journals, - , can't be compared with the source's clock).
@@ -95,12 +99,69 @@ def compared(source: Side, target: Side, cutoff: Column, at_once: int = AT_ONCE)
     """Verdicts of the keys of differing buckets, ``at_once`` buckets at a time; nothing if all are equal.
 
     At most ``BUCKETS`` bucket numbers go through the driver.  Buckets are
-    compared by rows from before the cutoff, their keys with all rows.
+    compared by rows from before the cutoff, their keys with all rows; rows of
+    differing buckets are read once, whatever the number of batches.
     """
     found = sorted(r["bucket"] for r in differing(buckets(source, cutoff), buckets(target, cutoff)).collect())
-    for i in range(0, len(found), at_once):
-        part = found[i : i + at_once]
-        yield arbitrate(*(Side(x.df.where(F.pmod(x.key.cast("bigint"), F.lit(BUCKETS)).isin(part)), x.key, x.content, x.changed_at) for x in (source, target)), cutoff)
+    if not found:
+        return
+    bucket = F.pmod("k", F.lit(BUCKETS))
+    both = [x.rows().where(bucket.isin(found)).persist() for x in (source, target)]
+    try:
+        for i in range(0, len(found), at_once):
+            yield _judged(*(x.where(bucket.isin(found[i : i + at_once])) for x in both), cutoff)
+    finally:
+        for x in both:
+            x.unpersist()
+
+
+def node_of(k: Column, level: int) -> Column:
+    """The node of a key, of 256 to the power of ``level``; its last eight bits tell it from the other parts of its parent."""
+    return F.shiftrightunsigned(F.xxhash64(k), 64 - 8 * level)
+
+
+def _digests(rows: DataFrame, level: int, within: list[int] | None) -> DataFrame:
+    if within is not None:
+        rows = rows.where(node_of(F.col("k"), level - 1).isin(within))
+    return rows.groupBy(node_of(F.col("k"), level).alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
+
+
+def differing_nodes(source: Side, target: Side, cutoff: Column | None = None, levels: int = LEVELS, enough: int = LEAF_KEYS) -> tuple[int, list[int]]:
+    """The level and the nodes of it that hold all differences.
+
+    From level to level only the parts of differing nodes are compared, until
+    the nodes hold ``enough`` keys each or fewer, or are more than ``NODES``:
+    so at most 256 times that many node numbers come to the driver.
+    """
+    sides_ = [x.rows() for x in (source, target)]
+    if cutoff is not None:
+        sides_ = [x.where(F.coalesce(F.col("at") < cutoff, F.lit(True))) for x in sides_]
+    within: list[int] | None = None
+    for level in range(1, levels + 1):
+        found = differing(*(_digests(x, level, within) for x in sides_)).select("bucket", F.greatest(F.coalesce("source_n", F.lit(0)), F.coalesce("target_n", F.lit(0))).alias("n")).collect()
+        within = sorted(r["bucket"] for r in found)
+        if not found or len(found) > NODES or sum(r["n"] for r in found) <= enough * len(found):
+            break
+    return level, within or []
+
+
+def rows_of_nodes(side: Side, level: int, nodes: list[int]) -> DataFrame:
+    """The rows under some nodes; a node list of any length stays small beside them."""
+    rows = side.rows()
+    if len(nodes) <= NODES:
+        return rows.where(node_of(F.col("k"), level).isin(nodes))
+    chosen = rows.sparkSession.createDataFrame([(n,) for n in nodes], "_node long")
+    return rows.join(F.broadcast(chosen), node_of(F.col("k"), level) == F.col("_node"), "left_semi")
+
+
+def differences(source: Side, target: Side, cutoff: Column, compare_all: bool = False, levels: int = LEVELS, enough: int = LEAF_KEYS) -> DataFrame:
+    """``k, verdict`` as ``arbitrate`` gives them, of the keys under the nodes of ``differing_nodes``.
+
+    Nodes are compared by rows from before the cutoff, or by all with
+    ``compare_all``; their keys always with all rows.
+    """
+    level, nodes = differing_nodes(source, target, None if compare_all else cutoff, levels, enough)
+    return _judged(*(rows_of_nodes(x, level, nodes) for x in (source, target)), cutoff)
 
 
 def buckets(side: Side, cutoff: Column | None) -> DataFrame:
@@ -129,6 +190,10 @@ def arbitrate(source: Side, target: Side, cutoff: Column, within: DataFrame | No
     if within is not None:
         chosen = within.select("bucket").distinct()
         s, t = (x.withColumn("bucket", F.pmod("k", F.lit(BUCKETS))).join(chosen, "bucket", "left_semi").drop("bucket") for x in (s, t))
+    return _judged(s, t, cutoff)
+
+
+def _judged(s: DataFrame, t: DataFrame, cutoff: Column) -> DataFrame:
     both = s.select("k", F.col("h").alias("sh"), F.col("at").alias("sat")).join(t.select("k", F.col("h").alias("th"), F.col("at").alias("tat")), "k", "full_outer")
     hot = F.coalesce(F.col("sat") >= cutoff, F.lit(False)) | F.coalesce(F.col("tat") >= cutoff, F.lit(False))
     verdict = F.when(F.col("sh").eqNullSafe(F.col("th")), None).when(hot, "in_flight").when(F.col("th").isNull(), "missing").when(F.col("sh").isNotNull(), "different").otherwise("extra")

@@ -676,6 +676,12 @@ def reconcile_keys(s, d):
     return reconcile.arbitrate(a, b, when("2001-07-01"), within)
 
 
+@query("SELECT k, verdict FROM verd")
+def reconcile_tree(s, d):
+    a, b = _sides(s, d)
+    return reconcile.differences(a, b, when("2001-07-01"), compare_all=True)
+
+
 def _arbitrated(a: reconcile.Side, b: reconcile.Side, cutoff: Column) -> DataFrame:
     return reconcile.arbitrate(a, b, cutoff, reconcile.differing(reconcile.buckets(a, None), reconcile.buckets(b, None)))
 
