@@ -72,6 +72,34 @@ def test_learned_names_go_also_inside(spark):
     assert run(spark, [*pages, (9, inner)])[9] == "In Start here. Stays. Goes on."
 
 
+def test_custom_elements_swallow_nothing(spark):
+    """Elements whose names begin like a silent one's are elements of their own."""
+    names = ["video-player", "title-bar", "style-guide", "select-all", "object-x", "head-line", "script-x", "audio-clip", "header"]
+    pages = [(i, f"<article><h1>T</h1><p>First part here.</p><{n} src=x></{n}><p>Second part of the article.</p></article>") for i, n in enumerate(names)]
+    pages += [(50, "<article><title-bar>Deck line</title-bar><p>Then all the rest of it.</p></article>")]
+    got = run(spark, pages)
+    assert {got[i] for i in range(len(names))} == {"T First part here. Second part of the article."}
+    assert got[50] == "Deck line Then all the rest of it."
+
+
+def test_long_and_malformed_pages_with_silent_elements(spark):
+    words_ = "some words of it. " * 4_000
+    many = "<script>if (a < b) { x('</p>'); }</script><style>p { }</style><p>kept here</p>" * 2_000
+    pages = [
+        (1, f"<article><p>{words_}</p><script src=a></script><p>end</p></article>"),
+        (2, f"<article>{many}</article>"),
+        (3, "<article><p>before</p><SCRIPT>var a = '<p>never</p>';</ScRiPt ><p>after</p></article>"),
+        (4, "<article><p>before it all</p><script>var a = '<p>never closed</p></article>"),
+        (5, "<article><p>one <video controls><p>no text</p></video> two</p><select><option>a<option>b</select><p>three</p></article>"),
+        (6, "<article><p>before</p><style/><p>behind an empty one</p></article>"),
+    ]
+    got = run(spark, pages)
+    assert got[1] == " ".join(words_.split()) + " end"
+    assert got[2] == " ".join(["kept here"] * 2_000)
+    assert got[3] == "before after" and got[4] == "before it all"
+    assert got[5] == "one two three" and got[6] == "before behind an empty one"
+
+
 def test_ties_repeats_and_clashing_columns(spark):
     from pyspark.sql import functions as F
 

@@ -77,3 +77,14 @@ def test_few_and_none(spark, tmp_path):
     got = run(spark, [(0, [0.5]), (20, [0.25]), (20, [0.25]), (7, [0.5])], tmp_path / "a")
     assert [(i, s) for _, i, s in got[0]] == [(7, 1024), (20, 512), (20, 512)]
     assert run(spark, [], tmp_path / "b") == {}
+
+
+def test_every_task_has_one_block(spark):
+    """Blocks are dealt by their number, so no task has two while another has none."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(600).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(9)) - 4).alias("v"))
+    hits = topk.top_k(rows.where("vec_id % 20 = 0"), rows, 5, block=300)
+    assert hits.count() == 30 * 5
+    parts = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("vb")).repartitionById(16, "vb")
+    assert sorted(r["n"] for r in parts.groupBy(F.spark_partition_id()).agg(F.count_distinct("vb").alias("n")).collect()) == [1] * 16

@@ -42,7 +42,7 @@ ROLES = frozenset("=navigation =banner =contentinfo =complementary =search =form
 NAMED = frozenset("ad ads advert advertisement sidebar comments notice".split())
 
 PIECES = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?![^>]*/>)[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])(?![^>]*/>)[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)

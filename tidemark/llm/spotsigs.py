@@ -27,7 +27,6 @@ ANCHORS = tuple(
     "el los las y en que con por para se del una al es no su".split()
 )
 CHAIN = 3
-LEAST = 0.2  # of ``op9_spotsigs``: sets that differ more in length aren't compared
 
 
 def signature(words: Column) -> Column:
@@ -119,7 +118,9 @@ def beside_next(docs: DataFrame, rows_a_part: int = 500) -> DataFrame:
 
     The ids are cut into ranges at some of them, so no task sorts them all;
     the rows with such an id also go to the range before, where they end it.
-    Null ids come first; equal ids go by text.
+    Null ids come first; equal ids go by text.  There are 65,536 ranges at
+    most; a range is sorted with spilling and read in order, so that memory
+    doesn't bound its size.
     """
     spark, names = docs.sparkSession, docs.columns
     n = docs.count()
@@ -152,9 +153,8 @@ def beside_next(docs: DataFrame, rows_a_part: int = 500) -> DataFrame:
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text of ``documents`` and of its edited text, and how alike they are to the edited and the next one's.
 
-    Sets go by partitions of their length; two whose lengths alone keep their
-    similarity under ``LEAST`` are told 0 without being compared.  Null texts
-    count as empty, very long ones are read whole; two texts without words are
+    Each text is compared with two others only, so no pair is left out by the
+    lengths of sets, as ``similar_pairs`` does.  Null texts count as empty, very long ones are read whole; two texts without words are
     alike (1), one without words is unlike any other (0); rows with equal ids
     go by text; repeated rows are told each; an empty table gives no rows;
     other columns are ignored.
@@ -172,8 +172,8 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sigs")).alias("fingerprint"),
         as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs"), LEAST).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs"), LEAST).alias("near_next"),
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         length_partition(F.size("sigs"), 0.8).alias("length_partition"),
     )
 
@@ -200,7 +200,7 @@ def _sql_signatures(text: str, out: str, source: str, target: str) -> str:
 
 def _sql_likeness(a: str, b: str) -> str:
     both = f"len(list_intersect({a}, {b}))"
-    return f"""CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1.0::DOUBLE WHEN least(len({a}), len({b})) = 0 OR least(len({a}), len({b})) < greatest(len({a}), len({b})) * {LEAST}::DOUBLE THEN 0.0::DOUBLE
+    return f"""CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1.0::DOUBLE WHEN least(len({a}), len({b})) = 0 THEN 0.0::DOUBLE
     ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"""
 
 

@@ -173,7 +173,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLOC
     many = max(1, -(-total // block), min(-(-total // LEAST_BLOCK), 2 * partitions(vectors.sparkSession)))
     left = vectors.select(F.pmod(F.xxhash64("vec_id", F.spark_partition_id()), F.lit(many)).cast("int").alias("vb"), F.lit(False).alias("asks"), "vec_id", "v")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("vb"), F.lit(True).alias("asks"), "vec_id", "v")
-    dealt = left.unionByName(right).repartition(many, "vb").sortWithinPartitions("vb", "asks", "vec_id")
+    dealt = left.unionByName(right).repartitionById(many, "vb").sortWithinPartitions("vb", "asks", "vec_id")
     hits = dealt.mapInArrow(lambda batches: _streamed(batches, k), HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
