@@ -244,6 +244,34 @@ def test_more_languages_than_one_level_holds(documents):
     assert np.mean([got[i] == v for i, _, v in docs]) > 0.9
 
 
+def test_every_language_is_learned(documents):
+    """However many languages there are to few rows, none is left out."""
+    rng = random.Random(13)
+    names = [f"m{k:03d}" for k in range(70)]
+    stock = {v: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3)] for v in names}
+    docs = [(i, " ".join(rng.choice(stock[names[i % 70]]) for _ in range(12)), names[i % 70]) for i in range(70 * 9)]
+    df = documents(docs)
+    model = language.fit(df, most_rows=70)
+
+    def learned(m):
+        return set(m.alone.values()).union(*(learned(b) for b in m.below.values()))
+
+    assert learned(model) == set(names)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predicted(df, model).collect()}
+    assert len(set(got.values())) == 70 and np.mean([got[i] == v for i, _, v in docs]) > 0.8
+
+
+def test_letters_beyond_the_basic_plane_count(documents):
+    rare = {"zh": "\U00020000\U00020001\U0002a700 ", "osa": "\U000104b0\U000104b1\U000104b2 "}
+    for text in (*rare.values(), "\u207f\u2102"):
+        assert all(map(str.isalpha, text.strip())) and language.features(text).any()
+    assert not language.features("\U0001f600 \u2192 \u2014 12 !").any()
+    docs = [(i, (rare["zh"] if i % 2 else rare["osa"]) * (1 + i % 3), "zh" if i % 2 else "osa") for i in range(60)]
+    df = documents(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predicted(df, language.fit(df)).collect()}
+    assert got == {i: v for i, _, v in docs}
+
+
 def test_samples_are_bounded_and_alike(spark):
     from tidemark.llm.common import bounded_sample
 

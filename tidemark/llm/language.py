@@ -22,6 +22,7 @@ from .common import bounded_sample, fold, on_workers, rows_of, table
 
 FOLDS, HELD = 4, 2
 SIZE = 4096
+FEW = 16  # rows of a language, or all it has: a sample by hashes misses none of so many but once in 10^7
 WIDEST = 12  # groups that one level tells apart
 #: Families of some languages; any other language is a family of its own.
 FAMILIES = {
@@ -31,10 +32,20 @@ FAMILIES = {
 }
 
 
+def _in_words() -> np.ndarray:
+    """Of every code point whether it belongs to words: all letters, and what else stands beyond ASCII but for signs, punctuation and pictures."""
+    c = np.arange(0x110000)
+    marks = (c >= 0xAA) & (c != 0xD7) & (c != 0xF7) & ~((c >= 0x2000) & (c < 0x2C00)) & ~((c >= 0x3000) & (c < 0x3003)) & (c < 0x1F000)
+    return marks | ((c >= 97) & (c <= 122)) | (np.array([chr(i).isalpha() for i in c]) & (c >= 128))
+
+
+IN_WORDS = _in_words()
+
+
 def features(text: str | None) -> np.ndarray:
     """A unit vector of square-rooted n-gram counts; zeros without letters."""
     c = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
-    c = np.where(((c >= 97) & (c <= 122)) | ((c >= 0xAA) & (c != 0xD7) & (c != 0xF7) & ~((c >= 0x2000) & (c < 0x2C00)) & ~((c >= 0x3000) & (c < 0x3003)) & (c < 0x1F000)), c, 32).astype(np.uint32)
+    c = np.where(IN_WORDS[c], c, 32).astype(np.uint32)
     a, b, d = c[:-2], c[1:-1], c[2:]
     inner = b != 32
     one = b[inner] * np.uint32(2654435761)
@@ -150,21 +161,21 @@ def grow(x: np.ndarray, y: np.ndarray, groups: dict[str, list[str]]) -> Model:
     return Model(Level.fit(x[rows], np.array([of[v] for v in y[rows]], dtype=object), sorted(named)), below, alone)
 
 
-def fit(docs: DataFrame, per_language: int = 600, most_languages: int = 500, most_rows: int = 8000, families: dict[str, str] = FAMILIES) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 600, most_rows: int = 8000, families: dict[str, str] = FAMILIES) -> Model | None:
     """Learns from rows outside fold ``HELD`` with a language and letters; None if there are none.
 
-    Some ``per_language`` rows a language teach, and ``most_rows`` in all, of
-    the ``most_languages`` languages with most rows (ties by name; others are
-    never predicted); that bounds the driver's memory and the model.  Rows
+    Some ``per_language`` rows a language teach, and ``most_rows`` in all, or
+    ``FEW`` of each where there are too many languages for that; every language
+    is learned, so the model grows with their number.  Rows
     without an id teach nothing; repeated rows of an id and language teach
     once, by the least of their texts.
     """
     on_workers(docs.sparkSession)
     rows = docs.where((fold("doc_id", FOLDS) != HELD) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("y"), "text")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(most_languages).collect()}
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    chosen = bounded_sample(rows, "y", min(per_language, max(1, most_rows // len(sizes))), sizes)
+    chosen = bounded_sample(rows, "y", min(per_language, max(FEW, most_rows // len(sizes))), sizes)
     texts = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
