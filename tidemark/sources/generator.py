@@ -23,6 +23,9 @@ CATEGORIES = ("books", "electronics", "home", "toys", "sports")
 LEAST_PRICE, MOST_PRICE = 1, 99_999_999.99
 FIRST_STOCK, RESTOCK = (20, 200), (50, 200)
 LINES, PIECES = (1, 5), (1, 3)
+CATEGORY_SHARE, SALE_SHARE = 0.05, 0.3
+DRIFT, SALE = (0.03, 0.15), (0.20, 0.40)
+FIRST_PRICE = (5, 500)
 
 ADDRESSES = 10_000  # numbered houses
 
@@ -151,12 +154,12 @@ def _chosen(actions: DataFrame, kind: str, rows: DataFrame, key: str, seed: int)
     return rows.crossJoin(wanted).crossJoin(many).where(hit).drop("_wanted", "_many")
 
 
-def updated_products(actions: DataFrame, products: DataFrame, seed: int, category_share: float = 0.05, sale_share: float = 0.3) -> DataFrame:
-    """Products whose price drifts (3 to 15 percent) or goes on sale (20 to 40 off), or, rarely, whose category changes; always to another."""
+def updated_products(actions: DataFrame, products: DataFrame, seed: int, category_share: float = CATEGORY_SHARE, sale_share: float = SALE_SHARE) -> DataFrame:
+    """Products whose price drifts (by ``DRIFT``) or goes on sale (``SALE`` off), or, rarely, whose category changes; always to another."""
     chosen = _chosen(actions, "update_product", products, "product_id", seed)
     key = (F.col("product_id"), F.col("at"))
     u, v, w = (uniform(seed, *key, F.lit(x)) for x in ("what", "how", "much"))
-    factor = F.when(v < sale_share, 0.8 - 0.2 * w).otherwise(1 + F.when(v < (1 + sale_share) / 2, -1).otherwise(1) * (0.03 + 0.12 * w))
+    factor = F.when(v < sale_share, 1 - SALE[0] - (SALE[1] - SALE[0]) * w).otherwise(1 + F.when(v < (1 + sale_share) / 2, -1).otherwise(1) * (DRIFT[0] + (DRIFT[1] - DRIFT[0]) * w))
     price = F.greatest(F.least(F.round(F.col("price").cast("double") * factor, 2), F.lit(float(MOST_PRICE))), F.lit(float(LEAST_PRICE))).cast("decimal(10,2)")
     cent = F.lit("0.01").cast("decimal(10,2)")
     price = F.when(price != F.col("price"), price).when(F.col("price") <= LEAST_PRICE, F.col("price") + cent).otherwise(F.col("price") - cent).cast("decimal(10,2)")
@@ -169,7 +172,7 @@ def new_products(actions: DataFrame, known: int, seed: int) -> tuple[DataFrame,
     i = F.col("id")
     rows = _of(actions, "new_product").select(
         (F.lit(known + 1) + i).alias("product_id"), F.concat(F.lit("product "), i.cast("string")).alias("name"), F.element_at(F.array(*map(F.lit, CATEGORIES)), whole(seed, 1, len(CATEGORIES), i, F.lit("category")).cast("int")).alias("category"),
-        (whole(seed, 5, 500, i, F.lit("price")) - F.lit("0.01").cast("decimal(10,2)")).cast("decimal(10,2)").alias("price"), F.col("at").alias("updated_at"),
+        (whole(seed, *FIRST_PRICE, i, F.lit("price")) - F.lit("0.01").cast("decimal(10,2)")).cast("decimal(10,2)").alias("price"), F.col("at").alias("updated_at"),
     )
     shelves = rows.select("product_id", F.explode(F.array(*map(F.lit, WAREHOUSES))).alias("warehouse_id"), "updated_at")
     return rows, shelves.select("product_id", "warehouse_id", whole(seed, *FIRST_STOCK, F.col("product_id"), F.col("warehouse_id")).cast("int").alias("quantity"), "updated_at")
