@@ -115,3 +115,20 @@ def test_the_query_keeps_a_ledger_between_runs(spark, documents, tmp_path):
     ledger.merge()
     again = secrets.BlobLedger.opened(spark, path)
     assert len(again.runs) == 1 and sorted(again.findings().collect()) == sorted(before)
+
+
+def test_frames_outlive_merges(spark, documents, tmp_path, monkeypatch):
+    """What an early scan returned can be read after the ledger has been merged again and again; replaced runs go after their time."""
+    monkeypatch.setattr(secrets.BlobLedger, "MOST_RUNS", 2)
+    ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    first = secrets.scan_documents(documents([(1, "token = abcdefgh1"), (2, "clean")]), ledger)
+    for i in range(5):
+        secrets.scan_documents(documents([(3, f"secret: number{i}000")]), ledger)
+    assert len(ledger.runs) <= 2 and len(ledger.replaced()) > 3
+    assert told(first.collect()) == {1: "assign:0:17", 2: ""}
+    again = secrets.BlobLedger.opened(spark, ledger.path)
+    assert sorted(again.runs) == sorted(ledger.runs) and again.rows().count() == 7 * len(secrets.RULES)
+    again.grace_s = 0
+    again.merge()
+    assert len(again.files.folders()) == len(again.replaced()) + 1 == 3
+    assert again.findings().count() == 6

@@ -10,12 +10,16 @@ that ever held the blob.  DataFrame functions only.
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import Files
+
 from .common import table, work_folder
 
 
@@ -89,23 +93,30 @@ def address(text: Column) -> Column:
 
 
 class BlobLedger:
-    """The findings so far, a folder of Parquet files that every executor can reach; one writer at a time."""
+    """The findings so far, a folder of Parquet files that every executor can reach; one writer at a time.
+
+    Runs that a merge has replaced are listed in ``replaced.json`` and stay for
+    ``grace_s``, so that frames made before it can still be read.
+    """
 
     MOST_RUNS = 16
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.runs = spark, path, []
+    def __init__(self, spark: SparkSession, path: str, grace_s: float = 86_400):
+        self.spark, self.path, self.runs, self.grace_s = spark, path, [], grace_s
+        self.files = Files(spark, path)
 
     @classmethod
     def opened(cls, spark: SparkSession, path: str) -> BlobLedger:
         """The ledger that earlier scans have left at ``path``."""
         ledger = cls(spark, path)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(folder):
-            ledger.runs = sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("run="))
+        replaced = ledger.replaced()
+        ledger.runs = [f"{path}/{name}" for name in ledger.files.folders() if name.startswith("run=") and name not in replaced]
         return ledger
 
+    def replaced(self) -> dict[str, int]:
+        """Runs that a merge has taken the place of, and when."""
+        return json.loads(self.files.text("replaced.json") or "{}")
+
     def rows(self) -> DataFrame:
         read = self.spark.read.schema(LEDGER)
         return read.parquet(*self.runs) if self.runs else self.spark.createDataFrame([], LEDGER)
@@ -132,13 +143,16 @@ class BlobLedger:
             self.merge()
 
     def merge(self) -> None:
-        """One run in place of all; a reader or a crash between the steps meets pairs twice, which ``findings`` tells once."""
-        path = f"{self.path}/run={len(self.runs):06d}-{uuid.uuid4().hex}"
-        self.rows().groupBy("blob", "rule").agg(F.first("spans").alias("spans")).write.parquet(path)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for run in self.runs:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(run), True)
-        self.runs = [path]
+        """One run in place of all, which stay for the grace time; a crash between the steps leaves pairs twice, which ``findings`` tells once."""
+        name = f"run={len(self.runs):06d}-{uuid.uuid4().hex}"
+        self.rows().groupBy("blob", "rule").agg(F.first("spans").alias("spans")).write.parquet(f"{self.path}/{name}")
+        now, replaced = time.time_ns(), self.replaced()
+        late = {run: at for run, at in replaced.items() if now - at > self.grace_s * 1e9}
+        replaced = {run: at for run, at in replaced.items() if run not in late} | {run.rsplit("/", 1)[1]: now for run in self.runs}
+        for run in late:
+            self.files.delete(run)
+        self.files.swap("replaced.json", json.dumps(replaced))
+        self.runs = [f"{self.path}/{name}"]
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """One row per blob with any finding: ``found``, spans with kind and order, by start and then by the rules' order."""
