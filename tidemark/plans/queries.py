@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 from functools import reduce
 from pathlib import Path
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import canonical, cents, day_key, fingerprint, money, percent, status_rank, sum_if
 from tidemark.operators import capture, ingest, quality, reconcile, scd2
 from tidemark.operators.versions import conflicts, latest, latest_live, replay_summary
-from tidemark.plans import marts, panels, refresh, results
+from tidemark.plans import formats, marts, panels, refresh, results
 from tidemark.sources import generator, synth
 from tidemark.sources.schema import CUSTOMERS, INVENTORY, ORDER_ITEMS, ORDERS, PRODUCTS
 from tidemark.sources.tables import recorded_stream, table
@@ -1091,3 +1091,54 @@ def top_n_per_group(s, d):
     by = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(s, d, "orders").withColumn("n", F.row_number().over(by)).where("n <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
 
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1")
+def expired_log(s, d):
+    """The log behind four batches, one of them taken twice, a compaction and the expiry of its first days."""
+    sink = stream.Sink(s, stream.scratch(s))
+    rows = table(s, d, "events").select("event_id", F.col("ts").alias("event_time"))
+    for i in (0, 1, 2, 2, 3):
+        sink.append(stream.RAW, rows.where(F.col("event_id") % 4 == i), str(i))
+    sink.compact(stream.RAW, over=2)
+    sink.expire(date(2024, 1, 11))
+    return sink.read(stream.RAW).groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT p_partkey AS k, p_name AS name, CAST(p_retailprice AS DECIMAL(10,2)) AS price, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS brand, f.form FROM part, (VALUES ('tsv'), ('separated'), ('json')) f(form)")
+def row_formats(s, d):
+    """Parts written in each form of text and read back."""
+    brand = F.when(F.col("p_partkey") % 3 == 0, None).when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_brand"))
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), brand.alias("brand"))
+    schema, root, parts = "k long, name string, price decimal(10,2), brand string", stream.scratch(s), []
+    for form, separator in (("tsv", "\t"), ("separated", ";"), ("json", None)):
+        formats.write_rows(rows, form, f"{root}/{form}", separator=separator or " ")
+        got = s.read.schema(schema).json(f"{root}/{form}") if form == "json" else _separated(s, f"{root}/{form}", separator)
+        parts.append(got.withColumn("form", F.lit(form)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _separated(s: SparkSession, path: str, separator: str) -> DataFrame:
+    """Lines of four fields; a field ``\\N`` is a null."""
+    f = F.split("value", separator, -1)
+    field = [F.when(f[i] != r"\N", f[i]) for i in range(4)]
+    return s.read.text(path).select(field[0].cast("bigint").alias("k"), field[1].alias("name"), field[2].cast("decimal(10,2)").alias("price"), field[3].alias("brand"))
+
+
+_LAG = [("level", "TIMESTAMP '2100-01-01'"), ("behind", "TIMESTAMP '1999-01-01'"), ("empty", "TIMESTAMP '1900-01-01'")]
+_LATE = "(SELECT count(*) > 0 FROM ol WHERE created_at < TIMESTAMP '2001-01-01' - INTERVAL 5 MINUTE AND created_at > coalesce((SELECT max(created_at) FROM ol WHERE created_at < {0}), TIMESTAMP '1900-01-01') + INTERVAL 5 MINUTE)"
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{n}' AS name, lag, CASE WHEN lag THEN 'lagging' WHEN bad > 0 THEN 'violation' ELSE 'ok' END AS status, lag OR bad > 0 AS fails
+    FROM (SELECT {_LATE.format(t)} AS lag, (SELECT count(*) FROM verd WHERE verdict <> 'in_flight') AS bad)""" for n, t in _LAG))
+def run_outcomes(s, d):
+    """Whether a staging table lags behind its source, and what comes of a run with the verdicts found."""
+    source = orders_live(s, d)
+    a, b = _sides(s, d)
+    totals = {r["verdict"]: r["n"] for r in reconcile.differences(a, b, when("2001-07-01"), compare_all=True).groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for name, before in (("level", "2100-01-01"), ("behind", "1999-01-01"), ("empty", "1900-01-01")):
+        lag = reconcile.lagging(source.where(F.col("created_at") < when(before)), source, "created_at", when("2001-01-01"))
+        status, fails = reconcile.outcome(totals, lag, source_up=True, last_source_up=True)
+        rows.append((name, lag, status, fails))
+    return s.createDataFrame(rows, "name string, lag boolean, status string, fails boolean")
