@@ -60,6 +60,21 @@ def test_labels_of_the_held_fold_teach_nothing(spark, documents, marked):
     assert a == b
 
 
+def test_calibration_keeps_the_order_of_votes():
+    """Votes all far below even odds, as large groups of copies give them: whole Newton steps overshoot and make the scores 0 and 1."""
+    rng = np.random.default_rng(3)
+    y = np.repeat([0, 1], [2000, 400])
+    votes = np.where(y[:, None] == 1, -5.0, -7.5) + rng.normal(0, 0.8, (len(y), 2))
+    index = toxicity.Index(np.arange(len(y)), y, np.where(y == 1, 1.0, 7.5), {}, np.zeros(0))
+    model = toxicity.Votes(index, index, np.zeros(0, np.int32))
+    model.judged = lambda rows, without=None: (votes[without], [])
+    model.calibrate([()] * len(y))
+    score = model.score(votes)
+    bad, good = score[y == 1], score[y == 0]
+    assert (model.curve[:2] > 0).all() and np.abs(model.curve).max() < 1000
+    assert (bad[:, None] > good[None, :]).mean() > 0.95 and np.mean((score >= 0.5) == y) > 0.9
+
+
 def test_nearest_are_exact():
     rng = random.Random(8)
     vocabulary = {b"w%d" % i: i for i in range(60)}

@@ -204,7 +204,7 @@ class Votes:
         return [(t[t >= 0], c[t >= 0]) for t, c in numbered]
 
     def score(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(votes @ self.curve[:2] + self.curve[2])))
+        return 1 / (1 + np.exp(-np.clip(votes @ self.curve[:2] + self.curve[2], -500, 500)))
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Score and nearest examples of each text, in batches of ``BATCH``."""
@@ -218,11 +218,21 @@ class Votes:
         x = np.concatenate([np.concatenate(parts), np.ones((len(rows), 1))], axis=1)
         y, w = self.whole.labels.astype(float), self.whole.votes / self.whole.votes.sum()
         prior = c = self.curve
-        for _ in range(50):  # Newton, with a prior that keeps the slopes finite and positive
+
+        def loss(c: np.ndarray) -> float:
+            z = x @ c
+            return float(w @ (np.logaddexp(0, z) - y * z) + 5e-5 * ((c - prior) ** 2).sum())
+
+        for _ in range(100):  # Newton, with a prior that keeps the slopes finite and positive; a step that overshoots is halved until the loss falls
             p = 1 / (1 + np.exp(-np.clip(x @ c, -500, 500)))
             g = x.T @ (w * (p - y)) + 1e-4 * (c - prior)
             h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
-            c = c - np.linalg.solve(h, g)
+            step, now = np.linalg.solve(h, g), loss(c)
+            while loss(c - step) >= now and np.abs(step).max() > 1e-9:
+                step = step / 2
+            if np.abs(step).max() <= 1e-9:
+                break
+            c = c - step
         if np.isfinite(c).all() and c[:2].sum() > 0:
             self.curve = c
 
