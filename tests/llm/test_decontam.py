@@ -72,6 +72,25 @@ def test_small_shards_and_blocks_change_nothing(spark, documents, monkeypatch):
     assert sorted(got, key=repr) == plainly(docs, items, 3)
 
 
+def test_each_shard_is_stored_and_sent_alone(spark, documents, monkeypatch):
+    """Rows of several MB: a row group or a batch of many of them takes memory in proportion to a task's input."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(decontam, "SHARD", 300)
+    monkeypatch.setattr(decontam, "ROW_GROUP", 64)
+    docs, items = made(4)
+    index = decontam.build(documents(docs).coalesce(1))
+    groups = [m.row_group(i).num_rows for f in glob.glob(index._saved_at.removeprefix("file://") + "/*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert len(groups) > 5 and set(groups) == {1}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = []
+    monkeypatch.setattr(decontam, "saved", lambda df, *a, **b: sizes.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or df)
+    decontam.matches(index, spark.createDataFrame(items, ITEMS))
+    assert sizes == ["1"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_index_holds_every_token(documents):
     docs = [(1, "b a b"), (2, None), (3, "c, A!")]
     (row,) = decontam.build(documents(docs).coalesce(1)).collect()

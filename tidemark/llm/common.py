@@ -73,6 +73,18 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside sends Python workers batches of at most ``most`` rows; for rows of several MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what ``saved`` wrote for these frames; only for such that nothing later reads."""
     for df in frames:

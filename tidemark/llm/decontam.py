@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, by_size, utf8, words
-from .common import on_workers, saved, table
+from .common import on_workers, rows_at_once, saved, table
 
 WIDTH = 10
 SHARD = 4 << 20  # bytes of text in a shard; a longer text is a shard of its own
-ROW_GROUP = 16 << 20  # few shards are read at once
+ROW_GROUP = 1 << 20  # each shard is a row group of its own, so that one is written, read and sent at once
 BLOCK = 200_000  # words of test items searched for at once
 STEP = 1 << 21  # possible starts held at once
 _WORDY = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -81,7 +81,7 @@ def build(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_pydict({"shard": pa.array([first + i], pa.int64())} | lists)
 
     shape = f"shard long, keys array<{name}>, n_words array<int>, terms array<string>, starts array<int>, positions array<int>"
-    return saved(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(kernel, shape), "index", **{"parquet.block.size": ROW_GROUP})
+    return saved(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(kernel, shape), "index", **{"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
 
 
 @dataclass
@@ -273,7 +273,8 @@ def matches(index: DataFrame, items: DataFrame, width: int = WIDTH, within: int
                             "kind": pa.array([kind] * n, pa.string()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()),
                         })
 
-        parts.append(saved(index.select("shard", "terms", "starts", "positions", "n_words").mapInArrow(kernel, shape), "matches"))
+        with rows_at_once(spark, 1):
+            parts.append(saved(index.select("shard", "terms", "starts", "positions", "n_words").mapInArrow(kernel, shape), "matches"))
         shared.destroy()
     if not parts:
         return spark.createDataFrame([], shape)
