@@ -82,3 +82,12 @@ def test_batches_of_buckets_read_their_rows_once(spark):
         got |= {r["k"]: r["verdict"] for r in part.collect()}
     want = plainly(source, target)
     assert {k: v for k, v in want.items() if v != "in_flight"} == {k: v for k, v in got.items() if v != "in_flight"}
+
+
+def test_all_buckets_are_compared_in_one_frame(spark):
+    """A frame reads both sides when it runs, so many frames put together would read them as often."""
+    source, target = made(4, 2000, 300, 5)
+    frame, *more = reconcile.compared(side(spark, source), side(spark, target), cut())
+    assert not more
+    got = {r["k"]: r["verdict"] for r in frame.collect()}
+    assert {k: v for k, v in plainly(source, target).items() if v != "in_flight"} == {k: v for k, v in got.items() if v != "in_flight"}
