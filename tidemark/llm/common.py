@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,13 @@ def saved(df: DataFrame, label: str, rows: int | None = None, a_file: int = 50_0
     return read
 
 
+def rows_in(written: DataFrame) -> int:
+    """How many rows a frame of ``saved`` has; counted once."""
+    if not hasattr(written, "_rows"):
+        written._rows = written.count()
+    return written._rows
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside are deleted as soon as each query ends; for tables that are written and read again."""
@@ -73,6 +81,18 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def joined_by_sorting(spark: SparkSession) -> Iterator[None]:
+    """Joins inside broadcast no side, however small: each broadcast costs the driver a thread with its stack for a minute; for long rows of small queries."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
     """What runs inside sends Python workers batches of at most ``most`` rows; for rows of several MB."""
@@ -93,6 +113,12 @@ def forget(*frames: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def trim() -> None:
+    """Give back what the driver's Python has freed after fitting: glibc otherwise keeps up to 64 MB of large arrays for later ones."""
+    if (give := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give(0)
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids fall in fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

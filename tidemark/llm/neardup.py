@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, on_workers, rows_of, saved, table
+from .common import forget, joined_by_sorting, on_workers, rows_in, rows_of, saved, table
 
 REGISTERS = 128
 MANTISSA = 10
@@ -151,22 +151,25 @@ def _banded(classes: DataFrame, width: int) -> DataFrame:
     return classes.select(F.explode(F.array(*keys)).alias("bucket"), "c")
 
 
-def _met(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
-    """Inner join by ``key``; rows of ``many`` with a hot key are dealt by ``by`` over copies of their row of ``one``.
+def _met(many: DataFrame, one: DataFrame, key: str, hot: list[int], by: str) -> DataFrame:
+    """Inner join by ``key``; rows of ``many`` with a ``hot`` key are dealt by ``by`` over copies of their row of ``one``."""
+    if not hot:
+        return many.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    seat = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(COPIES)).cast("int")).otherwise(0)
+    seats = F.when(is_hot, F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    return many.withColumn("_seat", seat).join(one.withColumn("_seat", F.explode(seats)), [key, "_seat"]).drop("_seat")
 
-    ``hot`` holds fewer than ``HOT_SHARE`` keys, so it may be broadcast.
-    """
-    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    seat = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(COPIES)).cast("int")).otherwise(0)
-    seats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
-    many = many.join(hot, key, "left").withColumn("_seat", seat).drop("_hot")
-    one = one.join(hot, key, "left").withColumn("_seat", F.explode(seats)).drop("_hot")
-    return many.join(one, [key, "_seat"]).drop("_seat")
 
+def _hot(sizes: DataFrame, key: str, rows: int) -> list[int]:
+    """Keys whose ``size`` is over a ``HOT_SHARE``-th of ``rows`` (and over 256).
 
-def _hot(sizes: DataFrame, rows: int) -> DataFrame:
-    """Keys whose ``size`` is over a ``HOT_SHARE``-th of ``rows`` (and over 256)."""
-    return sizes.where(F.col("size") > max(256, rows // HOT_SHARE))
+    There are fewer than ``HOT_SHARE`` of them, mostly none, so they come to
+    the driver: a plan without them needs no broadcast, and each broadcast costs
+    the driver a thread and its stack.
+    """
+    least = max(256, rows // HOT_SHARE)
+    return [r[key] for r in sizes.where(F.col("size") > least).select(key).collect()] if rows > least else []
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, unique: bool) -> DataFrame:
@@ -198,9 +201,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int, most: int) -> Da
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(estimate >= least))
 
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs", most)
-    total = pairs.count()
+    total = rows_in(pairs)
     for end, other in (("a", "b"), ("b", "a")):
-        hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), total)
+        hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), end, total)
         rows = classes.select(F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("regs").alias(f"r_{end}"))
         met = _met(pairs if end == "a" else met, rows, end, hot, other)
     met = met.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
@@ -211,9 +214,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int, most: int) -> Da
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Which of the pairs ``(a, b)`` are links, by their full sets."""
-    total = pairs.count()
+    total = rows_in(pairs)
     for end, other in (("a", "b"), ("b", "a")):
-        hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), total)
+        hot = _hot(pairs.groupBy(end).agg(F.count("*").alias("size")), end, total)
         met = _met(pairs if end == "a" else met, sets.select(F.col("c").alias(end), F.col("sh").alias(f"s_{end}")), end, hot, other)
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     either = F.size("s_a") + F.size("s_b") - both
@@ -227,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes; they only ever fall, so that comes to pass whatever the
     links.  Each round is written and its predecessor deleted.
     """
-    ends = 2 * links.count()
+    ends = 2 * rows_in(links)
     both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links", ends)
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("label")), "labels", ends)
     while True:
@@ -250,14 +253,14 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     sigs = saved(_signatures(docs, width), "signatures")
     unique = sigs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("row").alias("c"), F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = saved(classes, "classes", sigs.count(), 8_000)
-    bands = classes.count() * (REGISTERS // band)
+    classes = saved(classes, "classes", rows_in(sigs), 8_000)
+    bands = rows_in(classes) * (REGISTERS // band)
 
     # One hub a bucket, its least class: the same for many buckets.
     banded = _banded(classes, band)
     buckets = saved(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets", bands, 200_000)
-    members = saved(_met(banded, buckets, "bucket", _hot(buckets, bands), "c").where("c <> hub"), "members", bands, 200_000)
-    met = members.count()
+    members = saved(_met(banded, buckets, "bucket", _hot(buckets, "bucket", bands), "c").where("c <> hub"), "members", bands, 200_000)
+    met = rows_in(members)
     likely = _likely(members.select(F.col("c").alias("a"), F.col("hub").alias("b")), classes, percent, met)
     rest = members.where("size > 2").select("bucket", "c")
     forget(buckets)
@@ -265,7 +268,22 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     named = classes.select("c", "digest", F.col("class_id").alias("doc_id"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).union(rest.select("c")).distinct()
     sets = saved(_sets(docs, named.join(wanted, "c", "left_semi"), width, unique), "sets")
-    links = saved(_confirmed(likely, sets, percent), "confirmed", likely.count(), SETS_A_TASK)
+    with joined_by_sorting(docs.sparkSession):
+        links, labels = _linked(likely, rest, members, sets, classes, percent)
+    forget(sets)
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    told = classes.select("c", "digest", "class_id").join(labels, "c", "left").join(degree, "c", "left")
+    told = told.withColumns({"label": F.coalesce("label", "c"), "n_links": F.coalesce("n_links", F.lit(0))})
+    first = told.groupBy("label").agg(F.min(F.struct("class_id", "c")).alias("first"))
+    told = told.join(first, "label").select("digest", "class_id", "n_links", F.col("first.class_id").alias("component_id"), (F.col("c") == F.col("first.c")).alias("stands"))
+    return sigs, told, unique
+
+
+def _linked(likely: DataFrame, rest: DataFrame, members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and component labels from the ``likely`` pairs with first hubs and from what is left (``rest``) of the buckets in ``members``."""
+    met = rows_in(members)
+    links = saved(_confirmed(likely, sets, percent), "confirmed", rows_in(likely), SETS_A_TASK)
     labels = components(links)
     forget(likely)
 
@@ -274,27 +292,21 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     open_, several = _open(rest, labels, met)
     placed = saved(open_.join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open", met, 200_000)
     forget(members, several)
-    second = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "second", placed.count())
-    beside = _met(placed.select("bucket", "c", "label"), second, "bucket", _hot(second, placed.count()), "c")
-    likely = _likely(beside.where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b")), classes, percent, placed.count())
-    rest = saved(beside.where(F.col("c") != F.col("hub.c")).select("bucket", "c"), "rest", placed.count())
-    links, labels = _more(links, labels, _confirmed(likely, sets, percent), likely.count())
+    second = saved(placed.groupBy("bucket").agg(F.max(F.struct("degree", "c", "label")).alias("hub"), F.count("*").alias("size")), "second", rows_in(placed))
+    beside = _met(placed.select("bucket", "c", "label"), second, "bucket", _hot(second, "bucket", rows_in(placed)), "c")
+    likely = _likely(beside.where(F.col("label") != F.col("hub.label")).select(F.col("c").alias("a"), F.col("hub.c").alias("b")), classes, percent, rows_in(placed))
+    rest = saved(beside.where(F.col("c") != F.col("hub.c")).select("bucket", "c"), "rest", rows_in(placed))
+    links, labels = _more(links, labels, _confirmed(likely, sets, percent), rows_in(likely))
     forget(placed, second, likely)
 
     # The exact way for what is left of open buckets.
-    open_, several = _open(rest, labels, rest.count())
-    left = saved(open_.select("c", "label").distinct(), "left", rest.count(), 5_000)
+    open_, several = _open(rest, labels, rows_in(rest))
+    left = saved(open_.select("c", "label").distinct(), "left", rows_in(rest), 5_000)
     forget(several)
-    likely = _likely(_rarest(left.join(classes.select("c", "n"), "c"), sets, percent), classes, percent, REST * left.count())
-    links, labels = _more(links, labels, _confirmed(likely, sets, percent), likely.count())
-    forget(rest, left, likely, sets)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    told = classes.select("c", "digest", "class_id").join(labels, "c", "left").join(degree, "c", "left")
-    told = told.withColumns({"label": F.coalesce("label", "c"), "n_links": F.coalesce("n_links", F.lit(0))})
-    first = told.groupBy("label").agg(F.min(F.struct("class_id", "c")).alias("first"))
-    told = told.join(first, "label").select("digest", "class_id", "n_links", F.col("first.class_id").alias("component_id"), (F.col("c") == F.col("first.c")).alias("stands"))
-    return sigs, told, unique
+    likely = _likely(_rarest(left.join(classes.select("c", "n"), "c"), sets, percent), classes, percent, REST * rows_in(left))
+    links, labels = _more(links, labels, _confirmed(likely, sets, percent), rows_in(likely))
+    forget(rest, left, likely)
+    return links, labels
 
 
 def _more(links: DataFrame, labels: DataFrame, found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -302,7 +314,7 @@ def _more(links: DataFrame, labels: DataFrame, found: DataFrame, most: int) -> t
     found = saved(found, "confirmed", most, SETS_A_TASK)
     if found.isEmpty():
         return links, labels
-    both = saved(links.union(found).distinct(), "confirmed", links.count() + most)
+    both = saved(links.union(found).distinct(), "confirmed", rows_in(links) + most)
     forget(links, labels, found)
     return both, components(both)
 
@@ -337,7 +349,7 @@ def _open(rest: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, Dat
     placed = rest.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     sizes = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
     several = saved(sizes.where("lo <> hi").select("bucket", "size"), "several", rows, 200_000)
-    return _met(placed, several, "bucket", _hot(several, rows), "c").select("bucket", "c", "label"), several
+    return _met(placed, several, "bucket", _hot(several, "bucket", rows), "c").select("bucket", "c", "label"), several
 
 
 def _rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

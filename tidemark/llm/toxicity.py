@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, few, fold, letter_words, on_workers, rows_of, saved, table
+from .common import bounded_sample, few, fold, letter_words, on_workers, rows_of, saved, table, trim
 
 FOLDS = 5
 BATCH = 256  # texts that are scored at once
@@ -315,6 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     votes.calibrate(counts)
     whole.laid = votes.sure.laid = None  # workers lay out their own
     known.destroy()
+    trim()
     return votes
 
 
