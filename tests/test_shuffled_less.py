@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.plans import marts
+from tidemark.sources import synth
 
 
 def test_groups_and_their_watermark_read_one_shuffle(spark):
@@ -22,3 +23,10 @@ def test_a_group_without_any_event_keeps_the_watermark(spark):
     assert [r["source_watermark"] for r in out.collect()] == [datetime(2020, 1, 2)] * 2
     none = marts._with_watermark(rows.where("a = 1").groupBy("a").agg(F.max("t").alias("_newest")))
     assert [r["source_watermark"] for r in none.collect()] == [None]
+
+
+def test_narrow_rows_are_dealt_before_they_grow(spark):
+    assert synth.dealt(spark.range(1000), "id", 100).rdd.getNumPartitions() == 10
+    assert sorted(r["id"] for r in synth.dealt(spark.range(1000), "id", 100).collect()) == list(range(1000))
+    few = spark.range(150).coalesce(1)
+    assert synth.dealt(few, "id", 100) is few
