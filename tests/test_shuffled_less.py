@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import quality
 from tidemark.plans import marts
 from tidemark.sources import synth
 
@@ -30,3 +31,22 @@ def test_narrow_rows_are_dealt_before_they_grow(spark):
     assert sorted(r["id"] for r in synth.dealt(spark.range(1000), "id", 100).collect()) == list(range(1000))
     few = spark.range(150).coalesce(1)
     assert synth.dealt(few, "id", 100) is few
+
+
+def test_hashes_of_lines_are_made_behind_their_shuffle(spark):
+    t = {
+        "stg_orders": spark.createDataFrame([], "order_id long, customer_id long, status string, created_at timestamp, updated_at timestamp, event_time timestamp, version long, is_deleted int"),
+        "stg_order_items": spark.createDataFrame([], "order_item_id long, order_id long, product_id long, quantity int, price_at_order decimal(10,2), event_time timestamp, version long, is_deleted int"),
+        "stg_order_status_history": spark.createDataFrame([], "order_id long, status string, changed_at timestamp, version long"),
+        "fact_orders": spark.createDataFrame([], "order_item_id long"),
+        "dim_customers": spark.createDataFrame([], "customer_id long, is_current int"),
+        "dim_products": spark.createDataFrame([], "product_id long, is_current int"),
+        "stg_product_versions": spark.createDataFrame([], "product_id long, version long, valid_from timestamp, category string, price decimal(10,2), is_deleted int"),
+        "stg_inventory": spark.createDataFrame([], "product_id long, warehouse_id int, version long, quantity int, is_deleted int"),
+        "mart_revenue_daily": spark.createDataFrame([], "order_date date, category string, revenue decimal(18,2), revenue_net decimal(18,2)"),
+    }
+    plan = quality.shared(t, F.lit("2020-01-01").cast("timestamp"))._jdf.queryExecution().analyzed().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "RepartitionByExpression [order_item_id" in line)
+    below = [line for line in plan[at + 1 :][: next((i for i, line in enumerate(plan[at + 1 :]) if depth(line) <= depth(plan[at])), len(plan))]]
+    assert below and not any("xxhash64" in line for line in below)

@@ -153,8 +153,9 @@ def shared(t: Tables, as_of: Column, since: str = ROLLOUT) -> DataFrame:
     Lines are ranked by their key, then lines, orders and the history of orders
     meet by order, and every row tells what it violates.
     """
-    lines = t["stg_order_items"].withColumn("h", F.xxhash64(*ITEM_CONTENT)).repartition("order_item_id")
-    lines = _ranked(lines, ITEMS_KEY, [*ITEM_LAST, "order_id"])
+    # Hashes hardly compress: those of lines are made behind their shuffle and go no further.
+    lines = t["stg_order_items"].repartition("order_item_id").withColumn("h", F.xxhash64(*ITEM_CONTENT))
+    lines = _ranked(lines, ITEMS_KEY, [*ITEM_LAST, "order_id"]).drop("h")
     orders = t["stg_orders"].withColumn("h", F.xxhash64(*ORDER_CONTENT))
     kinds = {"version": "bigint", "h": "bigint", "customer_id": "bigint", "status": "string", "created_at": "timestamp", "event_time": "timestamp", "is_deleted": "int", "item": "bigint", "odd": "boolean", "main": "boolean", "torn": "boolean"}
 
@@ -162,7 +163,10 @@ def shared(t: Tables, as_of: Column, since: str = ROLLOUT) -> DataFrame:
         return df.select("order_id", F.lit(kind).alias("kind"), *[cols.get(n, F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
 
     odd = (F.col("quantity") <= 0) | (F.col("price_at_order") < 0)
-    met = rows(orders, 0).unionByName(rows(lines, 1, item=F.col("order_item_id"), odd=odd)).unionByName(rows(t["stg_order_status_history"], 2, event_time=F.col("changed_at")))
+    # Of a line go on only the values that a check may still ask for.
+    asked = F.col("main") & (F.col("is_deleted") == 0)
+    told_of = {"item": F.when(asked | F.col("torn"), F.col("order_item_id")), "event_time": F.when(asked, F.col("event_time")), "version": F.when(F.col("torn"), F.col("version"))}
+    met = rows(orders, 0).unionByName(rows(lines, 1, odd=odd, **told_of)).unionByName(rows(t["stg_order_status_history"], 2, event_time=F.col("changed_at")))
     # Rows of the three kinds of one order, each in their own order: of orders and the history the last row is found.
     met = met.repartition("order_id").withColumnsRenamed({"main": "main_line", "torn": "torn_line"})
     met = _ranked(met, ["order_id", "kind"], ORDER_LAST)
