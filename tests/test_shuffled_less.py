@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import quality, scd2
 from tidemark.plans import marts
 from tidemark.sources import synth
 
@@ -50,3 +50,33 @@ def test_hashes_of_lines_are_made_behind_their_shuffle(spark):
     at = next(i for i, line in enumerate(plan) if "RepartitionByExpression [order_item_id" in line)
     below = [line for line in plan[at + 1 :][: next((i for i, line in enumerate(plan[at + 1 :]) if depth(line) <= depth(plan[at])), len(plan))]]
     assert below and not any("xxhash64" in line for line in below)
+
+
+JOURNAL = "k long, valid_from timestamp, a string, b string, is_snapshot int, is_deleted int, version long"
+
+
+def test_a_dimension_sorts_its_journal_twice(spark):
+    df = scd2.build(spark.createDataFrame([], JOURNAL), "k", ["a", "b"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Sort [") for line in plan.split("\n")) == 2  # newest of a time, order of versions
+    assert "struct(" not in plan  # no row is carried twice
+
+
+def test_tasks_of_a_dimension_grow_with_its_journal(spark):
+    journal = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    assert scd2.spread(journal, "k", 10).rdd.getNumPartitions() == 100
+    assert sorted(r["id"] for r in scd2.spread(journal, "k", 10).collect()) == list(range(1000))
+    assert max(len({r["p"] for r in rows}) for rows in _by(scd2.spread(journal, "k", 10).select("k", F.spark_partition_id().alias("p")).collect()).values()) == 1
+
+
+def _by(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["k"], []).append(r)
+    return out
+
+
+def test_a_snapshot_before_1970_keeps_its_place(spark):
+    rows = [(1, datetime(1965, 1, 1), "x", "", 1, 0, 7), (1, datetime(1968, 1, 1), "y", "", 0, 0, 7), (1, datetime(1980, 1, 1), "z", "", 0, 0, 8)]
+    df = scd2.build(spark.createDataFrame(rows, JOURNAL), "k", ["a", "b"])
+    assert {(r["a"], r["valid_from"], r["valid_to"]) for r in df.collect()} == {("x", datetime(1970, 1, 1), datetime(1968, 1, 1)), ("y", datetime(1968, 1, 1), datetime(1980, 1, 1)), ("z", datetime(1980, 1, 1), None)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,16 @@ from pyspark.sql import functions as F
 from .versions import latest
 
 EPOCH = "timestamp_seconds(0)"
+ROWS_A_TASK = 500_000
+
+
+def spread(journal: DataFrame, key: str, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """The journal shuffled by key, over so many tasks that one sorts some ``a_task`` rows, whatever their number in all.
+
+    A small journal is left to adaptive execution, which makes no more tasks of it than there are cores.
+    """
+    tasks = journal.count() // a_task  # told by the files' footers
+    return journal.repartition(tasks, key) if tasks > journal.sparkSession.sparkContext.defaultParallelism else journal.repartition(key)
 
 
 def build(journal: DataFrame, key: str, attributes: Sequence[str], tie: Sequence[str | Column] = ()) -> DataFrame:
@@ -20,17 +32,20 @@ def build(journal: DataFrame, key: str, attributes: Sequence[str], tie: Sequence
     snapshot is valid since the epoch; the last one is open (null).  Journal
     rows of one key and time count as one, the greatest version.
 
-    One shuffle by key serves ``latest`` and both window passes.
+    One shuffle by key serves ``latest`` and both window passes, which share a
+    sort: what they look back at are plain columns, and the order's own columns
+    stay as they are until the end.
     """
-    rows = latest(journal.repartition(key), [key, "valid_from"], ["version", *tie])
+    rows = latest(spread(journal, key), [key, "valid_from"], ["version", *tie])
     by = Window.partitionBy(key).orderBy("version", "valid_from")
-    state = F.struct(*attributes, "is_deleted")
-    rows = rows.withColumn("_before", F.lag(state).over(by)).withColumn("_n", F.row_number().over(by))
-    rows = rows.where((F.col("_n") == 1) | ~state.eqNullSafe(F.col("_before")))
+    state = {c: f"_before_{c}" for c in (*attributes, "is_deleted")}
+    rows = rows.withColumns({before: F.lag(c).over(by) for c, before in state.items()} | {"_n": F.row_number().over(by)})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(before)) for c, before in state.items()])
+    rows = rows.where((F.col("_n") == 1) | ~same)
     since = F.when((F.col("_n") == 1) & (F.col("is_snapshot") == 1), F.expr(EPOCH)).otherwise(F.col("valid_from"))
-    rows = rows.withColumn("valid_from", since).withColumn("valid_to", F.lead("valid_from").over(by))
+    rows = rows.withColumn("_since", since).withColumn("valid_to", F.lead("_since").over(by))
     live = rows.where(F.col("is_deleted") == 0)
-    return live.select(key, *attributes, "valid_from", "valid_to", F.col("valid_to").isNull().cast("tinyint").alias("is_current"), "version")
+    return live.select(key, *attributes, F.col("_since").alias("valid_from"), "valid_to", F.col("valid_to").isNull().cast("tinyint").alias("is_current"), "version")
 
 
 def gaps(dimension: DataFrame, key: str) -> DataFrame:
