@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality, scd2
+from tidemark.operators.asof import asof_left_join
 from tidemark.plans import marts
 from tidemark.sources import synth
 
@@ -80,3 +81,22 @@ def test_a_snapshot_before_1970_keeps_its_place(spark):
     rows = [(1, datetime(1965, 1, 1), "x", "", 1, 0, 7), (1, datetime(1968, 1, 1), "y", "", 0, 0, 7), (1, datetime(1980, 1, 1), "z", "", 0, 0, 8)]
     df = scd2.build(spark.createDataFrame(rows, JOURNAL), "k", ["a", "b"])
     assert {(r["a"], r["valid_from"], r["valid_to"]) for r in df.collect()} == {("x", datetime(1970, 1, 1), datetime(1968, 1, 1)), ("y", datetime(1968, 1, 1), datetime(1980, 1, 1)), ("z", datetime(1980, 1, 1), None)}
+
+
+def test_an_as_of_join_carries_what_is_asked_for(spark):
+    left = spark.range(10).select((F.col("id") % 3).alias("k"), F.timestamp_seconds("id").alias("at"), F.concat(F.lit("unused "), F.col("id")).alias("c"), "id")
+    right = spark.range(3).select(F.col("id").alias("k"), F.timestamp_seconds(F.col("id") + 2).alias("since"), (F.col("id") * 10).alias("v"))
+    joined = asof_left_join(left, right, "k", "at", "since", ["v"])
+    assert joined.columns == ["k", "at", "c", "id", "v"] and joined.schema["k"].dataType == left.schema["k"].dataType
+    assert {(r["id"], r["k"], r["c"], r["v"]) for r in joined.collect()} == {(i, i % 3, f"unused {i}", i % 3 * 10 if i >= i % 3 + 2 else None) for i in range(10)}
+    assert "unused" not in joined.select("id", "v")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_of_a_day_and_category_are_counted_without_sums_by_order(spark):
+    rows = [(1, 1), (1, 2), (1, 1), (2, 1), (None, 1), (None, 3)]
+    fact = spark.createDataFrame([(datetime(2020, 1, d), o, "paid", 2, d) for o, d in rows], "created_at timestamp, order_id long, status string, quantity int, cents int")
+    fact = fact.select(F.to_date("created_at").alias("order_date"), F.when(F.col("cents") == 1, "a").alias("category"), "order_id", "status", "quantity", F.col("cents").cast("decimal(18,2)").alias("amount"), F.col("created_at").alias("event_time"))
+    out = marts.revenue_sums(fact)
+    assert {(r["order_date"].day, r["category"], r["orders"], r["items"], int(r["revenue"])) for r in out.collect()} == {(1, "a", 2, 8, 4), (2, "unknown", 1, 2, 2), (3, "unknown", 0, 2, 3)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate(" in line and "order_id" in line.split("functions=")[0] for line in plan.split("\n"))

@@ -45,16 +45,22 @@ def asof_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str,
     names keys whose rows are to be spread.  Left rows without a key or a time
     have no right row.
     """
-    names = left.columns
-    kept = F.struct(*[F.col(c) for c in names])
-    rows = left.select(F.col(key).alias("_k"), F.unix_micros(left_time).alias("_t"), kept.alias("_row"), F.lit(None).cast(right.select(F.struct(*take).alias("s")).schema["s"].dataType).alias("_take"))
+    names = {f"_c{i}": c for i, c in enumerate(left.columns) if c != key}  # plain columns: what nobody asks for goes into no shuffle
+    rows = left.select(F.col(key).alias("_k"), F.unix_micros(left_time).alias("_t"), *[F.col(c).alias(a) for a, c in names.items()])
     versions = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
-    versions = versions.select(F.col(key).alias("_k"), F.unix_micros(right_time).alias("_t"), F.lit(None).cast(left.select(kept.alias("s")).schema["s"].dataType).alias("_row"), F.struct(*take).alias("_take"))
+    versions = versions.select(F.col(key).alias("_k"), F.unix_micros(right_time).alias("_t"), F.struct(*take).alias("_take"))
     if hot is None:
         # Rows without a key meet nothing: dealt by their time, so that many of them are no hot key.
         rows = rows.withColumn("_range", F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("_t"), F.lit(1024))).otherwise(0).cast("int"))
-        return _timeline(rows, versions.withColumn("_range", F.lit(0)), names, take)
-    hot = F.broadcast(hot)
+        found = _timeline(rows, versions.withColumn("_range", F.lit(0)))
+    else:
+        found = _timeline(*_ranged(rows, versions, F.broadcast(hot)))
+    back = {c: F.col(a) for a, c in names.items()} | {key: F.col("_k").cast(left.schema[key].dataType)}
+    return found.select(*[back[c].alias(c) for c in left.columns], *[F.col(f"_found.`{c}`").alias(c) for c in take])
+
+
+def _ranged(rows: DataFrame, versions: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their ranges of hot keys, versions also with those carried into ranges."""
 
     def ranged(df: DataFrame) -> DataFrame:
         at = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_t"))), F.lit(0))
@@ -66,15 +72,13 @@ def asof_left_join(left: DataFrame, right: DataFrame, key: str, left_time: str,
     last = versions.where("_hot").groupBy("_k", "_range").agg(F.max_by(F.struct("_t", "_take"), "_t").alias("_last")).join(hot, "_k")
     until = F.coalesce(F.lead("_range").over(Window.partitionBy("_k").orderBy("_range")), F.size("_bounds"))
     carried = last.withColumn("_until", until).where(F.col("_range") < F.col("_until")).withColumn("_to", F.explode(F.sequence(F.col("_range") + 1, F.col("_until"))))
-    carried = carried.select("_k", F.col("_last._t").alias("_t"), F.lit(None).cast(versions.schema["_row"].dataType).alias("_row"), F.col("_last._take").alias("_take"), F.col("_to").alias("_range"))
-    versions = versions.drop("_hot").unionByName(carried)
-    return _timeline(rows, versions, names, take)
+    carried = carried.select("_k", F.col("_last._t").alias("_t"), F.col("_last._take").alias("_take"), F.col("_to").alias("_range"))
+    return rows, versions.drop("_hot").unionByName(carried)
 
 
-def _timeline(rows: DataFrame, versions: DataFrame, names: Sequence[str], take: Sequence[str]) -> DataFrame:
-    """Left rows with the last version before or at them in their key and range; a version comes before the rows of its very time."""
-    both = versions.unionByName(rows.select(versions.columns))
-    before = Window.partitionBy("_k", "_range").orderBy("_t", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _timeline(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """Left rows with the last version before or at them in their key and range as ``_found``; a version comes before the rows of its very time."""
+    both = versions.withColumn("_left", F.lit(False)).unionByName(rows.withColumn("_left", F.lit(True)), allowMissingColumns=True)
+    before = Window.partitionBy("_k", "_range").orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found: Column = F.last("_take", ignorenulls=True).over(before)
-    out = both.withColumn("_found", found).where(F.col("_row").isNotNull())
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[F.col(f"_found.`{c}`").alias(c) for c in take])
+    return both.withColumn("_found", found).where("_left")

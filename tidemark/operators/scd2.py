@@ -9,8 +9,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .versions import latest
-
 EPOCH = "timestamp_seconds(0)"
 ROWS_A_TASK = 500_000
 
@@ -32,11 +30,15 @@ def build(journal: DataFrame, key: str, attributes: Sequence[str], tie: Sequence
     snapshot is valid since the epoch; the last one is open (null).  Journal
     rows of one key and time count as one, the greatest version.
 
-    One shuffle by key serves ``latest`` and both window passes, which share a
-    sort: what they look back at are plain columns, and the order's own columns
-    stay as they are until the end.
+    One shuffle by key serves all passes: one in the order of times, which
+    leaves the greatest version of each, and two in that of versions, which
+    share a sort (what they look back at are plain columns, and the order's own
+    columns stay as they are until the end).
     """
-    rows = latest(spread(journal, key), [key, "valid_from"], ["version", *tie])
+    newest = [F.desc(c) if isinstance(c, str) else c.desc() for c in ("version", *tie)]
+    times = Window.partitionBy(key).orderBy("valid_from", *newest)
+    rows = spread(journal, key).withColumns({"_n": F.row_number().over(times), "_time": F.lag("valid_from").over(times)})
+    rows = rows.where((F.col("_n") == 1) | ~F.col("valid_from").eqNullSafe(F.col("_time"))).drop("_n", "_time")
     by = Window.partitionBy(key).orderBy("version", "valid_from")
     state = {c: f"_before_{c}" for c in (*attributes, "is_deleted")}
     rows = rows.withColumns({before: F.lag(c).over(by) for c, before in state.items()} | {"_n": F.row_number().over(by)})
